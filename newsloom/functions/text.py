@@ -117,9 +117,7 @@ def clean_ingest(c: ColumnLike) -> Column:
 
 def normalize_numbers_text(c: ColumnLike) -> Column:
     """Whitespace and zero-width tidy-up that leaves every digit and separator alone."""
-    out = replace(c, "[   ]", " ")
-    out = replace(out, "[​‌‍﻿]", "")
-    return squeeze(out)
+    return strip(replace(replace(c, SPACE), r"[\u200B\u200C\u200D\uFEFF]", ""))
 
 
 def strip_boilerplate(c: ColumnLike, credit: str = r"(?iU)created by.*?with") -> Column:
@@ -140,12 +138,12 @@ def strip(c: ColumnLike) -> Column:
     return replace(c, r"(?U)^\s+|\s+$", "")
 
 
-NUMBER_UNIT = r"(?iU)\d+[.,]?\d*\s*(tỷ|triệu|nghìn|ngàn|%|đồng|usd)"
+# A figure with its unit (fixed value).
+NUMBER_UNIT = r"(?iU)\d+[.,]?\d*\s*(?:tỷ|triệu|nghìn|%|USD|VND)"
 
 
 def sentences_with_numbers(c: ColumnLike, pattern: str = NUMBER_UNIT) -> Column:
-    parts = F.transform(F.split(col(c), r"[.!?\n]+"), lambda s: strip(s))
-    return F.filter(parts, lambda s: s.rlike(pattern))
+    return F.filter(F.split(col(c), r"(?U)[.!?]\s+"), lambda s: s.rlike(pattern))
 
 
 def numbers(c: ColumnLike) -> Column:
