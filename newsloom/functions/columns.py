@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping
+from collections.abc import Callable, Iterable, Mapping
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -68,16 +68,23 @@ def attach_table(df: DataFrame, table: DataFrame, name: str, max_rows: int = 500
     return df.withColumn(name, array)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once per row.
+
+    Inside a lambda an outer expression is evaluated again for every element;
+    binding it to a lambda variable avoids that.
+    """
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def contained(text: ColumnLike, terms: Column) -> Column:
     """Elements of the string array ``terms`` that occur in ``text`` as substrings."""
-    t = col(text)
-    return F.filter(terms, lambda k: t.contains(k))
+    return let(col(text), lambda t: F.filter(terms, lambda k: t.contains(k)))
 
 
 def contained_words(padded_text: ColumnLike, terms: Column) -> Column:
     """Elements that occur as whole words in a text padded with one blank on both sides."""
-    t = col(padded_text)
-    return F.filter(terms, lambda k: t.contains(F.concat(F.lit(" "), k, F.lit(" "))))
+    return let(col(padded_text), lambda t: F.filter(terms, lambda k: t.contains(F.concat(F.lit(" "), k, F.lit(" ")))))
 
 
 def sum_array(values: Column) -> Column:

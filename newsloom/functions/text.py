@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Iterable, Mapping
 
 import pandas as pd
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, functions as F, types as T
 
 from ..resources import words as W
-from .columns import ColumnLike, col, literal_map, strings
+from .columns import ColumnLike, col, let, literal_map, strings
 
 # Java's \s, \w and case folding are ASCII-only without these flags.
 SPACE = r"(?U)\s+"
@@ -23,7 +23,7 @@ def squeeze(c: ColumnLike) -> Column:
     return F.trim(replace(c, SPACE, " "))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _nfc(texts: pd.Series) -> pd.Series:
     return texts.str.normalize("NFC")
 
@@ -181,18 +181,21 @@ def words(c: ColumnLike, stopwords: Iterable[str] | None = None, min_length: int
 
 def ngrams(items: ColumnLike, n: int, max_length: int | None = None) -> Column:
     """Consecutive ``n`` items joined by a blank."""
-    a = col(items)
-    grams = F.when(
-        F.size(a) >= n,
-        F.transform(F.sequence(F.lit(1), F.size(a) - (n - 1)), lambda i: F.array_join(F.slice(a, i, n), " ")),
-    ).otherwise(F.array().cast("array<string>"))
-    return F.filter(grams, lambda g: F.length(g) <= max_length) if max_length else grams
+    def over(a: Column) -> Column:
+        grams = F.when(
+            F.size(a) >= n,
+            F.transform(F.sequence(F.lit(1), F.size(a) - (n - 1)), lambda i: F.array_join(F.slice(a, i, n), " ")),
+        ).otherwise(F.array().cast("array<string>"))
+        return F.filter(grams, lambda g: F.length(g) <= max_length) if max_length else grams
+
+    return let(col(items), over)
 
 
 def phrases(items: ColumnLike, low: int = 1, high: int = 3, caps: Mapping[int, int] | None = None) -> Column:
     """All ``low``- to ``high``-grams; by default bigrams up to 40 and trigrams up to 50 characters."""
     caps = {2: 40, 3: 50} if caps is None else caps
-    return F.concat(*[col(items) if n == 1 else ngrams(items, n, caps.get(n)) for n in range(low, high + 1)])
+    return let(col(items), lambda a: F.concat(
+        *[a if n == 1 else ngrams(a, n, caps.get(n)) for n in range(low, high + 1)]))
 
 
 def hashtags(c: ColumnLike) -> Column:

@@ -7,7 +7,7 @@ from collections.abc import Iterable, Mapping
 from pyspark.sql import Column, functions as F
 
 from ..resources import words as W
-from .columns import ColumnLike, col, lookup, non_blank
+from .columns import ColumnLike, col, let, lookup, non_blank
 
 
 def host(url: ColumnLike) -> Column:
@@ -26,10 +26,8 @@ def with_scheme(url: ColumnLike) -> Column:
 
 def parent_domains(domain: ColumnLike) -> Column:
     """The host and each of its parent domains, longest first."""
-    parts = F.split(col(domain), r"\.")
-    n = F.size(parts)
-    return F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))),
-                       lambda i: F.array_join(F.slice(parts, i, F.greatest(n, F.lit(1))), "."))
+    return let(F.split(col(domain), r"\."), lambda parts: F.transform(
+        F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), ".")))
 
 
 def platform_of_url(url: ColumnLike, hosts: Mapping[str, str] | None = None, substring: bool = False) -> Column:

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import text as T
-from ..functions.columns import ColumnLike, col, strings
+from ..functions.columns import col, let
 from ..resources import entity_patterns as P, words as W
 
 
@@ -32,8 +32,8 @@ def extract_entities(df: DataFrame, key: str, text: str, provinces: Iterable[str
         return found
     t = col(text)
     hits = [_typed(kind, F.regexp_extract_all(t, F.lit("(?U)" + p), F.lit(0)), "rule") for kind, p in P.patterns()]
-    low = F.lower(t)
-    known = F.filter(strings(places), lambda p: low.contains(F.lower(p)))
+    pairs = F.array(*[F.struct(F.lit(p).alias("name"), F.lit(p.lower()).alias("low")) for p in places])
+    known = let(F.lower(t), lambda low: F.transform(F.filter(pairs, lambda p: low.contains(p["low"])), lambda p: p["name"]))
     hits.insert(len(hits) - len(P.DATES) - len(P.MONEY), _typed("LOCATION", known, "gazetteer"))
     exploded = df.select(key, F.posexplode(F.concat(*hits)).alias("pos", "hit"))
     # One entity per type and spelling, first pattern wins; the key keeps groups as small as one text.
