@@ -42,23 +42,24 @@ def nested_top_k(counts: DataFrame, group: Sequence[str], order: Sequence[Column
         F.transform(packed, lambda s: F.struct(*[s.getField(f).alias(f) for f in fields])).alias(name))
 
 
-def overall_rank(df: DataFrame, order: Sequence[Column], rank: str = "rank") -> DataFrame:
-    """Row number over the whole table without one task sorting everything.
+def overall_rank(df: DataFrame, order: Sequence[Column], rank: str = "rank", group: Sequence[str] = ()) -> DataFrame:
+    """Row number over the whole table (or over each group) without one task sorting all of it.
 
-    Range partitions are ranked on their own; partition sizes (one row each)
-    give the offsets. The ranged rows are checkpointed, so a lost executor
-    cannot change the boundaries between the two passes.
+    Range partitions are ranked on their own; their sizes (one row per partition
+    and group) give the offsets. The ranged rows are checkpointed, so a lost
+    executor cannot move a boundary between the two passes.
     """
-    ranged = shared_checkpoint(
-        df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
-    sizes = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    local = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
-    # One row per partition: small by construction.
-    return (ranged.withColumn("_local", local).join(F.broadcast(offsets), "_part")
-            .withColumn(rank, (F.col("_before") + F.col("_local")).cast("bigint"))
-            .drop("_part", "_local", "_before"))
+    keys = [F.col(g) for g in group]
+    ranged = shared_checkpoint(df.repartitionByRange(*keys, *order).withColumn("_part", F.spark_partition_id()))
+    sizes = ranged.groupBy("_part", *group).agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("_part", *[F.col(g).alias(f"_g_{g}") for g in group], F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    on = F.col("a._part") == F.col("b._part")
+    for g in group:
+        on = on & F.col(f"a.{g}").eqNullSafe(F.col(f"b._g_{g}"))
+    local = F.row_number().over(Window.partitionBy("_part", *group).orderBy(*order))
+    return (ranged.withColumn("_local", local).alias("a").join(offsets.alias("b"), on)
+            .select(*[F.col(f"a.{c}") for c in df.columns], (F.col("b._before") + F.col("a._local")).cast("bigint").alias(rank)))
 
 
 def latest_first(*columns: str) -> list[Column]:
