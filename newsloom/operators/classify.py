@@ -42,12 +42,10 @@ def marked_tokens(text: ColumnLike, intensifiers: Sequence[str] = L.INTENSIFIERS
 
 def emotion_scores(docs: DataFrame, text: str, lexicon: DataFrame, output: str = "scores", **modifiers: Sequence[str]) -> DataFrame:
     """Adds array<struct(rank, emotion, group, score)> in lexicon order."""
-    out = docs.withColumn("_t", F.lower(col(text))).withColumn("_m", marked_tokens("_t", **modifiers))
-    out = attach_table(out, lexicon.select("rank", "emotion", "group", "weight", "words", "phrases"), "_lex", 500)
-    scored = F.transform("_lex", lambda e: F.struct(
-        e["rank"].alias("rank"), e["emotion"].alias("emotion"), e["group"].alias("group"),
-        _emotion_score(F.col("_t"), F.col("_m"), e).alias("score")))
-    return out.withColumn(output, scored).drop("_t", "_m", "_lex")
+    out = attach_table(docs, lexicon.select("rank", "emotion", "group", "weight", "words", "phrases"), "_lex", 500)
+    scored = let(F.lower(col(text)), lambda t: let(marked_tokens(t, **modifiers), lambda m: F.transform("_lex", lambda e: F.struct(
+        e["rank"].alias("rank"), e["emotion"].alias("emotion"), e["group"].alias("group"), _emotion_score(t, m, e).alias("score")))))
+    return out.withColumn(output, scored).drop("_lex")
 
 
 def emotion_verdict(docs: DataFrame, scores: str = "scores", neutral: str = "trung_lập", neutral_group: str = "neutral") -> DataFrame:
@@ -79,11 +77,13 @@ def emotion_group(emotion: ColumnLike, groups: dict[str, str] | None = None) ->
 
 def _keyword_hits(docs: DataFrame, text: Column, table: DataFrame, names: Sequence[str], whole_words: bool = False) -> DataFrame:
     """Adds ``_hits``: array of the table's entries with the keywords found in the text."""
-    out = attach_table(docs.withColumn("_t", text), table.select("rank", *names, "keywords"), "_dict", 2000)
+    out = attach_table(docs, table.select("rank", *names, "keywords"), "_dict", 2000)
     find = contained_words if whole_words else contained
-    return out.withColumn("_hits", F.transform("_dict", lambda e: F.struct(
+    # The text is bound first, so it is prepared once per row and not once per entry.
+    hits = let(text, lambda t: F.transform("_dict", lambda e: F.struct(
         e["rank"].alias("rank"), *[e[n].alias(n) for n in names], F.size(e["keywords"]).alias("size"),
-        find(F.col("_t"), e["keywords"]).alias("found")))).drop("_dict", "_t")
+        find(t, e["keywords"]).alias("found"))))
+    return out.withColumn("_hits", hits).drop("_dict")
 
 
 def _best_by(hits: str, score) -> Column:
@@ -141,16 +141,16 @@ def route_indicators(docs: DataFrame, title: str, content: str, url: str, table:
     """
     low_url, low_title = F.lower(F.coalesce(F.col(url), F.lit(""))), F.lower(F.coalesce(F.col(title), F.lit("")))
     sample = F.lower(F.concat_ws(" ", F.coalesce(F.col(title), F.lit("")), F.substring(F.coalesce(F.col(content), F.lit("")), 1, lead)))
-    out = docs.withColumn("_u", low_url).withColumn("_h", low_title).withColumn("_s", sample)
-    out = attach_table(out, table.select("rank", "indicator", "url_patterns", "title_patterns", "keywords"), "_dict", 500)
-    by_pattern = F.filter("_dict", lambda e: F.exists(e["url_patterns"], lambda p: F.col("_u").contains(p))
-                          | F.exists(e["title_patterns"], lambda p: F.col("_h").contains(p)))
-    by_keyword = F.filter("_dict", lambda e: F.size(F.filter(e["keywords"], lambda k: F.col("_s").contains(k))) >= min_keywords)
+    out = attach_table(docs, table.select("rank", "indicator", "url_patterns", "title_patterns", "keywords"), "_dict", 500)
+    by_pattern = let(F.struct(low_url.alias("u"), low_title.alias("h")), lambda d: F.filter(
+        "_dict", lambda e: F.exists(e["url_patterns"], lambda p: d["u"].contains(p)) | F.exists(e["title_patterns"], lambda p: d["h"].contains(p))))
+    by_keyword = let(sample, lambda s: F.filter(
+        "_dict", lambda e: F.size(F.filter(e["keywords"], lambda k: s.contains(k))) >= min_keywords))
     out = out.withColumn("_p", by_pattern)
     chosen = F.when(F.size("_p") > 0, F.col("_p")).otherwise(by_keyword)
     return (out.withColumn("indicators", F.transform(chosen, lambda e: e["indicator"]))
             .withColumn("confidence", F.when(F.size("indicators") > 0, F.lit(0.9)).otherwise(F.lit(0.0)))
-            .drop("_u", "_h", "_s", "_p", "_dict"))
+            .drop("_p", "_dict"))
 
 
 # --- Custom topics -------------------------------------------------------------------------------------------------
@@ -188,18 +188,19 @@ def classify_topics(docs: DataFrame, text: str, topics: DataFrame, method: str =
         active = active.withColumn("topic_vector", F.lit(None).cast("array<double>"))
     table = active.select(F.col("topic_id").alias("rank"), "topic_id", "name", "keywords", "negative_keywords", "keywords_weight",
                           "example_weight", "min_confidence", "topic_vector")
-    out = attach_table(docs.withColumn("_t", F.lower(F.col(text))), table, "_topics", 2000)
+    out = attach_table(docs, table, "_topics", 2000)
     vec = F.col(vector) if vector else F.lit(None).cast("array<double>")
-    hits = lambda words: F.filter(words, lambda k: F.col("_t").contains(F.lower(k)))
 
-    def score(t: Column) -> Column:
+    def score(body: Column, t: Column) -> Column:
+        hits = lambda words: F.size(F.filter(words, lambda k: body.contains(F.lower(k))))
         n = F.size(t["keywords"])
-        keyword = F.when(n > 0, F.size(hits(t["keywords"])) / n).otherwise(F.lit(0.0))
+        keyword = F.when(n > 0, hits(t["keywords"]) / n).otherwise(F.lit(0.0))
         return F.struct(t["topic_id"].alias("topic_id"), t["name"].alias("name"), keyword.alias("keyword"),
-                        (F.size(hits(t["negative_keywords"])) > 0).alias("negative"), t["keywords_weight"].alias("kw"),
+                        (hits(t["negative_keywords"]) > 0).alias("negative"), t["keywords_weight"].alias("kw"),
                         t["example_weight"].alias("ew"), t["min_confidence"].alias("low"), t["topic_vector"].alias("tv"))
 
-    rows = (out.select(*docs.columns, F.explode(F.transform("_topics", score)).alias("s")).select(*docs.columns, "s.*")
+    scores = let(F.lower(F.col(text)), lambda body: F.transform("_topics", lambda t: score(body, t)))
+    rows = (out.select(*docs.columns, F.explode(scores).alias("s")).select(*docs.columns, "s.*")
             .withColumn("_far", F.lit(method == "hybrid") & (F.col("keyword") < 0.05)))
     near = F.coalesce(embedding_score(vec, F.col("tv")), F.lit(0.0))
     embedding = F.lit(None).cast("double") if method == "keyword" else F.when(F.col("_far"), F.lit(0.0)).otherwise(near)

@@ -138,8 +138,12 @@ def bm25(docs: DataFrame, key: str, tokens: Column, terms: Sequence[str], k1: fl
     aggregate over the same scan.
     """
     names = list(dict.fromkeys(terms))
+
+    def occurrences(ts: Column, word: str) -> Column:
+        return F.size(F.filter(ts, lambda t: t == word))
+
     counted = docs.select(key, let(tokens, lambda ts: F.struct(
-        F.size(ts).alias("n"), *[F.size(F.filter(ts, lambda t, w=w: t == w)).alias(f"t{i}") for i, w in enumerate(names)])).alias("c")).select(key, "c.*")
+        F.size(ts).alias("n"), *[occurrences(ts, w).alias(f"t{i}") for i, w in enumerate(names)])).alias("c")).select(key, "c.*")
     stats = counted.agg(F.count(F.lit(1)).alias("N"), F.avg("n").alias("avg"), *[F.count_if(F.col(f"t{i}") > 0).alias(f"d{i}") for i in range(len(names))])
     corpus = stats.select(F.struct("*").alias("s")).scalar()
     rows = counted.withColumn("s", corpus)

@@ -75,11 +75,12 @@ def _(spark, sf):
     return U.simhash_drops(hashes.select("node", U.simhash("text").alias("hash")))
 
 
-@add("f10_zip_by_position", """with e as (select l_orderkey, list(l_quantity order by l_linenumber, l_partkey) as q, list(l_discount order by l_linenumber, l_partkey) as d from lineitem group by 1)
+@add("f10_zip_by_position", """with e as (select l_orderkey, list(l_quantity order by l_linenumber, l_partkey, l_quantity, l_discount) as q, list(l_discount order by l_linenumber, l_partkey, l_quantity, l_discount) as d from lineitem group by 1)
   select l_orderkey, cast(unnest(range(1, len(q) + 1)) as int) as pos, unnest(q) as q, unnest(d) as d from e""")
 def _(spark, sf):
-    by_line = lambda c: F.transform(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", c))), lambda s: s[c])
-    g = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(by_line("l_quantity").alias("q"), by_line("l_discount").alias("d"))
+    lines = F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_quantity", "l_discount")))
+    g = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(lines.alias("s"))
+    g = g.select("l_orderkey", F.col("s.l_quantity").alias("q"), F.col("s.l_discount").alias("d"))
     return g.select("l_orderkey", F.posexplode(F.arrays_zip("q", "d")).alias("pos", "z")).select("l_orderkey", (F.col("pos") + 1).alias("pos"), "z.q", "z.d")
 
 
