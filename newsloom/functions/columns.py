@@ -89,3 +89,12 @@ def contained_words(padded_text: ColumnLike, terms: Column) -> Column:
 
 def sum_array(values: Column) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda acc, v: acc + v)
+
+
+def settled(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Adds a costly column that is computed exactly once per row.
+
+    A plain projection can be merged into later filters and projections, which
+    then compute the value again for each use; a one-element generator cannot.
+    """
+    return df.select("*", F.explode(F.array(value)).alias(name))

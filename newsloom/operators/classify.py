@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import text as X
-from ..functions.columns import ColumnLike, attach_table, col, contained, contained_words, let, lookup, sum_array
+from ..functions.columns import ColumnLike, attach_table, col, contained, contained_words, let, lookup, settled, sum_array
 from ..resources import lexicon as L
 from ..sources.merge import keyed_load
 from .ranking import first_per_key, overall_rank
@@ -45,7 +45,7 @@ def emotion_scores(docs: DataFrame, text: str, lexicon: DataFrame, output: str =
     out = attach_table(docs, lexicon.select("rank", "emotion", "group", "weight", "words", "phrases"), "_lex", 500)
     scored = let(F.lower(col(text)), lambda t: let(marked_tokens(t, **modifiers), lambda m: F.transform("_lex", lambda e: F.struct(
         e["rank"].alias("rank"), e["emotion"].alias("emotion"), e["group"].alias("group"), _emotion_score(t, m, e).alias("score")))))
-    return out.withColumn(output, scored).drop("_lex")
+    return settled(out, output, scored).drop("_lex")
 
 
 def emotion_verdict(docs: DataFrame, scores: str = "scores", neutral: str = "trung_lập", neutral_group: str = "neutral") -> DataFrame:
@@ -83,7 +83,7 @@ def _keyword_hits(docs: DataFrame, text: Column, table: DataFrame, names: Sequen
     hits = let(text, lambda t: F.transform("_dict", lambda e: F.struct(
         e["rank"].alias("rank"), *[e[n].alias(n) for n in names], F.size(e["keywords"]).alias("size"),
         find(t, e["keywords"]).alias("found"))))
-    return out.withColumn("_hits", hits).drop("_dict")
+    return settled(out, "_hits", hits).drop("_dict")
 
 
 def _best_by(hits: str, score) -> Column:

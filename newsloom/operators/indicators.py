@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import dates as D, numbers as N, text as X
-from ..functions.columns import ColumnLike, col, contained, strings
+from ..functions.columns import ColumnLike, col, contained, settled, strings
 from ..resources import indicator_patterns as P
 from . import panel as Q
 
@@ -295,10 +295,10 @@ def extract_panel(docs: DataFrame, key: str, text: str, source: str, year: str,
             out = F.when(F.col("indicator") == n, extract_indicator(where, n)).otherwise(out)
         return out
 
-    rows = rows.withColumn("_v", values("context", names))
+    rows = settled(rows, "_v", values("context", names))
     blank = lambda c: (F.coalesce(F.col(f"{c}.actual_value"), F.lit(0.0)) == 0) & (F.coalesce(F.col(f"{c}.change_yoy"), F.lit(0.0)) == 0)
     retry = [n for n in names if n not in P.GROWTH_ONLY]
-    rows = rows.withColumn("_w", F.when(blank("_v") & F.col("indicator").isin(*retry), values("_text", retry)).otherwise(F.col("_v")))
+    rows = settled(rows, "_w", F.when(blank("_v") & F.col("indicator").isin(*retry), values("_text", retry)).otherwise(F.col("_v")))
     rows = rows.withColumn("quarter", F.coalesce("_quarter", N.last_quarter_in("context")))
     period = F.when(F.col("month").isNotNull(), F.lit("month")).when(F.col("quarter").isNotNull(), F.lit("quarter")).otherwise(F.lit("year"))
     out = rows.select(
@@ -355,7 +355,7 @@ def explode_forecasts(messages: DataFrame, today: str, existing: DataFrame | Non
 def cadre_figures(statistics: ColumnLike) -> Column:
     """struct(total_authorized, provincial_level, commune_level, contract_workers) from a list of notes; the last note counts."""
     def number(s: Column) -> Column:
-        return F.regexp_replace(F.regexp_extract(s, r"(\d+(?:[.,]\d+)*)", 1), "[.,]", "").try_cast("bigint")
+        return F.regexp_replace(F.regexp_extract(s, r"(\d+[.,]?\d*)", 1), "[.,]", "").try_cast("bigint")
 
     def last(condition) -> Column:
         hits = F.filter(F.transform(col(statistics), lambda s: F.when(condition(F.lower(s), number(s)), number(s))), lambda v: v.isNotNull())

@@ -8,7 +8,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import dates as D, text as X
-from ..functions.columns import ColumnLike, col, let
+from ..functions.columns import ColumnLike, col, let, settled
 from ..sources.files import listing
 from .ranking import top_k
 
@@ -142,8 +142,8 @@ def bm25(docs: DataFrame, key: str, tokens: Column, terms: Sequence[str], k1: fl
     def occurrences(ts: Column, word: str) -> Column:
         return F.size(F.filter(ts, lambda t: t == word))
 
-    counted = docs.select(key, let(tokens, lambda ts: F.struct(
-        F.size(ts).alias("n"), *[occurrences(ts, w).alias(f"t{i}") for i, w in enumerate(names)])).alias("c")).select(key, "c.*")
+    counted = settled(docs.select(key, tokens.alias("ts")), "c", let(F.col("ts"), lambda ts: F.struct(
+        F.size(ts).alias("n"), *[occurrences(ts, w).alias(f"t{i}") for i, w in enumerate(names)]))).select(key, "c.*")
     stats = counted.agg(F.count(F.lit(1)).alias("N"), F.avg("n").alias("avg"), *[F.count_if(F.col(f"t{i}") > 0).alias(f"d{i}") for i in range(len(names))])
     corpus = stats.select(F.struct("*").alias("s")).scalar()
     rows = counted.withColumn("s", corpus)
