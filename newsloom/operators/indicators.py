@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+import re
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import dates as D, numbers as N, text as X
-from ..functions.columns import ColumnLike, col, contained, settled, strings
+from ..functions.columns import ColumnLike, col, contained, let, settled, strings
 from ..resources import indicator_patterns as P
 from . import panel as Q
 
@@ -96,34 +97,40 @@ FORECASTS = [
 REALISED = r"(?iU)(?:ước đạt|thực hiện|đã đạt|đạt được)"
 
 
+def _unrealised(text: ColumnLike, pattern: str) -> Callable[[Column], Column]:
+    return lambda hit: F.when(~hit.rlike(REALISED), _joined(text, pattern, 3))
+
+
 def forecast(text: ColumnLike) -> Column:
     """Announced amount; matches that speak of a realised one do not count."""
     values = []
     for pattern in FORECASTS:
         p = P.full(pattern)
-        hit = _group(text, p, 0)
-        values.append(F.when(~hit.rlike(REALISED), _joined(text, p, 3)))
+        values.append(let(_group(text, p, 0), _unrealised(text, p)))
     return F.coalesce(*values)
 
 
 def _matched(text: ColumnLike, pattern: str, kind: str, veto: Sequence[str]) -> dict[str, Column]:
     """Values of one pattern by result field; NULL where it does not match or is vetoed."""
     p = P.full(pattern)
-    hit = F.lower(_group(text, p, 0))
-    allowed = hit.isNotNull()
-    for word in veto:
-        allowed = allowed & ~hit.contains(word)
-    number = lambda: N.decimal_comma(_group(text, p, 1))
+    forbidden = "|".join(re.escape(w) for w in veto)
+
+    def accepted(read: Callable[[Column], Column]) -> Column:
+        """The match is taken once; it is read only when no veto word is in it."""
+        def body(hit: Column) -> Column:
+            allowed = hit.isNotNull() & ~hit.rlike(forbidden) if forbidden else hit.isNotNull()
+            return F.when(allowed, read(hit))
+        return let(F.lower(_group(text, p, 0)), body)
+
     if kind == "value_split":
-        return {"actual_value": F.when(allowed, _joined(text, p, 2 if "{vnds}" in pattern else 3))}
+        return {"actual_value": accepted(lambda _: _joined(text, p, 2 if "{vnds}" in pattern else 3))}
     if kind == "value_usd":
-        return {"actual_value": F.when(allowed, number())}
+        return {"actual_value": accepted(lambda _: N.decimal_comma(_group(text, p, 1)))}
     if kind == "growth":
-        return {"change_yoy": F.when(allowed, number() * F.when(hit.contains("giảm"), F.lit(-1.0)).otherwise(F.lit(1.0)))}
-    decimal = _decimal(text, p)
+        return {"change_yoy": accepted(lambda hit: N.decimal_comma(_group(text, p, 1)) * F.when(hit.contains("giảm"), F.lit(-1.0)).otherwise(F.lit(1.0)))}
     if kind == "cpi_growth":
-        return {"actual_value": F.when(allowed, decimal + 100), "change_yoy": F.when(allowed, decimal)}
-    return {"actual_value": F.when(allowed, decimal)}
+        return {"actual_value": accepted(lambda _: _decimal(text, p) + 100), "change_yoy": accepted(lambda _: _decimal(text, p))}
+    return {"actual_value": accepted(lambda _: _decimal(text, p))}
 
 
 def extract_indicator(text: ColumnLike, indicator: str) -> Column:
@@ -133,22 +140,27 @@ def extract_indicator(text: ColumnLike, indicator: str) -> Column:
         for field, value in _matched(text, pattern, kind, P.VETO_WORDS.get(indicator, ())).items():
             found[field].append(value)
     last = lambda vs: F.coalesce(*reversed(vs), F.lit(None).cast("double"))
-    value, yoy = last(found["actual_value"]), last(found["change_yoy"])
-    # Zero counts as "nothing found", as it does for the values themselves.
-    empty = (F.coalesce(value, F.lit(0.0)) == 0) & (F.coalesce(yoy, F.lit(0.0)) == 0)
+    qoq, mom = growth(text, "quarter"), growth(text, "month")
+    ahead = F.lit(None).cast("double") if indicator in P.GROWTH_ONLY else forecast(text)
     if indicator == "cpi":
         generic = value_cpi(text)
     elif indicator in ("export", "investment"):
         generic = value_usd(text)
     elif indicator in P.GROWTH_ONLY:
-        generic = value
+        generic = None
     else:
         generic = value_vnd(text)
-    qoq, mom = growth(text, "quarter"), growth(text, "month")
-    ahead = F.lit(None).cast("double") if indicator in P.GROWTH_ONLY else forecast(text)
-    return F.struct(
-        F.when(empty, generic).otherwise(value).alias("actual_value"), F.when(empty, growth(text)).otherwise(yoy).alias("change_yoy"),
-        qoq.alias("change_qoq"), mom.alias("change_mom"), F.coalesce(mom, qoq).alias("change_prev_period"), ahead.alias("forecast_value"))
+
+    def filled(v: Column) -> Column:
+        # Zero counts as "nothing found", as it does for the values themselves.
+        empty = (F.coalesce(v["value"], F.lit(0.0)) == 0) & (F.coalesce(v["yoy"], F.lit(0.0)) == 0)
+        return F.struct(
+            (v["value"] if generic is None else F.when(empty, generic).otherwise(v["value"])).alias("actual_value"),
+            F.when(empty, growth(text)).otherwise(v["yoy"]).alias("change_yoy"), v["qoq"].alias("change_qoq"), v["mom"].alias("change_mom"),
+            F.coalesce(v["mom"], v["qoq"]).alias("change_prev_period"), v["ahead"].alias("forecast_value"))
+
+    return let(F.struct(last(found["actual_value"]).alias("value"), last(found["change_yoy"]).alias("yoy"), qoq.alias("qoq"), mom.alias("mom"),
+                        ahead.alias("ahead")), filled)
 
 
 def extract_components(text: ColumnLike, indicator: str) -> Column:
@@ -224,8 +236,6 @@ FIGURE = r"\d+[.,]?\d*\s*(?:tỷ|triệu|%|nghìn)"
 
 
 def _rank_contexts(body: str, indicator: str, year: int | None, reach: int, gap: int, keep: int, cut: int) -> list[tuple[int, str]]:
-    import re
-
     found = []
     for keyword in P.KEYWORDS.get(indicator, ()):
         for m in re.finditer(re.escape(keyword), body, re.I):

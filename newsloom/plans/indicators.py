@@ -75,11 +75,11 @@ def _(spark, sf):
     export = F.concat(F.lit("Kim ngạch xuất khẩu ước đạt "), _S("a"), F.lit(","), _S("d"), F.lit(" triệu USD, giảm "), pct)
     cpi, iip = F.concat(F.lit("CPI quý I tăng "), pct), F.concat(F.lit("Chỉ số sản xuất công nghiệp (IIP) tăng "), pct)
     f = _figures(spark, sf).repartition(spark.sparkContext.defaultParallelism)
-    f = f.select("o_orderkey", N.extract_indicator(retail, "retail").alias("r"), N.extract_indicator(export, "export").alias("e"),
-                 N.extract_indicator(cpi, "cpi").alias("c"), N.extract_indicator(iip, "iip").alias("i"))
+    f = f.select("o_orderkey", N.extract_indicator(retail, "retail").alias("re"), N.extract_indicator(export, "export").alias("ex"),
+                 N.extract_indicator(cpi, "cpi").alias("cp"), N.extract_indicator(iip, "iip").alias("ii"))
     r = lambda c: F.round(c, 4)
-    return f.select("o_orderkey", F.col("r.actual_value").alias("retail"), r("r.change_yoy").alias("retail_growth"), r("e.actual_value").alias("export"),
-                    r("e.change_yoy").alias("export_growth"), r("c.actual_value").alias("cpi"), F.col("i.actual_value").alias("iip"), r("i.change_yoy").alias("iip_growth"))
+    return f.select("o_orderkey", F.col("re.actual_value").alias("retail"), r("re.change_yoy").alias("retail_growth"), r("ex.actual_value").alias("export"),
+                    r("ex.change_yoy").alias("export_growth"), r("cp.actual_value").alias("cpi"), F.col("ii.actual_value").alias("iip"), r("ii.change_yoy").alias("iip_growth"))
 
 
 @add("n6_components", f"""with {_FIG} select o_orderkey, a * 1000.0 + b as tax_revenue, a * 1000.0 + b + 1000 as budget_target, round(c + d / 10.0, 4) as execution_rate,
