@@ -7,7 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import text as X
-from ..functions.columns import ColumnLike, attach_table, col, contained, let, strings
+from ..functions.columns import ColumnLike, attach_table, col, contained, settled, strings
 from ..resources import words as W
 from .ranking import top_k
 
@@ -42,28 +42,27 @@ def _bounded(counts: DataFrame, docs: DataFrame, min_df: int, max_df: float) ->
     return counts.withColumn("N", total).filter((F.col("df") >= min_df) & (F.col("df") <= F.col("N") * max_df))
 
 
-def tfidf_phrases(docs: DataFrame, text: str, top_n: int = 50, low: int = 2, high: int = 3, min_df: int = 2, max_df: float = 0.8,
+def tfidf_phrases(docs: DataFrame, key: str, text: str, top_n: int = 50, low: int = 2, high: int = 3, min_df: int = 2, max_df: float = 0.8,
                   features: int = 500, stopwords: Sequence[str] | None = None, entities: Sequence[str] | None = None,
                   boost: float = 3.0, entities_first: bool = False, tokenizer: Callable[[ColumnLike], Column] | None = None) -> DataFrame:
     """Phrases by mean L2-normalised TF-IDF over all documents, entity phrases boosted.
 
-    The vocabulary (``features`` terms, so small by construction) goes back to
-    the documents; weights and norms are computed inside the row.
+    The vocabulary goes back to the documents as a broadcast; a document's own
+    hits are then weighted and normalised inside one row.
     """
     stop = W.PHRASE_STOPWORDS if stopwords is None else stopwords
-    grams = _grams(docs, text, low, high, stop, tokenizer)
+    grams = _grams(docs, text, low, high, stop, tokenizer, [key])
     vocabulary = top_k(_bounded(term_counts(grams), docs, min_df, max_df), features, F.desc("tf"), F.col("term")).select(
         "term", (F.log((1 + F.col("N")) / (1 + F.col("df"))) + 1).alias("idf"))
-    rows = attach_table(grams, vocabulary, "_v", features)
+    # ``features`` rows, so the broadcast is small by construction; only hits are shuffled.
+    hits = grams.select(key, F.explode("grams").alias("term")).join(F.broadcast(vocabulary), "term")
+    per_doc = hits.groupBy(key).agg(F.collect_list(F.struct("term", "idf")).alias("h"))
 
-    # The hash-based intersection finds a text's vocabulary terms; only those are counted.
-    def weights(found: Column, hits: Column) -> Column:
-        return F.transform(F.filter("_v", lambda v: F.array_contains(hits, v["term"])), lambda v: F.struct(
-            v["term"].alias("term"), (F.size(F.filter(found, lambda x: x == v["term"])) * v["idf"]).alias("w")))
+    def weights(h: Column) -> Column:
+        return F.transform(F.array_distinct(h), lambda t: F.struct(
+            t["term"].alias("term"), (F.size(F.filter(h, lambda x: x["term"] == t["term"])) * t["idf"]).alias("w")))
 
-    terms = F.transform("_v", lambda v: v["term"])
-    weighted = rows.select(let(F.col("grams"), lambda g: let(F.array_intersect(g, terms), lambda h: let(
-        F.filter(g, lambda x: F.array_contains(h, x)), lambda found: weights(found, h)))).alias("c"))
+    weighted = settled(per_doc.select("h"), "c", weights(F.col("h"))).select("c")
     norm = F.sqrt(F.aggregate("c", F.lit(0.0), lambda a, s: a + s["w"] * s["w"]))
     scored = weighted.select(norm.alias("norm"), F.explode("c").alias("s")).groupBy(F.col("s.term").alias("phrase")).agg(
         F.sum(F.col("s.w") / F.col("norm")).alias("total"))

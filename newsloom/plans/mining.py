@@ -34,7 +34,7 @@ def _counts(source: str, tok: str, low: int, high: int, key: str = "doc_id") ->
     case when len(list_filter({S.strings(TOY_ENTITIES)}, lambda e: contains(term, e))) > 0 then 'entity' else 'phrase' end as type from s where length(term) > 2)
   select term as phrase, round(score, 4) as score, type from b order by round(b.score, 9) desc, term limit 50""")
 def _(spark, sf):
-    return K.tfidf_phrases(table(spark, sf, "documents"), "text", stopwords=STOP, entities=TOY_ENTITIES)
+    return K.tfidf_phrases(table(spark, sf, "documents"), "doc_id", "text", stopwords=STOP, entities=TOY_ENTITIES)
 
 
 _LABELLED = "ld as (select doc_id, text, quality as label from documents join labels using (doc_id))"
