@@ -17,6 +17,8 @@ def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[ColumnLike
     a key that holds a third of the table costs no more than any other.
     """
     rest = [c for c in df.columns if c not in keys]
+    if not rest:
+        return df.distinct()
     pick = F.max_by if last else F.min_by
     best = df.groupBy(*keys).agg(
         pick(F.struct(*rest), F.struct(*[col(o).alias(f"o{i}") for i, o in enumerate(order)])).alias("_row"))

@@ -38,7 +38,8 @@ def recall(articles: DataFrame, terms: Sequence[str], year: int, k: int, title:
     """Articles of year - 1 to year + 1 with any of the first terms; longest, then newest first."""
     low = F.lower(F.concat_ws("\n", title, content))
     rows = articles.filter(D.within(published, datetime(year - 1, 1, 1), datetime(year + 2, 1, 1)))
-    rows = rows.filter(_any(low, [t.lower() for t in terms[:first_terms]]))
+    # Bound once: the text is lower-cased once per row and not once per term.
+    rows = rows.filter(let(low, lambda t: _any(t, [w.lower() for w in terms[:first_terms]])))
     return top_k(rows, 3 * k, F.length(content).desc(), F.desc(published), F.col(key))
 
 
@@ -46,8 +47,7 @@ def gate(articles: DataFrame, place: str, year: int, title: str = "title", conte
          domain_words: Sequence[str] = DOMAIN_WORDS) -> DataFrame:
     """Articles that name the place, the year (or the one before) and a domain word."""
     low = F.lower(F.concat_ws(" ", title, content))
-    return articles.withColumn("_low", low).filter(
-        F.col("_low").contains(place.lower()) & _any(F.col("_low"), [str(year), f"năm {year - 1}"]) & _any(F.col("_low"), domain_words)).drop("_low")
+    return articles.filter(let(low, lambda t: t.contains(place.lower()) & _any(t, [str(year), f"năm {year - 1}"]) & _any(t, domain_words)))
 
 
 def relevance(articles: DataFrame, place: str, year: int, quarter: int | None = None, title: str = "title", content: str = "content",
