@@ -40,10 +40,6 @@ def count_where(condition: Column) -> Column:
     return F.count_if(F.coalesce(condition, F.lit(False)))
 
 
-def as_struct_list(pairs: Mapping[str, object]) -> Column:
-    return F.struct(*[F.lit(v).alias(k) for k, v in pairs.items()])
-
-
 def attach_table(df: DataFrame, table: DataFrame, name: str, max_rows: int = 5000) -> DataFrame:
     """Attach a small table to every row as ``array<struct>`` column ``name``.
 

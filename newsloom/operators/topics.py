@@ -10,11 +10,11 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA, Normalizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from ..functions import dates as D
-from ..functions.columns import ColumnLike, attach_table, col, count_where
-from . import marts as M, mining as K
+from ..functions.columns import attach_table, count_where
+from . import mining as K
 from .dedup import cosine
 from .ranking import nested_top_k, top_k_per_group
 

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from ..operators.ranking import first_per_key
 from ..sources import files as S, html as H, mappers as M, merge as L
-from . import fixtures as X
 from .registry import Registry, table
 
 REGISTRY = Registry()

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from ..functions import dates as D, urls as U
 from ..operators import normalize as N
-from ..resources import words as W
 from ..sources import mappers as M
 from . import fixtures as X, sqlparts as S
 from .registry import Registry, table

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window, functions as F
 
 from ..functions import dates as D, text as T
-from ..operators import marts as M, panel as P, ranking as R, search as Q
+from ..operators import panel as P, ranking as R, search as Q
 from . import fixtures as X, sqlparts as S
 from .marts import flat_list
 from .registry import Registry, table

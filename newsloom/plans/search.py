@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import mining as K, search as Q
+from ..operators import search as Q
 from . import fixtures as X, sqlparts as S
 from .registry import Registry, table
 

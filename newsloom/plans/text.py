@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from ..functions import dates as D, numbers as N, text as T
 from ..operators import entities as E
-from ..resources import words as W
 from . import sqlparts as S
 from .registry import Registry, table
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import date, datetime
+from datetime import datetime
 
 from pyspark.sql import functions as F
 
@@ -10,7 +10,7 @@ from ..functions import text as T
 from ..operators import marts as M, trends as O
 from . import fixtures as X, sqlparts as S
 from .marts import REF, WEEK, _EMO, _SENT, flat, flat_list
-from .registry import Registry, table
+from .registry import Registry
 
 REGISTRY = Registry()
 add = REGISTRY.add
