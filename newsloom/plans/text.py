@@ -109,7 +109,7 @@ def _(spark, sf):
         "doc_id", T.expand_abbreviations("text", TOY_ABBREVIATIONS).alias("expanded"))
 
 
-@add("c7_fix_diacritics")
+@add("c7_fix_diacritics", "select doc_id, text || ' người thời hòa' as fixed from documents")
 def _(spark, sf):
     typo = F.concat(F.col("text"), F.lit(" Ngươì thơì hoà"))
     return table(spark, sf, "documents").select("doc_id", T.fix_diacritics(typo).alias("fixed"))
@@ -265,7 +265,7 @@ def _(spark, sf):
         F.date_format(D.shift("ts", years=-1), fmt).alias("minus_year"))
 
 
-@add("c22_tidy_phrase")
+@add("c22_tidy_phrase", "select p_partkey, p_name as phrase from part")
 def _(spark, sf):
     p = table(spark, sf, "part")
     return p.select("p_partkey", T.tidy_phrase(F.concat(F.lit("của_"), F.col("p_name"), F.lit("  và "))).alias("phrase"))
