@@ -14,3 +14,29 @@ def op10_secret_scan(spark, sf_dir):
     from newsloom.llm.common import read
 
     return secrets.report(read(spark, sf_dir, "documents"))
+
+
+@add("op2_token_counts")
+def op2_token_counts(spark, sf_dir):
+    import public_tokenizers
+    from newsloom.llm import token_counts
+    from newsloom.llm.common import read
+
+    return token_counts.token_counts(read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@add("op7_shard_placement")
+def op7_shard_placement(spark, sf_dir):
+    from newsloom.llm import sharding
+    from newsloom.llm.common import read
+
+    docs = read(spark, sf_dir, "documents").select("doc_id", "source")
+    return sharding.place(docs, "doc_id", [f"shard-{i:03d}" for i in range(128)]).select("doc_id", "slot", "shard")
+
+
+@add("op8_decontamination")
+def op8_decontamination(spark, sf_dir):
+    from newsloom.llm import decontamination
+    from newsloom.llm.common import read
+
+    return decontamination.report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
