@@ -40,3 +40,11 @@ def op8_decontamination(spark, sf_dir):
     from newsloom.llm.common import read
 
     return decontamination.report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+@add("op3_language_id")
+def op3_language_id(spark, sf_dir):
+    from newsloom.llm import language
+    from newsloom.llm.common import read
+
+    return language.label(read(spark, sf_dir, "documents"))
