@@ -48,3 +48,12 @@ def op3_language_id(spark, sf_dir):
     from newsloom.llm.common import read
 
     return language.label(read(spark, sf_dir, "documents"))
+
+
+@add("op5_curve_packing")
+def op5_curve_packing(spark, sf_dir):
+    import public_tokenizers
+    from newsloom.llm import packing
+    from newsloom.llm.common import read
+
+    return packing.pack(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
