@@ -57,3 +57,35 @@ def op5_curve_packing(spark, sf_dir):
     from newsloom.llm.common import read
 
     return packing.pack(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def _op1_sql() -> str:
+    from newsloom.llm import spotsigs
+
+    common = "[" + ", ".join(f"'{a}'" for a in spotsigs.ANCHORS) + "]"
+
+    def signatures(text: str) -> str:
+        words = rf"regexp_extract_all(lower({text}), '[\p{{L}}\p{{N}}]+')"
+        chain = (f"substr(md5(array_to_string([w[i]] || list_filter(w[i+1:i+{spotsigs.REACH}], lambda x: not list_contains({common}, x))"
+                 f"[1:{spotsigs.CHAIN}], ' ')), 1, {spotsigs.DIGITS})")
+        places = f"case when list_has_any(w, {common}) then list_filter(range(1, len(w) + 1), lambda i: list_contains({common}, w[i])) else range(1, len(w) + 1) end"
+        return f"(select list_sort(list_distinct(list_transform({places}, lambda i: {chain}))) from (select {words} as w))"
+
+    like = ("case when len({a}) = 0 and len({b}) = 0 then 1.0 when len({a}) = 0 or len({b}) = 0 then 0.0 else len(list_intersect({a}, {b}))::double "
+            "/ (len({a}) + len({b}) - len(list_intersect({a}, {b}))) end::double")
+    return f"""
+with d as (select doc_id, coalesce(text, '') as text from documents),
+n as (select *, coalesce(lead(text) over (order by doc_id), first_value(text) over (order by doc_id)) as next from d),
+e as (select *, left(text, length(text) - length(text) // 2) || left(next, length(text) // 2) as edited from n),
+s as (select *, {signatures('text')} as a, {signatures('edited')} as b, {signatures('next')} as c from e)
+select doc_id, length(text)::bigint as n_chars, sha256(edited) as edited_sha256, array_to_string(a, ' ') as fingerprint,
+  array_to_string(b, ' ') as edited_fingerprint, {like.format(a='a', b='b')} as near_edited, {like.format(a='a', b='c')} as near_next
+from s"""
+
+
+@add("op1_spotsigs", _op1_sql())
+def op1_spotsigs(spark, sf_dir):
+    from newsloom.llm import spotsigs
+    from newsloom.llm.common import read
+
+    return spotsigs.edit_report(read(spark, sf_dir, "documents"))
