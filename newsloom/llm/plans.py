@@ -89,3 +89,11 @@ def op1_spotsigs(spark, sf_dir):
     from newsloom.llm.common import read
 
     return spotsigs.edit_report(read(spark, sf_dir, "documents"))
+
+
+@add("op4_repeated_phrases")
+def op4_repeated_phrases(spark, sf_dir):
+    from newsloom.llm import phrases
+    from newsloom.llm.common import read
+
+    return phrases.strip_repeats(read(spark, sf_dir, "documents"))
