@@ -146,6 +146,8 @@ _FOUND = f"{SPANS}, pos binary, lefts binary, rights binary, keys binary, hot bi
 
 def _by_document(ids: np.ndarray, marks: np.ndarray) -> Iterator[np.ndarray]:
     order = np.lexsort((marks, ids))
+    if not len(order):
+        return
     cut = np.flatnonzero(~same_as_before(ids[order], marks[order]))
     for a, b in zip(cut, np.append(cut[1:], len(order)), strict=True):
         yield order[a:b]
