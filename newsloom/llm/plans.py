@@ -97,3 +97,11 @@ def op4_repeated_phrases(spark, sf_dir):
     from newsloom.llm.common import read
 
     return phrases.strip_repeats(read(spark, sf_dir, "documents"))
+
+
+@add("op9_suffix_repeats")
+def op9_suffix_repeats(spark, sf_dir):
+    from newsloom.llm import suffixes
+    from newsloom.llm.common import read
+
+    return suffixes.strip_repeats(read(spark, sf_dir, "documents"))
