@@ -21,10 +21,10 @@ SEGMENT = 24
 #: Labelled documents of each language that are drawn for training (expected), and distinct segments of each language at most.
 SAMPLE_DOCS = 300
 SAMPLE_SEGMENTS = 6_000
-HIDDEN = 24
+HIDDEN = 16
 UNKNOWN = "und"
 #: Segment scores that a worker keeps; the memo is emptied beyond that, which changes no result.
-MEMO = 150_000
+MEMO = 400_000
 _LETTER = re.compile(r"[^\W\d_]")
 _PAD = 256
 
@@ -102,15 +102,47 @@ class Network:
         y -= y.max(axis=2, keepdims=True)
         return both, y - np.log(np.exp(y).sum(axis=2, keepdims=True))
 
-    def scores(self, batch: list[bytes], at_once: int = 2048) -> np.ndarray:
+    def _states(self, steps: np.ndarray, d: str) -> np.ndarray:
+        """As :meth:`_pass` for segments of one length: no padding, the work done in place, segments along the last axis."""
+        h, (n, b) = self.hidden, steps.shape
+        x, u, c = (np.ascontiguousarray(self.weights[f"{k}{d}"].T) for k in "xuc")
+        x[:2 * h] *= 0.5  # a sigmoid is half of a tanh of the half, and a half
+        u[:2 * h] *= 0.5
+        c = c[:, None]
+        states = np.empty((n, h, b), np.float32)
+        state = np.zeros((h, b), np.float32)
+        for t in range(n) if d == "f" else range(n - 1, -1, -1):
+            gx, gu = x[:, steps[t]], u @ state
+            gates, new, inner = gx[:2 * h], gx[2 * h:], gu[2 * h:]
+            gates += gu[:2 * h]
+            np.tanh(gates, out=gates)
+            gates *= 0.5
+            gates += 0.5
+            inner += c
+            inner *= gates[h:]
+            new += inner
+            np.tanh(new, out=new)
+            np.subtract(state, new, out=states[t])
+            states[t] *= gates[:h]
+            states[t] += new
+            state = states[t]
+        return states
+
+    def scores(self, batch: list[bytes], at_once: int = 1024) -> np.ndarray:
         """Sum of the positions' log probabilities for each segment and class."""
-        out = np.zeros((len(batch), len(self.classes)), np.float32)
-        order = np.argsort([len(b) for b in batch], kind="stable")
-        for i in range(0, len(batch), at_once):
-            own = order[i:i + at_once]
-            steps, _ = padded([batch[j] for j in own])
-            _, y = self.labels(steps)
-            out[own] = (y * (steps != _PAD)[:, :, None]).sum(axis=0)
+        h, out = self.hidden, np.zeros((len(batch), len(self.classes)), np.float32)
+        lengths = np.array([len(b) for b in batch])
+        order = np.argsort(lengths, kind="stable")
+        forward, backward = (np.ascontiguousarray(w.T) for w in (self.weights["o"][:h], self.weights["o"][h:]))
+        for group in np.split(order, np.flatnonzero(np.diff(lengths[order])) + 1):
+            for i in range(0, len(group), at_once):
+                own = group[i:i + at_once]
+                steps = np.ascontiguousarray(np.frombuffer(b"".join([batch[j] for j in own]), np.uint8).reshape(len(own), -1).T).astype(np.intp)
+                y = forward @ self._states(steps, "f")
+                y += backward @ self._states(steps, "b")
+                y += self.weights["p"][:, None]
+                y -= y.max(axis=1, keepdims=True)
+                out[own] = (y.sum(axis=0) - np.log(np.exp(y).sum(axis=1)).sum(axis=0)).T
         return out
 
     def gradients(self, steps: np.ndarray, target: np.ndarray, weight: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
@@ -218,26 +250,37 @@ class Reader:
     """Applies a network to texts and remembers segments."""
 
     def __init__(self, network: Network) -> None:
-        self.network, self.memo = network, {}
+        self.network = network
+        self.place: dict[bytes, int] = {}
+        self.known = np.zeros((MEMO, len(network.classes) + 1), np.float32)
+
+    def _learn(self, wanted: set[bytes]) -> None:
+        if len(self.place) + len(wanted) > len(self.known):
+            self.place = {}
+            if len(wanted) > len(self.known):
+                self.known = np.zeros((len(wanted), self.known.shape[1]), np.float32)
+            new = sorted(wanted)
+        else:
+            new = sorted(wanted - self.place.keys())
+        if new:
+            at = len(self.place)
+            self.known[at:at + len(new), :-1] = self.network.scores(new)
+            self.known[at:at + len(new), -1] = [len(s) for s in new]
+            self.place.update(zip(new, range(at, at + len(new)), strict=True))
 
     def __call__(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         cut = [Counter(segments(t)) if t and _LETTER.search(t) else None for t in texts]
-        wanted = {s for c in cut if c for s in c}
-        if len(self.memo) + len(wanted) > MEMO:
-            self.memo = {}
-        new = sorted(wanted - self.memo.keys())
-        if new:
-            self.memo.update(zip(new, self.network.scores(new), strict=True))
+        self._learn({s for c in cut if c for s in c})
         names, scores = [], []
         for c in cut:
             if not c:
                 names.append(UNKNOWN)
                 scores.append(0.0)
                 continue
-            rows = np.array([self.memo[s] for s in c], np.float64)
-            times = np.array(list(c.values()), np.float64)
-            length = float((times * np.array([len(s) for s in c])).sum())
-            pooled = times @ rows / max(length, 1) * min(length, 60)  # neighbouring positions are no independent witnesses
+            times = np.fromiter(c.values(), np.float64, len(c))
+            total = times @ self.known[np.fromiter(map(self.place.__getitem__, c), np.int64, len(c))]
+            length = total[-1]
+            pooled = total[:-1] / max(length, 1) * min(length, 60)  # neighbouring positions are no independent witnesses
             p = np.exp(pooled - pooled.max())
             p /= p.sum()
             best = int(p.argmax())
