@@ -7,7 +7,8 @@ a sequence holds neighbours.
 
 from __future__ import annotations
 
-import itertools
+import json
+import os
 import re
 import zlib
 from collections.abc import Iterator
@@ -22,45 +23,51 @@ from newsloom.llm.common import checkpointed, keyed_texts, null_first, shuffle_p
 LENGTH = 1024
 END = 0
 DIMENSIONS, BITS = 4, 12
-#: Pre-tokens whose ids a worker keeps; the memo is emptied beyond that, which changes no result.
-MEMO = 300_000
 
-# The public byte-level pre-token pattern, for texts of plain characters only; others go to the library whole.
-_LETTERS = "A-Za-zªµºÀ-ÖØ-öø-ɏ"
-_PIECE = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTERS}]+| ?[0-9]+| ?[^\s{_LETTERS}0-9]+|\s+(?!\S)|\s+")
-_PLAIN = re.compile(rf"[\t\n\r -~¡§«¶·»¿€–—‘’‚“”„…{_LETTERS}]*")
+# Characters on which the libraries' pre-token patterns agree; texts with others go to the tokenizer itself.
+_PLAIN = re.compile(r"[\t\n\r -~¡§«¶·»¿€–—‘’‚“”„…ªµºÀ-ÖØ-öø-ɏ]*")
+# Fixed value: the public byte-level pre-token pattern.
+_PIECES = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
+def byte_alphabet() -> dict[str, int]:
+    """The characters that byte-level vocabularies write for bytes: printable ones for themselves, others from 256 on."""
+    own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in own]
+    return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(others)}
 
 
 class Tokens:
-    """Token ids of texts with one loaded tokenizer, as little-endian 32-bit bytes."""
+    """Token ids of texts by one tokenizer file, without special tokens added.
+
+    Ids of plain texts are merged by rank, which is the file's own order of merges (checked when it is loaded) and the
+    faster engine; texts that hold a special string or an unusual character are encoded by the tokenizer itself.
+    """
 
     def __init__(self, path: str) -> None:
+        import tiktoken
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.memo: dict[str, bytes] = {}
-
-    def _whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
+        with open(path, encoding="utf-8") as file:
+            model = json.load(file)["model"]
+        vocabulary, alphabet = model["vocab"], byte_alphabet()
+        if any(vocabulary["".join(m.split(" ") if isinstance(m, str) else m)] != len(alphabet) + i for i, m in enumerate(model["merges"])):
+            raise ValueError("ids do not follow the order of merges; this vocabulary has no ranks")
+        ranks = {bytes(alphabet[c] for c in token): i for token, i in vocabulary.items() if token not in self.special}
+        self.ranked = tiktoken.Encoding("ranks", pat_str=_PIECES, mergeable_ranks=ranks, special_tokens={})
+
+    def __call__(self, texts: list[str]) -> list[np.ndarray]:
         plain = [_PLAIN.fullmatch(t) is not None and not any(s in t for s in self.special) for t in texts]
-        cut = [_PIECE.findall(t) if p else None for t, p in zip(texts, plain, strict=True)]
-        wanted = set(itertools.chain.from_iterable(c for c in cut if c))
-        if len(self.memo) + len(wanted) > MEMO:
-            self.memo = {}
-        new = list(wanted - self.memo.keys())
-        if new:
-            self.memo.update(zip(new, self._whole(new), strict=True))
-        odd = iter(self._whole([t for t, p in zip(texts, plain, strict=True) if not p]))
-        get = self.memo.__getitem__
-        return [next(odd) if c is None else b"".join(map(get, c)) for c in cut]
+        odd = iter(self.tokenizer.encode_batch([t for t, p in zip(texts, plain, strict=True) if not p], add_special_tokens=False))
+        return [np.array(self.ranked.encode_ordinary(t) if p else next(odd).ids, np.uint32) for t, p in zip(texts, plain, strict=True)]
 
 
 def projection(size: int, dimensions: int = DIMENSIONS, seed: int = 11) -> np.ndarray:
     """A fixed random direction for each hashed token."""
-    return np.random.default_rng(seed).normal(0, 1, (size, dimensions)).astype(np.float32)
+    return np.random.default_rng(seed).normal(0, 1, (size, dimensions))
 
 
 def hilbert(points: np.ndarray, bits: int = BITS) -> np.ndarray:
@@ -91,16 +98,13 @@ def hilbert(points: np.ndarray, bits: int = BITS) -> np.ndarray:
     return key
 
 
-def curve_keys(ids: list[bytes], directions: np.ndarray, bits: int = BITS) -> np.ndarray:
-    """Curve place of each document: mean direction of its tokens, squeezed to 0..1 by its normal scale."""
-    lengths = np.array([len(b) // 4 for b in ids])
-    flat = np.frombuffer(b"".join(ids), "<u4")
-    sums = np.zeros((len(ids), directions.shape[1]), np.float64)
-    some = lengths > 0
-    if some.any():
-        at = np.cumsum(lengths) - lengths
-        sums[some] = np.add.reduceat(directions[flat % len(directions)], at[some], axis=0, dtype=np.float64)
-    unit = np.tanh(3.0 * sums / np.maximum(lengths, 1)[:, None])  # bounded, so that no corpus statistics are needed
+def curve_keys(ids: list[np.ndarray], directions: np.ndarray, bits: int = BITS) -> np.ndarray:
+    """Curve place of each document: its hashed vector of token counts, projected and squeezed to 0..1."""
+    points = np.zeros((len(ids), directions.shape[1]))
+    for i, own in enumerate(ids):
+        if len(own):
+            points[i] = np.bincount(own % len(directions), minlength=len(directions)) @ directions / len(own)
+    unit = np.tanh(3.0 * points)  # bounded, so that no corpus statistics are needed
     return hilbert(np.minimum((unit + 1) / 2 * (1 << bits), (1 << bits) - 1).astype(np.int64), bits)
 
 
@@ -115,7 +119,7 @@ def tokenized(docs: DataFrame, tokenizer_file: str, id_col: str = "doc_id", text
                 part = batch.slice(at, 500)
                 ids = tokens(part.column(1).to_pylist())
                 keys = curve_keys(ids, directions)
-                arrays = [np.append(np.frombuffer(b, "<u4"), np.uint32(END)) for b in ids]
+                arrays = [np.append(a, np.uint32(END)) for a in ids]
                 wide = [bool(a.max() > 0xFFFF) for a in arrays]
                 yield pa.RecordBatch.from_arrays([
                     part.column(0), pa.array(keys, pa.int64()),
