@@ -105,3 +105,11 @@ def op9_suffix_repeats(spark, sf_dir):
     from newsloom.llm.common import read
 
     return suffixes.strip_repeats(read(spark, sf_dir, "documents"))
+
+
+@add("op6_token_groups")
+def op6_token_groups(spark, sf_dir):
+    from newsloom.llm import token_groups
+    from newsloom.llm.common import read
+
+    return token_groups.near_classes(read(spark, sf_dir, "documents"))
