@@ -5,6 +5,8 @@ Plain column expressions; no Python runs on the executors.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from newsloom.llm.common import keyed_texts, null_first, shuffle_partitions
@@ -50,35 +52,39 @@ def likeness(a: Column, b: Column, least: float = 0.0) -> Column:
     return F.when(long == 0, F.lit(1.0)).when((short == 0) | (short < F.lit(least) * long), F.lit(0.0)).otherwise(shared / (na + nb - shared))
 
 
-def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *more: str) -> DataFrame:
-    """doc_id, text and each of ``more``, with the next document's as ``next_<name>``, ascending doc_id; after the last, the first.
+def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", more: dict[str, Callable[[Column], Column]] | None = None) -> DataFrame:
+    """doc_id, text and each of ``more`` (made from the text), with the next document's as ``next_<name>``, ascending
+    doc_id; after the last, the first.
 
     Null ids come first, equal ids are ordered by text. Ids fall into many ranges, so that no task sorts the table; the
     first row of each range is also sent to the range before it. Texts are shuffled once.
     """
     spark = docs.sparkSession
-    rows = docs.select(null_first(docs[id_col]).alias("_at"), docs[id_col].alias("doc_id"), docs[text_col].alias("text"), *more)
+    rows = docs.select(null_first(docs[id_col]).alias("_at"), docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
+    more = more or {}
     names = ["text", *more]
     wanted = 8 * shuffle_partitions(spark)
     ranges = min(MOST_RANGES, wanted)
     bounds = sorted({int(x) for x in rows.approxQuantile("_at", [i / ranges for i in range(ranges + 1)], 0.25 / ranges)})
     if not bounds:
-        return rows.select("doc_id", *names, *[F.col(n).alias(f"next_{n}") for n in names])
+        return rows.select("*", *[make(F.col("text")).alias(n) for n, make in more.items()]).select("doc_id", *names, *[F.col(n).alias(f"next_{n}") for n in names])
     steps = max(1, wanted // ranges)
     edges = F.array(*[F.lit(b).cast("long") for b in bounds])
 
     def bucket(at: Column) -> Column:
         k = F.greatest(F.size(F.filter(edges, lambda e: e <= at)), F.lit(1))
-        low, high = F.element_at(edges, k), F.coalesce(F.try_element_at(edges, k + 1), F.element_at(edges, k))
-        part = F.when(high > low, F.floor((at - low) / (high - low) * steps)).otherwise(F.lit(0))
+        low, high = (e.cast("double") for e in (F.element_at(edges, k), F.coalesce(F.try_element_at(edges, k + 1), F.element_at(edges, k))))
+        part = F.when(high > low, F.floor((at.cast("double") - low) / (high - low) * steps)).otherwise(F.lit(0))
         return k * steps + F.least(F.greatest(part.cast("int"), F.lit(0)), F.lit(steps - 1))
 
     placed = rows.withColumn("_bucket", bucket(F.col("_at")))
     firsts = sorted((r["_bucket"], r["first"]) for r in placed.groupBy("_bucket").agg(F.min("_at").alias("first")).collect())
     sent = [(first, firsts[i - 1][0]) for i, (_, first) in enumerate(firsts)]
     before = F.broadcast(spark.createDataFrame(sent, "_at long, _to int"))
-    ghosts = rows.join(before, "_at").select("_at", "doc_id", *names, F.col("_to").alias("_bucket"), F.lit(True).alias("_ghost"))
-    both = placed.select("_at", "doc_id", *names, "_bucket", F.lit(False).alias("_ghost")).unionByName(ghosts)
+    ghosts = rows.join(before, "_at").select("_at", "doc_id", "text", F.col("_to").alias("_bucket"), F.lit(True).alias("_ghost"))
+    both = placed.select("_at", "doc_id", "text", "_bucket", F.lit(False).alias("_ghost")).unionByName(ghosts)
+    for name, make in more.items():
+        both = both.select("*", F.explode(F.array(make(F.col("text")))).alias(name))
     w = Window.partitionBy("_bucket").orderBy("_ghost", "_at", "text")
     return both.select("doc_id", "_ghost", *names, *[F.lead(n).over(w).alias(f"next_{n}") for n in names]).where(~F.col("_ghost")).drop("_ghost")
 
@@ -97,8 +103,7 @@ def edit_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     Null texts are empty. Equal texts have equal fingerprints; repeated rows each give a row; extra columns are left out.
     """
-    own = keyed_texts(docs, id_col, text_col).withColumn("fp", fingerprint(signatures(F.col("text"))))
-    pairs = with_next(own, "doc_id", "text", "fp")
+    pairs = with_next(keyed_texts(docs, id_col, text_col), more={"fp": lambda text: fingerprint(signatures(text))})
     n = F.char_length("text")
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - half), F.substring(F.col("next_text"), F.lit(1), half))
