@@ -1,16 +1,60 @@
-"""The corpus pipeline: language, near copies, benchmark passages, secrets, packing."""
+"""The corpus pipeline: language, near copies, benchmark passages, secrets, packing.
+
+Each stage works on all rows that its predecessor kept and returns the columns of ``documents``, the last one returns
+the packed pieces.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from newsloom.llm import decontamination, language, packing, secrets, token_groups
+from newsloom.llm.common import read, shared_folder
+
+
+def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents whose language is unknown; learns from the labelled rows of ``docs``."""
+    return language.keep_known(docs, language.fit(docs))
+
+
+def near_copy_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each class of near copies, that with the smallest id."""
+    return token_groups.keep_one(docs)
+
+
+def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents contaminated by benchmark items."""
+    return decontamination.keep_clean(docs, read(spark, sf_dir, "benchmark"))
+
+
+def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Masks secrets in the texts; every document stays."""
+    masked = secrets.redact(docs)
+    return masked.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else masked
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token sequences of neighbouring documents."""
+    import public_tokenizers
+
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
 
-STAGES: list = []
+STAGES = [
+    ("language", language_stage), ("near_copies", near_copy_stage), ("benchmark", benchmark_stage), ("secrets", secret_stage), ("packing", packing_stage),
+]
 
+#: SQL cannot express the first and the last stage; tests compare every stage with a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    """All stages over ``documents``; each result is written to the shared folder and read again."""
+    docs = read(spark, sf_dir, "documents")
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    for name, stage in STAGES[:-1]:
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+        docs = spark.read.parquet(f"{folder}/{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -31,13 +31,14 @@ HOT = 10_000
 class Rule:
     """Runs of ``length`` units (``words`` or ``bytes``) are repeats; ``gram`` units make an anchor.
 
-    ``inside``: an earlier start in the same document counts, not only a smaller id.
+    ``hot``: anchors with more different surroundings are compared by window hashes alone. ``inside``: an earlier start in the same document counts, not only a smaller id.
     """
 
     unit: str
     length: int
     gram: int
     inside: bool
+    hot: int = HOT
 
 
 class Measured:
@@ -195,7 +196,7 @@ def _judge(rule: Rule):
             c, o = own[useful[own]], own[open_[own]]
             values = (int(ids[own[0]]), int(marks[own[0]]), _packed(pos[c].astype(np.int64) - left[c], "<u4"), _packed(pos[c].astype(np.int64) + rule.gram + right[c], "<u4"),
                       _packed(first[c], "<i8"), _packed(pos[o], "<u4"), _packed(left[o], "u1"), _packed(right[o], "u1"), _packed(h[o], "<u8"),
-                      _packed(contexts[o] > HOT, "u1"))
+                      _packed(contexts[o] > rule.hot, "u1"))
             for column, v in zip(out, values, strict=True):
                 column.append(v)
             if len(out[0]) >= 5000:

@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from newsloom.llm import arrowtext
@@ -138,6 +139,33 @@ class Benchmark:
             yield a, at[a:b].tolist()
 
 
+def _hits(texts: arrowtext.Texts, benchmark: Benchmark) -> tuple[arrowtext.Words, np.ndarray, dict[int, set[str]]]:
+    """(words, which of them are hit, items by row) of a chunk."""
+    w = arrowtext.words(texts, arrowtext.ALNUM, lower=True)
+    hit = np.zeros(len(w.hashes), bool)
+    found: dict[int, set[str]] = {}
+    for first, run in benchmark.runs(w):
+        row = int(np.searchsorted(w.bounds, first, "right")) - 1
+        for a, b, names in benchmark.automaton.matches(run):
+            hit[first + a:first + b] = True
+            found.setdefault(row, set()).update(names)
+    return w, hit, found
+
+
+def _per_row(w: arrowtext.Words, hit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(words, hit words) of each row."""
+    total = np.concatenate([[0], np.cumsum(hit)])
+    return np.diff(w.bounds), total[w.bounds[1:]] - total[w.bounds[:-1]]
+
+
+def _given(items: DataFrame, item_id: str, item_text: str) -> list[tuple[str, str]]:
+    texts = items.select(F.coalesce(items[item_id].cast("string"), F.lit("")).alias("id"), F.coalesce(items[item_text], F.lit("")).alias("text"))
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    if size > 2 * MOST_ITEM_WORDS:
+        raise ValueError(f"the items hold more than {MOST_ITEM_WORDS} words; give them in blocks")
+    return sorted({(r["id"], r["text"]) for r in texts.collect()})
+
+
 _SCHEMA = "doc_id long, n_words long, n_hit long, items array<string>, spans array<struct<start:long,stop:long>>"
 _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
 
@@ -151,26 +179,15 @@ def matches(docs: DataFrame, items: DataFrame, window: int = WINDOW, id_col: str
     nothing; an item listed twice counts once; equal rows each give a row; extra columns are left out. An empty table
     gives an empty result. The items go to every worker: above MOST_ITEM_WORDS words the job is refused.
     """
-    texts = items.select(F.coalesce(items[item_id].cast("string"), F.lit("")).alias("id"), F.coalesce(items[item_text], F.lit("")).alias("text"))
-    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    if size > 2 * MOST_ITEM_WORDS:
-        raise ValueError(f"the items hold more than {MOST_ITEM_WORDS} words; give them in blocks")
-    given = sorted({(r["id"], r["text"]) for r in texts.collect()})
+    given = _given(items, item_id, item_text)
 
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         benchmark = Benchmark(given, window)
         for batch in batches:
             ids = batch.column(0)
             for texts in arrowtext.chunks(batch.column(1)):
-                w = arrowtext.words(texts, arrowtext.ALNUM, lower=True)
-                hit = np.zeros(len(w.hashes), bool)
-                found: dict[int, set[str]] = {}
-                for first, run in benchmark.runs(w):
-                    row = int(np.searchsorted(w.bounds, first, "right")) - 1
-                    for a, b, names in benchmark.automaton.matches(run):
-                        hit[first + a:first + b] = True
-                        found.setdefault(row, set()).update(names)
-                total = np.concatenate([[0], np.cumsum(hit)])
+                w, hit, found = _hits(texts, benchmark)
+                n_words, n_hit = _per_row(w, hit)
                 spans: list[list[dict]] = [[] for _ in range(texts.rows)]
                 for row in found:
                     a, b = w.bounds[row], w.bounds[row + 1]
@@ -179,15 +196,34 @@ def matches(docs: DataFrame, items: DataFrame, window: int = WINDOW, id_col: str
                     spans[row] = [{"start": int(w.starts[a + x] - base), "stop": int(w.ends[a + y - 1] - base)}
                                   for x, y in zip(np.flatnonzero(step == 1), np.flatnonzero(step == -1), strict=True)]
                 yield pa.RecordBatch.from_arrays([
-                    ids.slice(texts.first_row, texts.rows), pa.array(np.diff(w.bounds), pa.int64()),
-                    pa.array(total[w.bounds[1:]] - total[w.bounds[:-1]], pa.int64()),
+                    ids.slice(texts.first_row, texts.rows), pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()),
                     pa.array([sorted(found.get(r, ())) for r in range(texts.rows)], pa.list_(pa.string())), pa.array(spans, _SPANS),
                 ], ["doc_id", "n_words", "n_hit", "items", "spans"])
 
     return keyed_texts(docs, id_col, text_col).mapInArrow(stream, _SCHEMA)
 
 
-def contaminated(n_hit: str = "n_hit", n_words: str = "n_words", share: int = 20):
+#: A document is contaminated if one word in so many lies in a window of the benchmark.
+SHARE = 20
+
+
+def keep_clean(docs: DataFrame, items: DataFrame, window: int = WINDOW, text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, that are not contaminated. Null texts are clean; nothing is shuffled."""
+    given, place = _given(items, item_id, item_text), docs.columns.index(text_col)
+
+    def screen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        benchmark = Benchmark(given, window)
+        for batch in batches:
+            for texts in arrowtext.chunks(pc.fill_null(batch.column(place), "")):
+                w, hit, _ = _hits(texts, benchmark)
+                n_words, n_hit = _per_row(w, hit)
+                clean = (n_hit == 0) | (SHARE * n_hit < n_words)
+                yield batch.slice(texts.first_row, texts.rows).filter(pa.array(clean, pa.bool_()))
+
+    return docs.mapInArrow(screen, docs.schema)
+
+
+def contaminated(n_hit: str = "n_hit", n_words: str = "n_words", share: int = SHARE):
     """At least one word in ``share`` lies in a window of the benchmark."""
     return (F.col(n_hit) > 0) & (F.lit(share) * F.col(n_hit) >= F.col(n_words))
 

@@ -13,8 +13,8 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 #: Bytes of a segment at most; longer words are read in several segments.
 SEGMENT = 24
@@ -176,12 +176,13 @@ class Network:
                 carried = np.where(on, live * z, total) + gu @ w[f"u{d}"].T
         return loss, g
 
-    def train(self, examples: list[bytes], target: np.ndarray, weight: np.ndarray, rounds: int = 6, at_once: int = 256, rate: float = 0.01) -> None:
-        """Adam over batches of segments of like length, in an order fixed by the seed."""
+    def train(self, examples: list[bytes], target: np.ndarray, weight: np.ndarray, updates: int = 600, at_once: int = 256, rate: float = 0.01) -> None:
+        """About ``updates`` steps of Adam over batches of segments of like length, in an order fixed by the seed."""
         rng = np.random.default_rng(self.seed)
         first = {k: np.zeros_like(v) for k, v in self.weights.items()}
         second = {k: np.zeros_like(v) for k, v in self.weights.items()}
         n = 0
+        rounds = -(-updates * at_once // max(len(examples), at_once))
         for turn in range(rounds):
             order = rng.permutation(len(examples))
             order = order[np.argsort([len(examples[i]) // 4 for i in order], kind="stable")]
@@ -218,16 +219,16 @@ def sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
     rate = F.create_map(*[F.lit(x) for k, n in sorted(counts.items()) for x in (k, min(1.0, per_language / n))])
     chosen = labelled.where(F.pmod(F.col("draw"), F.lit(1_000_003)) < F.try_element_at(rate, F.col("lang")) * 1_000_003)
 
-    def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
             found: Counter = Counter()
-            for lang, text in zip(frame["lang"], frame["text"], strict=True):
+            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 found.update((lang, s) for s in segments(text))
-            yield pd.DataFrame({"lang": [k[0] for k in found], "segment": [k[1] for k in found], "n": list(found.values())})
+            yield pa.RecordBatch.from_arrays([
+                pa.array([k[0] for k in found], pa.string()), pa.array([k[1] for k in found], pa.binary()), pa.array(list(found.values()), pa.int64()),
+            ], ["lang", "segment", "n"])
 
-    from pyspark.sql import Window
-
-    total = chosen.mapInPandas(cut, "lang string, segment binary, n long").groupBy("lang", "segment").agg(F.sum("n").alias("n"))
+    total = chosen.select("lang", "text").mapInArrow(cut, "lang string, segment binary, n long").groupBy("lang", "segment").agg(F.sum("n").alias("n"))
     ranked = total.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), F.xxhash64("segment"), "segment")))
     return sorted((r["lang"], bytes(r["segment"]), r["n"]) for r in ranked.where(F.col("rank") <= per_language_segments).collect())
 
@@ -297,19 +298,42 @@ def predict(docs: DataFrame, network: Network | None, id_col: str = "doc_id", te
     """
     classes, hidden, weights = (network.classes, network.hidden, network.weights) if network else ([], HIDDEN, {})
 
-    def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader(Network(classes, hidden, weights=weights)) if classes else None
-        for frame in frames:
-            for at in range(0, len(frame), 400):
-                part = frame.iloc[at:at + 400]
-                texts = [t if isinstance(t, str) else None for t in part["text"]]
-                names, scores = reader(texts) if reader else ([UNKNOWN] * len(texts), [0.0] * len(texts))
-                yield pd.DataFrame({"doc_id": part["doc_id"], "held_out": part["held_out"], "lang_pred": names, "score": scores})
+        for batch in batches:
+            for at in range(0, batch.num_rows, 400):
+                part = batch.slice(at, 400)
+                names, scores = reader(part.column(2).to_pylist()) if reader else ([UNKNOWN] * part.num_rows, [0.0] * part.num_rows)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), part.column(1), pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
 
     own = docs.select(docs[id_col].cast("long").alias("doc_id"), held_out(docs[id_col]).alias("held_out"), docs[text_col].alias("text"))
-    return own.mapInPandas(read, "doc_id long, held_out boolean, lang_pred string, score double")
+    return own.mapInArrow(read, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
 def label(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """Fits on the labelled rows of ``docs`` and predicts all of them; see :func:`fit` and :func:`predict`."""
     return predict(docs, fit(docs, id_col, text_col, lang_col), id_col, text_col)
+
+
+#: Documents whose language is less sure than this are rejected, as are those without one.
+LEAST_SCORE = 0.4
+
+
+def keep_known(docs: DataFrame, network: Network | None, text_col: str = "text", least: float = LEAST_SCORE) -> DataFrame:
+    """The rows of ``docs``, all columns, whose predicted language is known with a score of ``least`` or more.
+
+    Rows with null text or no letter go; repeated rows stay repeated. Nothing is shuffled.
+    """
+    classes, hidden, weights = (network.classes, network.hidden, network.weights) if network else ([], HIDDEN, {})
+    place = docs.columns.index(text_col)
+
+    def screen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader = Reader(Network(classes, hidden, weights=weights)) if classes else None
+        for batch in batches:
+            for at in range(0, batch.num_rows, 400):
+                part = batch.slice(at, 400)
+                names, scores = reader(part.column(place).to_pylist()) if reader else ([UNKNOWN] * part.num_rows, [0.0] * part.num_rows)
+                yield part.filter(pa.array([n != UNKNOWN and s >= least for n, s in zip(names, scores, strict=True)], pa.bool_()))
+
+    return docs.mapInArrow(screen, docs.schema)

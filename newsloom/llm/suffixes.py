@@ -215,7 +215,8 @@ def _compared(docs: DataFrame, found: DataFrame, rule: anchored.Rule) -> list[Da
     return [by_array, by_hash]
 
 
-def strip_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
+def strip_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False,
+                  hot: int = anchored.HOT) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and ``kept``, the bytes, if asked for) of every row.
 
     Removed is every byte covered by a string of ``length`` bytes that also starts earlier: in a document with a smaller
@@ -223,7 +224,7 @@ def strip_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_co
     are one document and give equal rows; equal ids with other texts are ordered by a hash of the text; null ids come
     first. Extra columns are left out.
     """
-    rule = anchored.Rule("bytes", length, gram, inside=True)
+    rule = anchored.Rule("bytes", length, gram, inside=True, hot=hot)
     rows = anchored.rows_of(docs, id_col, text_col)
     found = anchored.search(rows, rule)
     spanned = anchored.with_spans(rows, found, *_compared(rows, found, rule))

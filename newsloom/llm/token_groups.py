@@ -69,9 +69,9 @@ def _surveyed(rows: DataFrame, size: int) -> DataFrame:
             common = n >= max(HOT_LEAST // 2, len(nodes) // HOT_SHARE)
             counts.update(dict(zip(values[common].view(np.int64).tolist(), n[common].tolist(), strict=True)))
 
-        names = ["doc_id", "n", "key"]
+        names = ["doc_id", "mark", "n", "key"]
         for batch in batches:
-            ids = batch.column(0)
+            ids, marks = batch.column(0), batch.column(2)
             for texts in arrowtext.chunks(batch.column(1)):
                 sets = sets_of(texts, size)
                 keys = [node_key(s) for s in sets]
@@ -79,16 +79,18 @@ def _surveyed(rows: DataFrame, size: int) -> DataFrame:
                     if k not in nodes:
                         nodes.add(k)
                         seen.append(s)
-                yield pa.RecordBatch.from_arrays([ids.slice(texts.first_row, texts.rows), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.int64())], names)
+                yield pa.RecordBatch.from_arrays([
+                    ids.slice(texts.first_row, texts.rows), marks.slice(texts.first_row, texts.rows), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.int64()),
+                ], names)
                 if sum(map(len, seen)) > 4_000_000:
                     settle()
                     seen, nodes = [], set()
         if seen:
             settle()
         # n = -1 marks a frequent shingle: its count stands for the id
-        yield pa.RecordBatch.from_arrays([pa.array(list(counts.values()), pa.int64()), pa.array([-1] * len(counts), pa.int64()), pa.array(list(counts), pa.int64())], names)
+        yield pa.RecordBatch.from_arrays([pa.array(list(counts.values()), pa.int64()), pa.nulls(len(counts), pa.int64()), pa.array([-1] * len(counts), pa.int64()), pa.array(list(counts), pa.int64())], names)
 
-    return checkpointed(rows.select("doc_id", "text").mapInArrow(survey, "doc_id long, n long, key long"))
+    return checkpointed(rows.select("doc_id", "text", F.xxhash64("text").alias("mark")).mapInArrow(survey, "doc_id long, mark long, n long, key long"))
 
 
 _CELLS = "part int, h binary, node binary, pos binary, keys binary, sizes binary, groups binary"
@@ -281,28 +283,53 @@ def _across(members: DataFrame, root: DataFrame) -> DataFrame:
     return labelled.join(mixed, "row").groupBy("row").applyInPandas(pairs, "a long, b long").distinct()
 
 
-def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, long_row: int = LONG_ROW) -> DataFrame:
-    """doc_id, n_shingles and component_id (smallest doc_id reachable by links, itself included) of every row.
+def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, long_row: int = LONG_ROW) -> DataFrame:
+    """doc_id, mark (hash of the text), n and class of every row; rows of one class reach each other by links.
 
-    Documents link when their shingle sets have likeness 0.75 or more; no pair is left out. Null and empty texts have no
-    shingles and link with nothing, so their class is their own id. Equal sets link. Repeated rows each give a row and
-    lie in one class; a null id takes part and counts only where its class has no other. Extra columns are left out.
+    The class of a row without shingles is null.
     """
-    spark = docs.sparkSession
-    parts = shuffle_partitions(spark)
+    parts = shuffle_partitions(docs.sparkSession)
     rows = keyed_texts(docs, id_col, text_col)
     survey = _surveyed(rows, size)
-    least = F.sum("doc_id").alias("count")
-    hot = np.sort(np.array([r["key"] for r in survey.where(F.col("n") == -1).groupBy("key").agg(least).where(F.col("count") >= HOT_LEAST).collect()], np.int64).view(U64))
-    known = survey.where(F.col("n") >= 0)
-    opened = checkpointed(_matrix(rows, hot, size, parts).repartitionById(parts, F.col("part")).mapInArrow(lambda b: _open_cells(b, long_row), "row long, a long, b long, n long, left long"))
+    frequent = survey.where(F.col("n") == -1).groupBy("key").agg(F.sum("doc_id").alias("count")).where(F.col("count") >= HOT_LEAST)
+    hot = np.sort(np.array([r["key"] for r in frequent.collect()], np.int64).view(U64))
+    cells = _matrix(rows, hot, size, parts).repartitionById(parts, F.col("part"))
+    opened = checkpointed(cells.mapInArrow(lambda b: _open_cells(b, long_row), "row long, a long, b long, n long, left long"))
     links = checkpointed(_links(rows, opened.where(F.col("row") == 0).select("a", "b").distinct(), size))
     root = components.roots(links)
     members = opened.where(F.col("row") != 0)
     if not members.isEmpty():
-        more = checkpointed(_links(rows, _across(members, root), size))
-        root = components.roots(links.unionByName(more))
-    placed = known.join(root.withColumnRenamed("node", "key"), "key", "left").select("doc_id", "n", F.coalesce("root", "key").alias("class"))
-    smallest = placed.where(F.col("n") > 0).groupBy("class").agg(F.min("doc_id").alias("component_id"))
-    own = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
+        root = components.roots(links.unionByName(_links(rows, _across(members, root), size)))
+    known = survey.where(F.col("n") >= 0).join(root.withColumnRenamed("node", "key"), "key", "left")
+    return known.select("doc_id", "mark", "n", F.when(F.col("n") > 0, F.coalesce("root", "key")).alias("class"))
+
+
+def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, long_row: int = LONG_ROW) -> DataFrame:
+    """doc_id, n_shingles and component_id (smallest doc_id reachable by links, itself included) of every row.
+
+    Documents link when their shingle sets have likeness 0.75 or more; no pair is left out. Null and empty texts have no
+    shingles and link with nothing, so their class is their own id. Equal sets link. Repeated rows each give a row and
+    lie in one class; a null id takes part and counts only where its class has no other. Extra columns are left out.
+    """
+    placed = classes(docs, id_col, text_col, size, long_row)
+    smallest = placed.where(F.col("class").isNotNull()).groupBy("class").agg(F.min("doc_id").alias("component_id"))
+    own = F.when(F.col("class").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id"))
     return placed.join(smallest, "class", "left").select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, of one document of each class: the one with the smallest id.
+
+    Among equal ids a hash of the text decides; of rows with equal id and text one stays; a row with a null id stays only
+    where its class has no other. Rows without shingles all stay.
+    """
+    placed = checkpointed(classes(docs, id_col, text_col))
+    some = F.col("class").isNotNull()
+    first = placed.where(some).groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("mark"))).alias("first"))
+    stay = first.select("first.doc_id", "first.mark").unionByName(placed.where(~some).select("doc_id", "mark").distinct())
+    stay = stay.select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark"))
+    mark = F.xxhash64(F.coalesce(docs[text_col].cast("string"), F.lit("")))
+    kept = docs.join(stay, docs[id_col].cast("long").eqNullSafe(stay["_id"]) & (mark == stay["_mark"]), "left_semi")
+    if placed.where(some).groupBy("doc_id", "mark").count().where(F.col("count") > 1).isEmpty():
+        return kept
+    return kept.dropDuplicates([id_col, text_col])
