@@ -231,49 +231,64 @@ def grdp_warnings(value: Column, yoy: Column) -> Column:
 
 # --- Contexts ------------------------------------------------------------------------------------------------------
 
-MONTHS = [f"tháng {m}" for m in "Một Hai Ba Tư Năm Sáu Bảy Tám Chín Mười".split()]
-FIGURE = r"\d+[.,]?\d*\s*(?:tỷ|triệu|%|nghìn)"
-
-
-def _rank_contexts(body: str, indicator: str, year: int | None, reach: int, gap: int, keep: int, cut: int) -> list[tuple[int, str]]:
-    found = []
-    for keyword in P.KEYWORDS.get(indicator, ()):
-        for m in re.finditer(re.escape(keyword), body, re.I):
-            context = body[max(0, m.start() - reach):m.end() + reach]
-            low = context.lower()
-            any_in = lambda words: any(w in low for w in words)
-            of_year = bool(year) and any(w in context for w in (f"năm {year}", "cả năm", f"Năm {year}", "Quý"))
-            by_month = bool(year) and indicator in ("retail", "budget") and any(w in context for w in MONTHS)
-            order = (not any_in(P.PRIORITY_WORDS.get(indicator, ())), not of_year, any_in(P.DETAIL_WORDS.get(indicator, ())), by_month,
-                     -len(re.findall(FIGURE, context)), m.start())
-            found.append((order, m.start(), context))
-    kept: list[tuple[int, str]] = []
-    for _, at, context in sorted(found, key=lambda f: f[0]):
-        if len(kept) < keep and all(abs(at - other) >= gap for other, _ in kept):
-            kept.append((at, context[:cut]))
-    return kept or [(0, body[:1000])]
-
-
-def keyword_contexts(docs: DataFrame, key: str, text: str, indicator: str = "indicator", year: str | None = None, reach: int = 800, gap: int = 400,
-                     keep: int = 2, cut: int = 1200) -> DataFrame:
-    """(key, indicator, rank, position, context): passages around the indicator's keywords, best first, well apart.
-
-    ``docs`` has one row per document and indicator. Match positions need Python; rows travel in Arrow batches.
+FIGURE = r"[0-9]+[.,]?[0-9]*\s*(?:tỷ|triệu|%|nghìn)"
+
+
+def _words_of(table: dict[str, list[str]], indicator: Column) -> Column:
+    """The words that a table has for the row's indicator; none where it has no entry."""
+    entries = F.create_map(*[x for name, words in table.items() for x in (F.lit(name), strings(words))])
+    return F.coalesce(F.try_element_at(entries, indicator), F.array().cast("array<string>"))
+
+
+def _places(low: Column, word: Column) -> Column:
+    """0-based starts of a word, from the lengths of the pieces between its occurrences."""
+    def walk(pieces: Column) -> Column:
+        begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+        step = lambda acc, p: F.struct((acc["at"] + F.length(p) + F.length(word)).alias("at"), F.array_append(acc["out"], acc["at"] + F.length(p)).alias("out"))
+        return F.aggregate(F.slice(pieces, 1, F.size(pieces) - 1), begin, step, lambda acc: acc["out"])
+
+    return let(F.split(low, F.concat(F.lit("\\Q"), word, F.lit("\\E")), -1), walk)
+
+
+def contexts_of(text: ColumnLike, indicator: ColumnLike, year: ColumnLike | None = None, reach: int = 800, gap: int = 400, keep: int = 2, cut: int = 1200) -> Column:
+    """array<struct(position, context)>: passages around the keywords of the row's indicator, best first.
+
+    A passage reaches ``reach`` characters to both sides of a keyword. First come those with a priority word, then those
+    of the year, without a word of detail, without a month (retail and budget), with more figures, and the earlier ones.
+    Passages whose keywords are closer than ``gap`` to a better one are passed over; ``keep`` stay, cut to ``cut``
+    characters. A text without a keyword has none.
     """
-    kind = docs.schema[key].dataType.simpleString()
+    name, low = col(indicator), F.lower(col(text))
+    when = col(year).cast("string") if year is not None else F.lit(None).cast("string")
+
+    def passage(at: Column, word: Column) -> Column:
+        start = F.greatest(at - reach, F.lit(0))
+        return let(F.substring(col(text), start + 1, at + F.length(word) + reach - start), lambda c: let(F.lower(c), lambda l: described(c, l, at)))
+
+    def described(context: Column, lowered: Column, at: Column) -> Column:
+        any_of = lambda words: F.exists(words, lambda w: lowered.contains(w))
+        told = when.isNotNull()
+        of_year = told & (context.contains(F.concat(F.lit("năm "), when)) | context.contains(F.concat(F.lit("Năm "), when))
+                          | context.contains("cả năm") | context.contains("Quý"))
+        by_month = told & name.isin(*P.BY_YEAR_ONLY) & F.exists(strings(P.MONTH_NAMES), lambda m: context.contains(m))
+        return F.struct(
+            (~any_of(_words_of(P.PRIORITY_WORDS, name))).alias("plain"), (~F.coalesce(of_year, F.lit(False))).alias("other_year"),
+            any_of(_words_of(P.DETAIL_WORDS, name)).alias("detail"), F.coalesce(by_month, F.lit(False)).alias("month"),
+            (-F.regexp_count(context, F.lit(FIGURE))).alias("figures"), at.alias("position"), context.alias("context"))
+
+    every = let(low, lambda l: F.flatten(F.transform(_words_of(P.KEYWORDS, name), lambda w: F.transform(_places(l, w), lambda at: passage(at, w)))))
+    empty = F.array().cast("array<struct<position:int,context:string>>")
+    apart = lambda kept, p: (F.size(kept) < keep) & ~F.exists(kept, lambda k: F.abs(k["position"] - p["position"]) < gap)
+    chosen = lambda kept, p: F.when(apart(kept, p), F.array_append(kept, F.struct(p["position"].alias("position"), F.substring(p["context"], 1, cut).alias("context")))).otherwise(kept)
+    return F.aggregate(F.array_sort(every), empty, chosen)
 
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            years = batch[year] if year else [None] * len(batch)
-            for ident, body, name, when in zip(batch[key], batch[text], batch[indicator], years):
-                when = None if when is None or pd.isna(when) else int(when)
-                for rank, (at, context) in enumerate(_rank_contexts(body or "", name, when, reach, gap, keep, cut), 1):
-                    rows.append((ident, name, rank, at, context))
-            yield pd.DataFrame(rows, columns=[key, "indicator", "rank", "position", "context"])
 
-    columns = [key, text, indicator] + ([year] if year else [])
-    return docs.select(*columns).mapInPandas(scan, f"{key} {kind}, indicator string, rank int, position int, context string")
+def keyword_contexts(docs: DataFrame, key: str, text: str, indicator: str = "indicator", year: str | None = None, **options: int) -> DataFrame:
+    """(key, indicator, rank, position, context) of each row of document and indicator; see :func:`contexts_of`."""
+    when = F.col(year) if year else F.lit(None).cast("int")
+    rows = docs.select(key, F.col(indicator).alias("indicator"), F.col(text).alias("_text"), when.alias("_year"))
+    found = rows.select(key, "indicator", F.posexplode(contexts_of("_text", "indicator", "_year", **options)).alias("at", "c"))
+    return found.select(key, "indicator", (F.col("at") + 1).alias("rank"), "c.position", "c.context")
 
 
 def route_by_keyword(docs: DataFrame, text: str, indicators: Sequence[str] | None = None) -> DataFrame:
@@ -284,9 +299,9 @@ def route_by_keyword(docs: DataFrame, text: str, indicators: Sequence[str] | Non
     return docs.withColumn("indicator", F.explode(F.array_compact(F.array(*[hit(n) for n in names]))))
 
 
-def extract_panel(docs: DataFrame, key: str, text: str, source: str, year: str, quarter: str | None = None, month: str | None = None,
-                  province: str = "Hưng Yên", indicators: Sequence[str] | None = None) -> DataFrame:
-    """Route, find contexts, extract, fall back to the whole text, validate and place in a period.
+def extract_panel(docs: DataFrame, key: str, text: str, source: str, year: str, province: str, quarter: str | None = None, month: str | None = None,
+                  indicators: Sequence[str] | None = None) -> DataFrame:
+    """Route, find contexts, extract from the best one that has a figure, else from the whole text, validate, place in a period.
 
     One row per document and routed indicator with ``status`` ok, invalid or empty and the messages.
     """
@@ -294,9 +309,8 @@ def extract_panel(docs: DataFrame, key: str, text: str, source: str, year: str,
     none = F.lit(None).cast("int")
     body = docs.select(F.col(key).alias("_id"), X.normalize_numbers_text(text).alias("_text"), F.col(source).alias("data_source"), F.col(year).cast("int").alias("year"),
                        (F.col(quarter).cast("int") if quarter else none).alias("_quarter"), (F.col(month).cast("int") if month else none).alias("month"))
-    routed = route_by_keyword(body, "_text", names)
-    best = keyword_contexts(routed, "_id", "_text", year="year").filter("rank = 1").select("_id", "indicator", "context")
-    rows = routed.join(best, ["_id", "indicator"])
+    rows = settled(route_by_keyword(body, "_text", names), "_c", F.transform(contexts_of("_text", "indicator", "year"), lambda c: c["context"]))
+    rows = rows.filter(F.size("_c") > 0).withColumn("context", F.get("_c", 0)).withColumn("_second", F.get("_c", 1))
 
     def values(where: str, only: Sequence[str]) -> Column:
         """Only the patterns of the row's own indicator are evaluated."""
@@ -305,8 +319,9 @@ def extract_panel(docs: DataFrame, key: str, text: str, source: str, year: str,
             out = F.when(F.col("indicator") == n, extract_indicator(where, n)).otherwise(out)
         return out
 
-    rows = settled(rows, "_v", values("context", names))
+    rows = settled(rows, "_u", values("context", names))
     blank = lambda c: (F.coalesce(F.col(f"{c}.actual_value"), F.lit(0.0)) == 0) & (F.coalesce(F.col(f"{c}.change_yoy"), F.lit(0.0)) == 0)
+    rows = settled(rows, "_v", F.when(blank("_u") & F.col("_second").isNotNull(), values("_second", names)).otherwise(F.col("_u")))
     retry = [n for n in names if n not in P.GROWTH_ONLY]
     rows = settled(rows, "_w", F.when(blank("_v") & F.col("indicator").isin(*retry), values("_text", retry)).otherwise(F.col("_v")))
     rows = rows.withColumn("quarter", F.coalesce("_quarter", N.last_quarter_in("context")))

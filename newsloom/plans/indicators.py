@@ -106,7 +106,7 @@ def _(spark, sf):
 
 
 def _reports(spark, sf):
-    f = _figures(spark, sf).filter("a >= 2").repartition(spark.sparkContext.defaultParallelism)
+    f = _figures(spark, sf).repartition(spark.sparkContext.defaultParallelism)
     pct = F.concat(_S("c"), F.lit(","), _S("d"), F.lit("%"))
     text = F.concat(F.lit("Báo cáo quý II năm 2024. Tổng mức bán lẻ hàng hóa đạt "), (F.col("a") % 90 + 10).cast("string"), F.lit("."), F.col("bbb"),
                     F.lit(" tỷ đồng, tăng "), pct, F.lit(". CPI bình quân tăng "), pct, F.lit("."))
@@ -114,18 +114,18 @@ def _reports(spark, sf):
 
 
 _REPORT_SQL = f"""{_FIG}, e as (select o_orderkey, i.indicator, case when i.indicator = 'retail' then (a % 90 + 10) * 1000.0 + b else 100 + c + d / 10.0 end as v, c + d / 10.0 as yoy
-  from f, (values ('retail'), ('cpi')) i(indicator) where a >= 2)"""
+  from f, (values ('retail'), ('cpi')) i(indicator))"""
 
 
 @add("n8_extract_panel", f"""with {_REPORT_SQL} select o_orderkey, indicator, 'quarter' as period_type, 2 as quarter, round(v, 4) as actual_value, case when indicator = 'cpi' then round(yoy, 4) end as change_yoy, date '2024-06-30' as last_updated, 'ok' as status from e""")
 def _(spark, sf):
-    p = N.extract_panel(_reports(spark, sf), "o_orderkey", "text", "url", "year", indicators=["retail", "cpi"])
+    p = N.extract_panel(_reports(spark, sf), "o_orderkey", "text", "url", "year", "Hưng Yên", indicators=["retail", "cpi"])
     return p.select("o_orderkey", "indicator", "period_type", "quarter", F.round("actual_value", 4).alias("actual_value"), F.round("change_yoy", 4).alias("change_yoy"), "last_updated", "status")
 
 
 @add("n8_save_panel")
 def _(spark, sf):
-    p = N.extract_panel(_reports(spark, sf), "o_orderkey", "text", "url", "year", indicators=["retail", "cpi"])
+    p = N.extract_panel(_reports(spark, sf), "o_orderkey", "text", "url", "year", "Hưng Yên", indicators=["retail", "cpi"])
     known = p.filter("o_orderkey % 2 = 0 and status = 'ok'").drop("errors", "status")
     return N.save_panel(known.drop("o_orderkey"), p, ["o_orderkey"]).groupBy("indicator", "action").agg(F.count(F.lit(1)).alias("n"))
 

@@ -33,6 +33,10 @@ KEYWORDS = {
 }
 
 # Words that raise a context.
+# Months as words, and the indicators whose figures of a single month do not count for a year.
+MONTH_NAMES = ["tháng Một", "tháng Hai", "tháng Ba", "tháng Tư", "tháng Năm", "tháng Sáu", "tháng Bảy", "tháng Tám", "tháng Chín", "tháng Mười"]
+BY_YEAR_ONLY = ["retail", "budget"]
+
 PRIORITY_WORDS = {
     "iip": ["(iip)", "chỉ số sản xuất công nghiệp (iip)"],
     "retail": ["tổng mức bán lẻ", "năm 20", "cả năm", "quý"],
