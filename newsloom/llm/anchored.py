@@ -41,28 +41,35 @@ class Rule:
     hot: int = HOT
 
 
-class Measured:
-    """Units of a chunk of texts: a value each, row bounds, and hashes of any range."""
+class Sums:
+    """Hashes of any range of a sequence of values, from running sums."""
 
-    def __init__(self, texts: arrowtext.Texts, unit: str) -> None:
+    def __init__(self, values: np.ndarray) -> None:
         global _INVERSES
-        if unit == "words":
-            self.words = arrowtext.words(texts)
-            self.values, self.bounds = self.words.hashes, self.words.bounds
-        else:
-            self.values, self.bounds = arrowtext.byte_values(texts), texts.bounds
-        n = len(self.values) + 1
+        n = len(values) + 1
         if len(_INVERSES) < n:
             p = np.full(max(n, 2 * len(_INVERSES)), _INVERSE, U64)
             p[0] = 1
             _INVERSES = np.cumprod(p, dtype=U64)
         self.sums = np.zeros(n, U64)
-        np.cumsum(self.values * arrowtext._powers(n)[:n - 1], out=self.sums[1:])
+        np.cumsum(values * arrowtext._powers(n)[:n - 1], out=self.sums[1:])
 
     def ranges(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return arrowtext.mixed((self.sums[b] - self.sums[a]) * _INVERSES[a])
 
 
+class Measured(Sums):
+    """Units of a chunk of texts: a value each, row bounds, and hashes of any range."""
+
+    def __init__(self, texts: arrowtext.Texts, unit: str) -> None:
+        if unit == "words":
+            self.words = arrowtext.words(texts)
+            self.values, self.bounds = self.words.hashes, self.words.bounds
+        else:
+            self.values, self.bounds = arrowtext.byte_values(texts), texts.bounds
+        super().__init__(self.values)
+
+
 def rows_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """doc_id (null as the lowest), mark (hash of the text) and text."""
     return keyed_texts(docs, id_col, text_col).select(null_first(F.col("doc_id")).alias("doc_id"), F.xxhash64("text").alias("mark"), "text")

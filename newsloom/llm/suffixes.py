@@ -21,7 +21,7 @@ from newsloom.llm.common import shuffle_partitions
 LENGTH = 100
 GRAM = 32
 #: Bytes of the surroundings that share one suffix array; a larger group has one of its own.
-BLOCK = 600_000
+BLOCK = 1_000_000
 _FIRST = 7  #: characters of nine bits in the first ranks
 
 
@@ -128,6 +128,20 @@ def _repeats(data: np.ndarray, bounds: np.ndarray, ids: np.ndarray, marks: np.nd
     return array.order[hit], longest[hit]
 
 
+def _with_repeats(data: np.ndarray, bounds: np.ndarray, least: int) -> np.ndarray:
+    """Which strings hold a run of ``least`` bytes whose hash occurs again; the others have nothing to find."""
+    count = np.maximum(np.diff(bounds) - least + 1, 0)
+    string = np.repeat(np.arange(len(count)), count)
+    at = bounds[string] + np.arange(len(string)) - np.repeat(np.cumsum(count) - count, count)
+    h = anchored.Sums(arrowtext._BYTE[data]).ranges(at, at + least)
+    order = np.argsort(h)
+    same = anchored.same_as_before(h[order])
+    same[:-1] |= same[1:]
+    found = np.zeros(len(count), bool)
+    found[string[order[same]]] = True
+    return found
+
+
 _SNIPPETS = "part int, key binary, row binary, start binary, size binary, data binary, ids binary, marks binary"
 
 
@@ -197,10 +211,15 @@ def _compared(docs: DataFrame, found: DataFrame, rule: anchored.Rule) -> list[Da
         at = 0
         while at < len(groups) - 1:
             to = max(at + 1, int(np.searchsorted(total[groups], total[groups[at]] + BLOCK, "right")) - 1)
-            own = slice(groups[at], groups[to])
+            own = np.arange(groups[at], groups[to])
             at = to
-            bounds = np.append(0, np.cumsum(size[own]))
-            source = np.repeat(offset[own] - bounds[:-1], size[own]) + np.arange(bounds[-1])
+            for filtered in (False, True):
+                bounds = np.append(0, np.cumsum(size[own]))
+                source = np.repeat(offset[own] - bounds[:-1], size[own]) + np.arange(bounds[-1])
+                if not filtered:
+                    own = own[_with_repeats(a["data"][source], bounds, rule.length)]
+            if not len(own):
+                continue
             place, longest = _repeats(a["data"][source], bounds, ids[own], marks[own], start[own], rule.length)
             string = np.searchsorted(bounds, place, "right") - 1
             begin = place - bounds[string] + start[own][string]
