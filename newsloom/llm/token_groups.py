@@ -31,6 +31,7 @@ HOT_SHARE, HOT_LEAST = 2000, 8
 #: Rows of the matrix with more members are first joined to one leader, then compared between components only.
 LONG_ROW = 64
 _FILTER_BITS = 1 << 26
+_PARITIES = 2048
 
 
 def sets_of(texts: arrowtext.Texts, size: int = SHINGLE) -> list[np.ndarray]:
@@ -53,6 +54,20 @@ def node_key(s: np.ndarray) -> int:
     return int(arrowtext.mixed(np.array([arrowtext.mixed(s).sum(dtype=U64) + U64(len(s))], U64)).view(np.int64)[0])
 
 
+def planes(values: np.ndarray) -> bytes:
+    """Small numbers byte by byte: all lowest bytes first. The upper ones are mostly zero and take no room when compressed."""
+    return np.ascontiguousarray(values.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+
+
+def from_planes(packed: pa.Buffer) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(packed, np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
+
+
+def sketch(s: np.ndarray) -> bytes:
+    """Parity of the number of shingles in each of _PARITIES classes: two sets differ in at least as many shingles as their sketches in bits."""
+    return np.packbits((np.bincount((s & U64(_PARITIES - 1)).astype(np.int64), minlength=_PARITIES) & 1).astype(bool)).tobytes()
+
+
 def prefix(n: int) -> int:
     return n - -(-PART * n // WHOLE) + 1
 
@@ -69,7 +84,7 @@ def _surveyed(rows: DataFrame, size: int) -> DataFrame:
             common = n >= max(HOT_LEAST // 2, len(nodes) // HOT_SHARE)
             counts.update(dict(zip(values[common].view(np.int64).tolist(), n[common].tolist(), strict=True)))
 
-        names = ["doc_id", "mark", "n", "key"]
+        names = ["doc_id", "mark", "n", "key", "sketch"]
         for batch in batches:
             ids, marks = batch.column(0), batch.column(2)
             for texts in arrowtext.chunks(batch.column(1)):
@@ -81,6 +96,7 @@ def _surveyed(rows: DataFrame, size: int) -> DataFrame:
                         seen.append(s)
                 yield pa.RecordBatch.from_arrays([
                     ids.slice(texts.first_row, texts.rows), marks.slice(texts.first_row, texts.rows), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.int64()),
+                    pa.array([sketch(s) for s in sets], pa.binary()),
                 ], names)
                 if sum(map(len, seen)) > 4_000_000:
                     settle()
@@ -88,9 +104,9 @@ def _surveyed(rows: DataFrame, size: int) -> DataFrame:
         if seen:
             settle()
         # n = -1 marks a frequent shingle: its count stands for the id
-        yield pa.RecordBatch.from_arrays([pa.array(list(counts.values()), pa.int64()), pa.nulls(len(counts), pa.int64()), pa.array([-1] * len(counts), pa.int64()), pa.array(list(counts), pa.int64())], names)
+        yield pa.RecordBatch.from_arrays([pa.array(list(counts.values()), pa.int64()), pa.nulls(len(counts), pa.int64()), pa.array([-1] * len(counts), pa.int64()), pa.array(list(counts), pa.int64()), pa.nulls(len(counts), pa.binary())], names)
 
-    return checkpointed(rows.select("doc_id", "text", F.xxhash64("text").alias("mark")).mapInArrow(survey, "doc_id long, mark long, n long, key long"))
+    return checkpointed(rows.select("doc_id", "text", F.xxhash64("text").alias("mark")).mapInArrow(survey, "doc_id long, mark long, n long, key long, sketch binary"))
 
 
 _CELLS = "part int, h binary, node binary, pos binary, keys binary, sizes binary, groups binary"
@@ -125,7 +141,7 @@ def _matrix(rows: DataFrame, hot: np.ndarray, size: int, parts: int) -> DataFram
             out = []
             for p, own in anchored.by_part(anchored.part_of(h, parts), parts):
                 used, at = np.unique(node[own], return_inverse=True)
-                out.append((p, pack(h[own], "<u8"), pack(at, "<u4"), pack(pos[own], "<u4"), pack(keys[used], "<i8"), pack(sizes[used], "<u4"), pack(groups[used], "<u8")))
+                out.append((p, pack(h[own], "<u8"), planes(np.diff(at, prepend=0)), planes(pos[own]), pack(keys[used], "<i8"), planes(sizes[used]), pack(groups[used], "<u8")))
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if i == 0 else pa.binary()) for i, c in enumerate(zip(*out, strict=True))], names)
 
     return rows.select("doc_id", "text").mapInArrow(cells, _CELLS)
@@ -203,21 +219,42 @@ def _open_cells(batches: Iterator[pa.RecordBatch], long_row: int = LONG_ROW) ->
 
 
 def _gathered_cells(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, ...]:
-    kinds = {"h": "<u8", "node": "<u4", "pos": "<u4", "keys": "<i8", "sizes": "<u4", "groups": "<u8"}
-    got: dict[str, list[np.ndarray]] = {k: [] for k in kinds}
-    base = 0
+    got: list[list[np.ndarray]] = [[], [], [], [], []]
     for batch in batches:
+        columns = [batch.column(i) for i in range(1, 7)]
         for i in range(batch.num_rows):
-            for k, kind in kinds.items():
-                v = np.frombuffer(batch.column(batch.schema.get_field_index(k))[i].as_buffer(), kind)
-                got[k].append(v.astype(np.int64) + base if k == "node" else v)
-            base += len(got["keys"][-1])
-    a = {k: np.concatenate(v) if v else np.zeros(0, np.int64 if k == "node" else kinds[k]) for k, v in got.items()}
-    return a["h"], a["pos"].astype(np.int64), a["keys"][a["node"]], a["sizes"].astype(np.int64)[a["node"]], a["groups"][a["node"]]
+            h, node, pos, keys, sizes, groups = (c[i].as_buffer() for c in columns)
+            node = np.cumsum(from_planes(node))
+            values = np.frombuffer(h, "<u8"), from_planes(pos), np.frombuffer(keys, "<i8")[node], from_planes(sizes)[node], np.frombuffer(groups, "<u8")[node]
+            for column, v in zip(got, values, strict=True):
+                column.append(v)
+    kinds = (U64, np.int64, np.int64, np.int64, U64)
+    return tuple(np.concatenate(v) if v else np.zeros(0, k) for v, k in zip(got, kinds, strict=True))
+
+
+def _near(pairs: DataFrame, survey: DataFrame) -> DataFrame:
+    """The pairs whose sketches allow the likeness. With d shingles in only one of the two sets,
+
+    shared = (na + nb - d) / 2 and union = (na + nb + d) / 2, so the rule is d * (WHOLE + PART) <= (na + nb) * (WHOLE - PART).
+    """
+    known = survey.where(F.col("n") > 0).groupBy("key").agg(F.min("n").alias("n"), F.min("sketch").alias("sketch"))
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            na, nb = (batch.column(i).to_numpy() for i in (2, 3))
+            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint64).reshape(batch.num_rows, -1) for i in (4, 5))
+            d = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
+            yield batch.select(["a", "b"]).filter(pa.array((WHOLE + PART) * d <= (WHOLE - PART) * (na + nb), pa.bool_()))
+
+    both = pairs.join(known.withColumnsRenamed({"key": "a", "n": "na", "sketch": "xa"}), "a").join(known.withColumnsRenamed({"key": "b", "n": "nb", "sketch": "xb"}), "b")
+    return both.select("a", "b", "na", "nb", "xa", "xb").mapInArrow(keep, "a long, b long")
 
 
-def _links(rows: DataFrame, pairs: DataFrame, size: int) -> DataFrame:
-    """The pairs (a, b) of nodes that are alike, compared shingle by shingle (40 bits of each)."""
+def _links(rows: DataFrame, survey: DataFrame, candidates: DataFrame, size: int) -> DataFrame:
+    """The candidates (a, b) that are alike, compared shingle by shingle (40 bits of each)."""
+    pairs = checkpointed(_near(candidates, survey))
     wanted = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
     bit = F.pmod(F.col("key"), F.lit(_FILTER_BITS)) + 1  # bitmap positions count from 1
     marks = {r["bucket"]: bytes(r["bits"]) for r in wanted.select(bit.alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("bucket")).agg(
@@ -241,8 +278,8 @@ def _links(rows: DataFrame, pairs: DataFrame, size: int) -> DataFrame:
                         packed.append(np.ascontiguousarray((s >> U64(24)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]).tobytes())
                 yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(packed, pa.binary())], ["key", "shingles"])
 
-    made = rows.select("doc_id", "text").mapInArrow(sets, "key long, shingles binary").join(wanted, "key", "left_semi")
-    stored = checkpointed(made.dropDuplicates(["key"]))
+    made = rows.select("doc_id", "text").mapInArrow(sets, "key long, shingles binary")
+    stored = made.groupBy("key").agg(F.first("shingles").alias("shingles"))  # one shuffle for both joins
     full = pairs.join(stored.withColumnsRenamed({"key": "a", "shingles": "sa"}), "a").join(stored.withColumnsRenamed({"key": "b", "shingles": "sb"}), "b")
 
     def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -295,11 +332,11 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", siz
     hot = np.sort(np.array([r["key"] for r in frequent.collect()], np.int64).view(U64))
     cells = _matrix(rows, hot, size, parts).repartitionById(parts, F.col("part"))
     opened = checkpointed(cells.mapInArrow(lambda b: _open_cells(b, long_row), "row long, a long, b long, n long, left long"))
-    links = checkpointed(_links(rows, opened.where(F.col("row") == 0).select("a", "b").distinct(), size))
+    links = checkpointed(_links(rows, survey, opened.where(F.col("row") == 0).select("a", "b").distinct(), size))
     root = components.roots(links)
     members = opened.where(F.col("row") != 0)
     if not members.isEmpty():
-        root = components.roots(links.unionByName(_links(rows, _across(members, root), size)))
+        root = components.roots(links.unionByName(_links(rows, survey, _across(members, root), size)))
     known = survey.where(F.col("n") >= 0).join(root.withColumnRenamed("node", "key"), "key", "left")
     return known.select("doc_id", "mark", "n", F.when(F.col("n") > 0, F.coalesce("root", "key")).alias("class"))
 
