@@ -44,8 +44,8 @@ def attach_table(df: DataFrame, table: DataFrame, name: str, max_rows: int = 500
     """Attach a small table to every row as ``array<struct>`` column ``name``.
 
     The table is read once through a scalar subquery, so no join is planned and
-    nothing is shuffled on the big side. Its size is checked inside the plan: a
-    table above ``max_rows`` fails the job instead of flooding the executors.
+    nothing is shuffled on the big side. Its size is checked inside the plan
+    before it is gathered: a table above ``max_rows`` fails the job.
     Rows arrive in the order of the table's ``rank`` column when it has one.
     """
     columns = list(table.columns)
@@ -53,7 +53,7 @@ def attach_table(df: DataFrame, table: DataFrame, name: str, max_rows: int = 500
         columns = ["rank"] + [c for c in columns if c != "rank"]
     packed = F.struct(*columns)
     array = (
-        table.agg(F.collect_list(packed).alias("rows"), F.count(F.lit(1)).alias("n"))
+        table.limit(max_rows + 1).agg(F.collect_list(packed).alias("rows"), F.count(F.lit(1)).alias("n"))
         .select(
             F.when(F.col("n") <= max_rows, F.sort_array("rows") if "rank" in columns else F.col("rows"))
             .otherwise(F.raise_error(F.lit(f"lookup table for {name} has more than {max_rows} rows")))

@@ -171,12 +171,12 @@ def char_count(c: ColumnLike, spaces: bool = False) -> Column:
     return F.length(col(c) if spaces else F.replace(col(c), F.lit(" "), F.lit("")))
 
 
-def words(c: ColumnLike, stopwords: Iterable[str] | None = None, min_length: int = 2, max_length: int = 30) -> Column:
-    """Letter runs of the lower-cased text without stopwords, by length."""
+def words(c: ColumnLike, stopwords: Iterable[str] | None = None, min_length: int = 2, max_length: int | None = 30) -> Column:
+    """Letter runs of the lower-cased text without stopwords, by length (``max_length`` None: any)."""
     stop = strings(sorted(set(W.TOKENIZER_STOPWORDS if stopwords is None else stopwords)))
     return F.filter(
         F.regexp_extract_all(F.lower(col(c)), F.lit(r"\p{L}+"), F.lit(0)),
-        lambda w: F.length(w).between(min_length, max_length) & ~F.array_contains(stop, w))
+        lambda w: (F.length(w) >= min_length if max_length is None else F.length(w).between(min_length, max_length)) & ~F.array_contains(stop, w))
 
 
 def ngrams(items: ColumnLike, n: int, max_length: int | None = None) -> Column:

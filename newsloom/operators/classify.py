@@ -262,8 +262,9 @@ def enrichment_candidates(articles: DataFrame, key: str, length: str, score: str
     counts = able.agg(F.count_if("forced").alias("f"), F.count(F.lit(1)).alias("n"))
     share = PRIORITY_SHARE[priority]
     take = counts.select((F.col("f") + F.ceil((F.col("n") - F.col("f")) * share)).alias("k")).scalar()
-    ranked = overall_rank(able, order, "position")
-    chosen = ranked.filter(F.col("position") <= take)
+    # Only keys and scores are sorted; the chosen rows are looked up afterwards.
+    ranked = overall_rank(able.select(key, "forced", score), order, "position").select(key, "position")
+    chosen = able.join(ranked.filter(F.col("position") <= take), key)
     if budget is not None:
         chosen = chosen.filter(F.col("position") * cost_per_item <= budget)
     return chosen

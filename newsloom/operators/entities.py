@@ -35,11 +35,11 @@ def extract_entities(df: DataFrame, key: str, text: str, provinces: Iterable[str
     pairs = F.array(*[F.struct(F.lit(p).alias("name"), F.lit(p.lower()).alias("low")) for p in places])
     known = let(F.lower(t), lambda low: F.transform(F.filter(pairs, lambda p: low.contains(p["low"])), lambda p: p["name"]))
     hits.insert(len(hits) - len(P.DATES) - len(P.MONEY), _typed("LOCATION", known, "gazetteer"))
-    exploded = df.select(key, F.posexplode(F.concat(*hits)).alias("pos", "hit"))
-    # One entity per type and spelling, first pattern wins; the key keeps groups as small as one text.
-    return (exploded.groupBy(key, F.col("hit.type").alias("type"), F.lower("hit.entity").alias("_low"))
-            .agg(F.min_by("hit", "pos").alias("hit"))
-            .select(key, "type", F.col("hit.entity").alias("entity"), F.col("hit.source").alias("source")))
+    # One entity per type and spelling, first pattern wins; settled inside the row.
+    spelled = lambda every: F.transform(every, lambda h: F.struct(h["type"].alias("type"), F.lower(h["entity"]).alias("low")))
+    firsts = let(F.concat(*hits), lambda every: let(spelled(every), lambda names: F.filter(
+        every, lambda h, i: F.array_position(names, F.get(names, i)) == i + 1)))
+    return df.select(key, F.explode(firsts).alias("hit")).select(key, "hit.type", "hit.entity", "hit.source")
 
 
 def _scanner(key: str, text: str, places: list[str]):

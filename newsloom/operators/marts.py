@@ -56,7 +56,7 @@ def rolled_up(cells: DataFrame, keys: Sequence[str]) -> DataFrame:
         F.sum("n").alias("mention_count"), F.sum("previous").alias("previous_count"), F.sum("positive").alias("positive_count"),
         F.sum("negative").alias("negative_count"),
         F.map_from_entries(F.sort_array(F.collect_list(shown))).alias("emotion_distribution"),
-        F.min_by("emotion", F.when(F.col("n") > 0, F.struct(-F.col("n"), F.col("emotion")))).alias("dominant_emotion"),
+        F.min_by("emotion", F.when((F.col("n") > 0) & F.col("emotion").isNotNull(), F.struct(-F.col("n"), F.col("emotion")))).alias("dominant_emotion"),
     ).withColumn("neutral_count", F.col("mention_count") - F.col("positive_count") - F.col("negative_count"))
 
 
@@ -68,7 +68,7 @@ def keyword_counts(docs: DataFrame, text: str, top_n: int | None = 50, stopwords
                    keys: Sequence[str] = ()) -> DataFrame:
     """Single words of more than two letters by count: what the marts store as keywords."""
     stop = W.KEYWORD_STOPWORDS if stopwords is None else stopwords
-    found = docs.select(*keys, F.explode(X.words(text, stop, 3, 10_000)).alias("word"))
+    found = docs.select(*keys, F.explode(X.words(text, stop, 3, None)).alias("word"))
     counts = found.groupBy(*keys, "word").agg(F.count(F.lit(1)).alias("count"))
     if top_n is None:
         return counts
@@ -92,7 +92,7 @@ def trend_report(mentions: DataFrame, period: str, reference: date, text: str |
         F.count_distinct("topic_id").alias("total_topics"), count_where(F.col("sentiment_group") == "positive").alias("positive_count"),
         count_where(F.col("sentiment_group") == "negative").alias("negative_count"))
     previous = rows.filter(~F.col("current")).agg(F.count(F.lit(1)).alias("n")).scalar()
-    emotions = (current.groupBy("emotion").agg(F.count(F.lit(1)).alias("n"))
+    emotions = (current.filter(F.col("emotion").isNotNull()).groupBy("emotion").agg(F.count(F.lit(1)).alias("n"))
                 .agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("emotion", "n")))).alias("m")).scalar())
     by_source = current.filter(F.col("source_domain").isNotNull()).groupBy(F.col("source_domain").alias("domain")).agg(F.count(F.lit(1)).alias("count"))
     best_sources = top_k(by_source, sources, F.desc("count"), F.col("domain"))
@@ -154,23 +154,25 @@ def keyword_stats(mentions: DataFrame, text: str, period: str, reference: date,
     for bad in W.KEYWORD_GARBAGE if garbage is None else garbage:
         found = found.filter(~F.col("phrase").contains(bad))
     is_first = F.col("first")
-    counts = found.groupBy("phrase").agg(
+    # One pass over the texts: everything below is rolled up from these cells (and their one shuffle).
+    cells = found.groupBy("phrase", "topic_id", "topic_name", "source_domain").agg(
         F.count(F.lit(1)).alias("mention_count"), count_where(is_first).alias("document_count"),
         count_where(is_first & (F.col("sentiment_group") == "positive")).alias("positive_count"),
         count_where(is_first & (F.col("sentiment_group") == "negative")).alias("negative_count"))
+    counts = cells.groupBy("phrase").agg(*[F.sum(c).alias(c) for c in ("mention_count", "document_count", "positive_count", "negative_count")])
     hot = strings(W.HOT_EVENTS if hot_events is None else hot_events)
     boost = (F.when(F.size(contained("phrase", hot)) > 0, F.lit(2.0)).otherwise(F.lit(1.0))
              * F.when(F.size(F.split("phrase", " ")) >= 3, F.lit(1.5)).otherwise(F.lit(1.0)))
     best = top_k(counts.withColumn("score", F.col("mention_count") * boost), top_n, F.desc("score"), F.col("phrase"))
-    docs = found.filter("first").join(F.broadcast(best.select("phrase")), "phrase", "left_semi")
-    by_topic = docs.filter(F.col("topic_id").isNotNull()).groupBy("phrase", "topic_id", "topic_name").agg(F.count(F.lit(1)).alias("count"))
-    by_source = docs.filter(F.col("source_domain").isNotNull()).groupBy("phrase", F.col("source_domain").alias("domain")).agg(F.count(F.lit(1)).alias("count"))
+    docs = cells.join(F.broadcast(best.select("phrase")), "phrase", "left_semi").filter("document_count > 0")
+    by_topic = docs.filter(F.col("topic_id").isNotNull()).groupBy("phrase", "topic_id", "topic_name").agg(F.sum("document_count").alias("count"))
+    by_source = docs.filter(F.col("source_domain").isNotNull()).groupBy("phrase", F.col("source_domain").alias("domain")).agg(F.sum("document_count").alias("count"))
     topics = nested_top_k(by_topic, ["phrase"], [F.desc("count"), F.col("topic_id")], ["topic_id", "topic_name", "count"], nested, "related_topics")
     sources = nested_top_k(by_source, ["phrase"], [F.desc("count"), F.col("domain")], ["domain", "count"], nested, "top_sources")
-    highest = best.agg(F.max("score").alias("m")).scalar()
     out = (best.withColumn("neutral_count", F.col("document_count") - F.col("positive_count") - F.col("negative_count"))
            .withColumn("sentiment_score", sentiment_score("positive_count", "negative_count", "document_count"))
-           .withColumn("_max", highest).withColumn("weight", F.round(F.col("score") / F.col("_max"), 4)).drop("_max", "score")
+           .withColumn("_max", F.max("score").over(Window.partitionBy(F.lit(1))))  # at most top_n rows
+           .withColumn("weight", F.round(F.col("score") / F.col("_max"), 4)).drop("_max", "score")
            .join(topics, "phrase", "left").join(sources, "phrase", "left").withColumnRenamed("phrase", "keyword"))
     return stamped(out, info)
 
@@ -184,13 +186,19 @@ def topic_mentions(mentions: DataFrame, period: str, reference: date) -> DataFra
     out = stats.join(sources, keys, "left").withColumn(
         "sentiment_score", sentiment_score("positive_count", "negative_count", "mention_count")).withColumn(
         "mention_change", F.round(change_percent("mention_count", "previous_count"), 2))
-    # Topics are a dimension of at most a few thousand rows.
-    return stamped(out.withColumn("rank_by_mention", _rank(F.desc("mention_count"), F.col("topic_id")))
-                   .withColumn("rank_by_negative", _rank(F.desc("negative_count"), F.col("topic_id"))), info)
+    out = with_ranks(out, keys, {"rank_by_mention": "mention_count", "rank_by_negative": "negative_count"})
+    return stamped(out, info)
 
 
-def _rank(*order: Column) -> Column:
-    return F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(*order)).cast("bigint")
+def with_ranks(rows: DataFrame, keys: Sequence[str], ranks: dict[str, str]) -> DataFrame:
+    """Adds overall ranks, largest measure first, ties by the keys. Only keys and measures are sorted; keys are unique."""
+    for name, measure in ranks.items():
+        ranked = overall_rank(rows.select(*keys, measure), [F.desc(measure), *[F.col(k) for k in keys]], name).select(*[F.col(k).alias(f"_{k}") for k in keys], name)
+        on = F.lit(True)
+        for k in keys:
+            on = on & F.col(k).eqNullSafe(F.col(f"_{k}"))
+        rows = rows.join(ranked, on).drop(*[f"_{k}" for k in keys])
+    return rows
 
 
 def website_activity(mentions: DataFrame, period: str, reference: date, hosts: dict[str, str] | None = None) -> DataFrame:
@@ -288,11 +296,9 @@ def engagement_sum(*columns: str) -> Column:
     return total
 
 
-def count_map(rows: DataFrame, key: str, value: str, name: str, top_n: int = 1000) -> DataFrame:
-    """value -> count map per key. At most ``top_n`` values per key enter the map; the full table is ``value_counts``."""
-    counts = value_counts(rows, key, value)
-    cut = top_k_per_group(counts, [key], [F.desc("count"), F.col(value)], top_n, "_rank")
-    return cut.groupBy(key).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct(value, "count")))).alias(name))
+def count_map(rows: DataFrame, key: str, value: str, name: str) -> DataFrame:
+    """value -> count map per key with every value: for columns of few values; others are better read from ``value_counts``."""
+    return value_counts(rows, key, value).groupBy(key).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct(value, "count")))).alias(name))
 
 
 def value_counts(rows: DataFrame, key: str, value: str) -> DataFrame:
@@ -343,7 +349,7 @@ def classification_overview(articles: DataFrame, assignments: DataFrame, topics:
     """One row: topics, active, classified, unclassified, topics per article, methods and top topics."""
     per_article = assignments.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
     total = articles.agg(F.count(F.lit(1)).alias("n")).scalar()
-    methods = (assignments.groupBy("method").agg(F.count(F.lit(1)).alias("n"))
+    methods = (assignments.filter(F.col("method").isNotNull()).groupBy("method").agg(F.count(F.lit(1)).alias("n"))
                .agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("method", "n")))).alias("m")).scalar())
     by_topic = assignments.groupBy("topic_id").agg(F.count(F.lit(1)).alias("article_count"), F.round(F.avg("confidence"), 3).alias("avg_confidence"))
     best = top_k(by_topic, top, F.desc("article_count"), F.col("topic_id"))

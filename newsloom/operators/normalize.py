@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import dates as D, text as X, urls as U
 from ..functions.columns import first_non_blank, non_blank
+from .ranking import top_k_per_group
 
 # Accepted field names per output field, in this order (fixed values).
 CONTENT_FIELDS = ["cleaned_content", "content", "text", "raw_content", "message", "message_rich", "body", "description"]
@@ -109,10 +110,13 @@ def batch_statistics(df: DataFrame, key: str, order: Sequence[str], by: str | No
         F.count(F.lit(1)).alias("_n"), F.min_by(errors, F.struct(*order)).alias("_errors"))
     ok = (F.size("_errors") == 0).cast("bigint")
     grouped = firsts.groupBy(by) if by else firsts.groupBy()
-    messages = F.flatten(F.collect_set("_errors"))
-    return grouped.agg(
-        F.sum("_n").alias("total"), F.sum(ok).alias("success"), (F.sum("_n") - F.sum(ok)).alias("failed"),
-        F.slice(F.sort_array(F.array_distinct(messages)), 1, sample).alias("error_sample"))
+    counts = grouped.agg(F.sum("_n").alias("total"), F.sum(ok).alias("success"), (F.sum("_n") - F.sum(ok)).alias("failed"))
+    # Messages are made distinct, ranked and cut before they are gathered.
+    group = F.col(by) if by else F.lit(1)
+    messages = firsts.select(group.alias("_by"), F.explode("_errors").alias("_m")).distinct()
+    cut = top_k_per_group(messages, ["_by"], [F.col("_m")], sample, "_r").groupBy("_by").agg(F.sort_array(F.collect_list("_m")).alias("error_sample"))
+    out = counts.join(cut, group.eqNullSafe(F.col("_by")), "left").drop("_by")
+    return out.withColumn("error_sample", F.coalesce("error_sample", F.array().cast("array<string>")))
 
 
 def article_texts(df: DataFrame, content: str = "content", title: str = "title", source: str = "source") -> DataFrame:

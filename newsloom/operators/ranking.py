@@ -25,6 +25,17 @@ def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[ColumnLike
     return best.select(*[F.col(k) if k in keys else F.col("_row").getField(k).alias(k) for k in df.columns])
 
 
+def first_by_id(df: DataFrame, keys: Sequence[Column], ident: str) -> DataFrame:
+    """The rows of the smallest ``ident`` per key, where ``ident`` is unique per row.
+
+    Only keys and ids are aggregated (hash aggregation of a fixed-width minimum); whole rows meet the winning ids once,
+    and a caller that reads ids alone never moves another column.
+    """
+    named = [k.alias(f"_k{i}") for i, k in enumerate(keys)]
+    winners = df.select(*named, F.col(ident).alias("_first")).groupBy(*[f"_k{i}" for i in range(len(named))]).agg(F.min("_first").alias("_first"))
+    return df.join(winners.select("_first"), F.col(ident) == F.col("_first"), "left_semi")
+
+
 def top_k(df: DataFrame, k: int, *order: Column) -> DataFrame:
     return df.orderBy(*order).limit(k)
 
@@ -45,23 +56,29 @@ def nested_top_k(counts: DataFrame, group: Sequence[str], order: Sequence[Column
 
 
 def overall_rank(df: DataFrame, order: Sequence[Column], rank: str = "rank", group: Sequence[str] = ()) -> DataFrame:
-    """Row number over the whole table (or over each group) without one task sorting all of it.
+    """Row number over the whole table (or over each group) without one task sorting all of it."""
+    ranked = running_total(df.withColumn("_one", F.lit(1)), "_one", order, rank, group).drop("_one")
+    return ranked.withColumn(rank, F.col(rank).cast("bigint"))
+
+
+def running_total(df: DataFrame, value: str, order: Sequence[Column], name: str, group: Sequence[str] = ()) -> DataFrame:
+    """Sum of ``value`` up to and with each row, over the whole table or each group, without one task sorting all of it.
 
-    Range partitions are ranked on their own; their sizes (one row per partition
-    and group) give the offsets. The ranged rows are checkpointed, so a lost
-    executor cannot move a boundary between the two passes.
+    ``order`` must tell all rows of a group apart. Range partitions are summed on their own; their totals (one row per
+    partition and group) give the offsets. The ranged rows are checkpointed, so a lost executor cannot move a boundary
+    between the two passes.
     """
     keys = [F.col(g) for g in group]
     ranged = shared_checkpoint(df.repartitionByRange(*keys, *order).withColumn("_part", F.spark_partition_id()))
-    sizes = ranged.groupBy("_part", *group).agg(F.count(F.lit(1)).alias("_n"))
+    sizes = ranged.groupBy("_part", *group).agg(F.sum(value).alias("_n"))
     before = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("_part", *[F.col(g).alias(f"_g_{g}") for g in group], F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
     on = F.col("a._part") == F.col("b._part")
     for g in group:
         on = on & F.col(f"a.{g}").eqNullSafe(F.col(f"b._g_{g}"))
-    local = F.row_number().over(Window.partitionBy("_part", *group).orderBy(*order))
+    local = F.sum(value).over(Window.partitionBy("_part", *group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
     return (ranged.withColumn("_local", local).alias("a").join(offsets.alias("b"), on)
-            .select(*[F.col(f"a.{c}") for c in df.columns], (F.col("b._before") + F.col("a._local")).cast("bigint").alias(rank)))
+            .select(*[F.col(f"a.{c}") for c in df.columns], (F.col("b._before") + F.col("a._local")).alias(name)))
 
 
 def latest_first(*columns: str) -> list[Column]:

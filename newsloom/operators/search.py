@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions import dates as D, text as X
 from ..functions.columns import ColumnLike, col, let, settled
 from ..sources.files import listing
-from .ranking import top_k
+from .ranking import running_total, top_k
 
 # Search terms after the place and the year, gate words and scoring words (fixed values).
 TERMS = ["GRDP", "tổng sản phẩm", "tăng trưởng", "kinh tế", "GDP", "quy mô", "phát triển", "bình quân", "công nghiệp", "nông nghiệp",
@@ -81,8 +81,7 @@ def hybrid_search(articles: DataFrame, place: str, year: int, quarter: int | Non
 
 def within_budget(rows: DataFrame, group: Sequence[str], order: Sequence[Column], size: str, limit: int | float) -> DataFrame:
     """Best rows per group while their summed size stays within the limit; stops at the first overflow."""
-    w = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("used", F.sum(size).over(w)).filter(F.col("used") <= limit)
+    return running_total(rows, size, order, "used", group).filter(F.col("used") <= limit)
 
 
 def context_snippet(content: ColumnLike, head: int = 1500, tail: int = 500) -> Column:
@@ -105,8 +104,9 @@ def pack_context(ranked: DataFrame, max_tokens: int = 6000, top: int = 5, key: s
         F.lit("\n[Nguồn "), F.col("position").cast("string"), F.lit("] "), F.coalesce(F.col(title), F.lit("")), F.lit("\nURL: "), link, F.lit("\nNgày: "),
         F.coalesce(F.date_format(published, "dd/MM/yyyy"), F.lit("N/A")), F.lit("\nRelevance Score: "), F.format_string("%.2f", F.col("score")),
         F.lit("\n\n"), context_snippet(content), F.lit("\n\n---\n"))
-    sized = numbered.withColumn("snippet", snippet).withColumn("_size", F.length("snippet")).withColumn("_all", F.lit(1))
-    return within_budget(sized, ["_all"], [F.col("position")], "_size", max_tokens * 3).drop("_size", "_all")
+    sized = numbered.withColumn("snippet", snippet).withColumn("_size", F.length("snippet"))
+    used = F.sum("_size").over(Window.orderBy("position").rowsBetween(Window.unboundedPreceding, 0))
+    return sized.withColumn("used", used).filter(F.col("used") <= max_tokens * 3).drop("_size")
 
 
 def spaced(positions: ColumnLike, distance: int, keep: int) -> Column:

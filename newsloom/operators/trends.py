@@ -172,11 +172,8 @@ def category_trends(mentions: DataFrame, category: str, period: str, reference:
     out = (out.withColumn("_c", M.change_percent("mention_count", "previous_count")).withColumn("change_percent", F.round("_c", 2))
            .withColumn("is_trending_up", F.col("_c") > 20).withColumn("is_trending_down", F.col("_c") < -20)
            .withColumn("has_crisis", F.col("negative_count") / total > 0.4)
-           .withColumn("sentiment_score", M.sentiment_score("positive_count", "negative_count", "mention_count"))
-           # Categories are a dimension of a dozen rows.
-           .withColumn("rank_by_mention", M._rank(F.desc("mention_count"), F.col(category)))
-           .withColumn("rank_by_growth", M._rank(F.desc("change_percent"), F.col(category))).drop("_c"))
-    return M.stamped(out, info)
+           .withColumn("sentiment_score", M.sentiment_score("positive_count", "negative_count", "mention_count")).drop("_c"))
+    return M.stamped(M.with_ranks(out, [category], {"rank_by_mention": "mention_count", "rank_by_growth": "change_percent"}), info)
 
 
 def refresh_trends(mentions: DataFrame, articles: DataFrame, now: datetime, period: str = "daily", tags: Column | None = None,

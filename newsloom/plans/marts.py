@@ -213,13 +213,13 @@ def _(spark, sf):
         "topic_id", "mention_count", "positive_count", "negative_count", "neutral_count", "sentiment_score", "positive_ratio", flat("emotion_distribution").alias("emotions"))
 
 
-@add("g15_classification_overview", """with a as (select l_orderkey as id, l_partkey % 20 as topic_id, l_discount as c, l_linestatus as method from lineitem where l_orderkey % 3 = 0),
+@add("g15_classification_overview", """with a as (select l_orderkey as id, l_partkey % 20 as topic_id, l_discount as c, l_linestatus as method from lineitem),
   b as (select topic_id, count(*) as n, round(avg(c), 3) as conf from a group by 1 order by n desc, topic_id limit 10), m as (select method, count(*) as n from a group by 1)
   select (select count(*) from nation) as total_topics, (select count(*) from nation where n_regionkey > 0) as active_topics, count(distinct id) as total_classified,
     (select count(*) from orders) - count(distinct id) as total_unclassified, round(count(*) / count(distinct id), 2) as avg_topics_per_article,
     (select string_agg(method || '=' || n, '|' order by method) from m) as methods, (select string_agg(topic_id || '=' || n, '|' order by n desc, topic_id) from b) as topics from a""")
 def _(spark, sf):
-    a = table(spark, sf, "lineitem").filter("l_orderkey % 3 = 0").select(
+    a = table(spark, sf, "lineitem").select(
         F.col("l_orderkey").alias("id"), (F.col("l_partkey") % 20).alias("topic_id"), F.col("l_discount").alias("confidence"), F.col("l_linestatus").alias("method"))
     topics = table(spark, sf, "nation").withColumn("is_active", F.col("n_regionkey") > 0)
     o = M.classification_overview(table(spark, sf, "orders"), a, topics, "id")

@@ -56,15 +56,6 @@ def oracles() -> dict[str, str]:
     return {n: s for r in _families() for n, s in r.oracles.items()}
 
 
-TEXT_TABLES = ("documents", "pages")
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A given table. Text tables that come in fewer splits than there are cores are spread out first.
-
-    That only happens to small files: a table of many files or row groups is
-    read as it lies, without a shuffle.
-    """
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if name in TEXT_TABLES and df.rdd.getNumPartitions() < cores else df
+    """A given table, read as it lies."""
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")

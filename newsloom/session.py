@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -32,12 +33,24 @@ def build_session(app: str = "newsloom", cores: str | int = "*", shuffle_partiti
 def shared_checkpoint(df: DataFrame) -> DataFrame:
     """Cut lineage through the shared folder named by ``spark.checkpoint.dir``.
 
-    A cluster names that folder itself; only where it is unset (tests, a laptop)
-    a temporary one is chosen, because the job is then a single process anyway.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
+    context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or os.path.join(tempfile.gettempdir(), "newsloom-checkpoints"))
+        context.setCheckpointDir(shared_base(df.sparkSession))
     return df.checkpoint(eager=True)
+
+
+def shared_base(spark: SparkSession) -> str:
+    """The folder named by ``spark.checkpoint.dir``.
+
+    A cluster must name it; only a session in one process (tests, a laptop) gets a temporary one where it is unset.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir is unset; name a folder that all executors share")
+    return (folder or os.path.join(tempfile.gettempdir(), "newsloom-checkpoints")).rstrip("/")
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A fresh folder below the shared one."""
+    return f"{shared_base(spark)}/{name}-{uuid.uuid4().hex}"

@@ -2,21 +2,13 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F, types as T
 
 from ..functions.columns import ColumnLike, col
 from ..operators.ranking import first_per_key
-
-
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A fresh folder below the cluster's shared checkpoint folder (a temporary one only where that is unset)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "newsloom-checkpoints")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+from ..session import shared_folder  # noqa: F401 - used by callers of this module
 
 
 def read_envelopes(spark: SparkSession, paths: str | Sequence[str], record: T.StructType, lines: bool = False) -> DataFrame:
