@@ -5,18 +5,18 @@ a cell for each group whose union of prefix shingles holds it, with the bounds o
 left behind that row. Only cells whose bounds allow the wanted overlap are opened and their members compared.
 
 Prefixes: with one order of shingles for all nodes, two sets of likeness t or more share a shingle among their first
-n - ceil(t n) + 1. The order puts shingles that are frequent anywhere last, so rows stay short.
+n - ceil(t n) + 1. A first matrix by hash order tells which rows are long; their shingles come last in the order of the
+second, so that rows of the second are short, but for sets that are all of such shingles.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from newsloom.llm import anchored, arrowtext, components
 from newsloom.llm.arrowtext import U64
@@ -25,11 +25,13 @@ from newsloom.llm.common import checkpointed, keyed_texts, shuffle_partitions
 SHINGLE = 5
 #: Likeness as a fraction: shared * WHOLE >= PART * union.
 PART, WHOLE = 75, 100
-#: A shingle is frequent if one of this many sets (within a task) holds it, and HOT_LEAST sets do. At most so many
-#: times the mean size of a set can be frequent, whatever the input; that bounds what is broadcast.
-HOT_SHARE, HOT_LEAST = 2000, 8
-#: Rows of the matrix with more members are first joined to one leader, then compared between components only.
+#: Rows of the first matrix with more members put their shingle last in the order.
+FREQUENT = 16
+#: Rows of the second matrix with more members are first linked by leaders, then compared between components only.
 LONG_ROW = 64
+#: Members of a long row that sit in most long rows; the others are compared with them first.
+LEADERS = 3
+#: Bits of the filters that every task gets, whatever the input. A filter that is too full costs time, not results.
 _FILTER_BITS = 1 << 26
 _PARITIES = 2048
 
@@ -73,47 +75,57 @@ def prefix(n: int) -> int:
 
 
 def _surveyed(rows: DataFrame, size: int) -> DataFrame:
-    """Rows of two kinds: (doc_id, n, key) of every document, and (hash, count) of shingles frequent in a task."""
+    """(doc_id, mark, n, key, sketch) of every document."""
+    names = ["doc_id", "mark", "n", "key", "sketch"]
 
     def survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, nodes = [], set()
-        counts: Counter = Counter()
-
-        def settle() -> None:
-            values, n = np.unique(np.concatenate(seen), return_counts=True)
-            common = n >= max(HOT_LEAST // 2, len(nodes) // HOT_SHARE)
-            counts.update(dict(zip(values[common].view(np.int64).tolist(), n[common].tolist(), strict=True)))
-
-        names = ["doc_id", "mark", "n", "key", "sketch"]
         for batch in batches:
             ids, marks = batch.column(0), batch.column(2)
             for texts in arrowtext.chunks(batch.column(1)):
                 sets = sets_of(texts, size)
-                keys = [node_key(s) for s in sets]
-                for k, s in zip(keys, sets, strict=True):
-                    if k not in nodes:
-                        nodes.add(k)
-                        seen.append(s)
-                yield pa.RecordBatch.from_arrays([
-                    ids.slice(texts.first_row, texts.rows), marks.slice(texts.first_row, texts.rows), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.int64()),
-                    pa.array([sketch(s) for s in sets], pa.binary()),
-                ], names)
-                if sum(map(len, seen)) > 4_000_000:
-                    settle()
-                    seen, nodes = [], set()
-        if seen:
-            settle()
-        # n = -1 marks a frequent shingle: its count stands for the id
-        yield pa.RecordBatch.from_arrays([pa.array(list(counts.values()), pa.int64()), pa.nulls(len(counts), pa.int64()), pa.array([-1] * len(counts), pa.int64()), pa.array(list(counts), pa.int64()), pa.nulls(len(counts), pa.binary())], names)
+                own = [c.slice(texts.first_row, texts.rows) for c in (ids, marks)]
+                yield pa.RecordBatch.from_arrays(
+                    [*own, pa.array(map(len, sets), pa.int64()), pa.array(map(node_key, sets), pa.int64()), pa.array(map(sketch, sets), pa.binary())], names)
 
     return checkpointed(rows.select("doc_id", "text", F.xxhash64("text").alias("mark")).mapInArrow(survey, "doc_id long, mark long, n long, key long, sketch binary"))
 
 
+def _collected_bits(bits: DataFrame) -> dict[int, bytes]:
+    """Bitmaps of a column ``bit`` below _FILTER_BITS, by bucket of 32768 bits: a bounded size, whatever the input."""
+    placed = F.col("bit") + 1  # bitmap positions count from 1
+    found = bits.groupBy(F.bitmap_bucket_number(placed).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(placed)).alias("bits"))
+    return {r["bucket"]: bytes(r["bits"]) for r in found.collect()}
+
+
+def _bit_of(h: np.ndarray) -> np.ndarray:
+    return (h >> U64(64 - (_FILTER_BITS.bit_length() - 1))).astype(np.int64)
+
+
+def _frequent(rows: DataFrame, size: int, parts: int, most: int) -> np.ndarray:
+    """A bit for every shingle with more than ``most`` members in its row of the matrix by hash order."""
+    def long_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        h, _, key, _, _ = _gathered_cells(batches)
+        order = np.lexsort((key, h))
+        h, key = h[order], key[order]
+        h = h[~anchored.same_as_before(h, key)]  # copies come from several tasks
+        begins = np.flatnonzero(~anchored.same_as_before(h)) if len(h) else np.zeros(0, np.int64)
+        long_ = begins[np.diff(np.append(begins, len(h))) > most]
+        yield pa.RecordBatch.from_arrays([pa.array(np.unique(_bit_of(h[long_])), pa.int64())], ["bit"])
+
+    bits = _collected_bits(_matrix(rows, None, size, parts).repartitionById(parts, F.col("part")).mapInArrow(long_rows, "bit long"))
+    every = np.zeros(_FILTER_BITS // 8, np.uint8)
+    for bucket, packed in bits.items():
+        every[(bucket - 1) * 4096:bucket * 4096] = np.frombuffer(packed, np.uint8)
+    return every
+
+
 _CELLS = "part int, h binary, node binary, pos binary, keys binary, sizes binary, groups binary"
 
 
-def _matrix(rows: DataFrame, hot: np.ndarray, size: int, parts: int) -> DataFrame:
+def _matrix(rows: DataFrame, frequent: np.ndarray | None, size: int, parts: int) -> DataFrame:
+    """Cells packed by part; without ``frequent`` (bits of the shingles that come last) only shingles and nodes."""
     names = [c.split()[0] for c in _CELLS.split(", ")]
+    shared = None if frequent is None else rows.sparkSession.sparkContext.broadcast(frequent)
 
     def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = anchored._packed
@@ -124,8 +136,9 @@ def _matrix(rows: DataFrame, hot: np.ndarray, size: int, parts: int) -> DataFram
                 for s in sets_of(texts, size):
                     if not len(s) or (k := node_key(s)) in nodes:
                         continue
-                    if len(hot):
-                        late = hot[np.minimum(np.searchsorted(hot, s), len(hot) - 1)] == s
+                    if shared is not None:
+                        bit = _bit_of(s)
+                        late = (shared.value[bit >> 3] >> (bit & 7).astype(np.uint8) & 1).astype(bool)
                         s = np.concatenate([s[~late], s[late]])
                     nodes[k] = len(nodes)
                     sizes.append(len(s))
@@ -141,7 +154,8 @@ def _matrix(rows: DataFrame, hot: np.ndarray, size: int, parts: int) -> DataFram
             out = []
             for p, own in anchored.by_part(anchored.part_of(h, parts), parts):
                 used, at = np.unique(node[own], return_inverse=True)
-                out.append((p, pack(h[own], "<u8"), planes(np.diff(at, prepend=0)), planes(pos[own]), pack(keys[used], "<i8"), planes(sizes[used]), pack(groups[used], "<u8")))
+                out.append((p, pack(h[own], "<u8"), planes(np.diff(at, prepend=0)), b"" if shared is None else planes(pos[own]), pack(keys[used], "<i8"),
+                            b"" if shared is None else planes(sizes[used]), b"" if shared is None else pack(groups[used], "<u8")))
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if i == 0 else pa.binary()) for i, c in enumerate(zip(*out, strict=True))], names)
 
     return rows.select("doc_id", "text").mapInArrow(cells, _CELLS)
@@ -166,9 +180,8 @@ def _allowed(na: np.ndarray, nb: np.ndarray, left: np.ndarray) -> np.ndarray:
 
 
 def _open_cells(batches: Iterator[pa.RecordBatch], long_row: int = LONG_ROW) -> Iterator[pa.RecordBatch]:
-    """Candidate pairs (row 0) of the cells worth opening; for long rows pairs with neighbours and all members (row = shingle)."""
-    a = _gathered_cells(batches)
-    h, pos, key, n, group = a
+    """Candidate pairs (row 0) of the cells worth opening, and the members of long rows (row = shingle)."""
+    h, pos, key, n, group = _gathered_cells(batches)
     order = np.lexsort((key, group, h))
     h, pos, key, n, group = (x[order] for x in (h, pos, key, n, group))
     fresh = ~anchored.same_as_before(h, key)  # copies come from several tasks
@@ -202,12 +215,6 @@ def _open_cells(batches: Iterator[pa.RecordBatch], long_row: int = LONG_ROW) ->
         ok = _allowed(n1[x], n1[y], np.minimum(n1[x] - p1[x], n1[y] - p1[y]))
         found.append((k1[x[ok]], k1[y[ok]]))
     long_ = np.flatnonzero(is_long)
-    if len(long_):
-        order = long_[np.lexsort((key[long_], n[long_], row[long_]))]
-        same = h[order[1:]] == h[order[:-1]]
-        found.append((key[order[:-1][same]], key[order[1:][same]]))
-        leader = begins[row[long_]]
-        found.append((key[leader], key[long_]))
     names = ["row", "a", "b", "n", "left"]
     if found:
         x, y = (np.concatenate(v) for v in zip(*found, strict=True))
@@ -225,7 +232,9 @@ def _gathered_cells(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, ...]
         for i in range(batch.num_rows):
             h, node, pos, keys, sizes, groups = (c[i].as_buffer() for c in columns)
             node = np.cumsum(from_planes(node))
-            values = np.frombuffer(h, "<u8"), from_planes(pos), np.frombuffer(keys, "<i8")[node], from_planes(sizes)[node], np.frombuffer(groups, "<u8")[node]
+            whole = len(sizes) > 0
+            values = (np.frombuffer(h, "<u8"), from_planes(pos), np.frombuffer(keys, "<i8")[node], from_planes(sizes)[node] if whole else node[:0],
+                      np.frombuffer(groups, "<u8")[node] if whole else np.zeros(0, U64))
             for column, v in zip(got, values, strict=True):
                 column.append(v)
     kinds = (U64, np.int64, np.int64, np.int64, U64)
@@ -256,9 +265,7 @@ def _links(rows: DataFrame, survey: DataFrame, candidates: DataFrame, size: int)
     """The candidates (a, b) that are alike, compared shingle by shingle (40 bits of each)."""
     pairs = checkpointed(_near(candidates, survey))
     wanted = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
-    bit = F.pmod(F.col("key"), F.lit(_FILTER_BITS)) + 1  # bitmap positions count from 1
-    marks = {r["bucket"]: bytes(r["bits"]) for r in wanted.select(bit.alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("bucket")).agg(
-        F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits")).collect()}  # at most _FILTER_BITS bits, whatever the input
+    marks = _collected_bits(wanted.select(F.pmod(F.col("key"), F.lit(_FILTER_BITS)).alias("bit")))
     shared = rows.sparkSession.sparkContext.broadcast(marks)
 
     def maybe_wanted(key: int) -> bool:
@@ -300,24 +307,37 @@ def _links(rows: DataFrame, survey: DataFrame, candidates: DataFrame, size: int)
     return full.select("a", "b", "sa", "sb").mapInArrow(alike, "a long, b long")
 
 
-def _across(members: DataFrame, root: DataFrame) -> DataFrame:
-    """Pairs of members of one long row that lie in different components and may be alike."""
+def _led(members: DataFrame) -> DataFrame:
+    """Pairs of the members of long rows with the row's leaders: those that sit in most long rows."""
+    seats = members.groupBy("a").agg(F.count(F.lit(1)).alias("seats"))
+    rank = F.row_number().over(Window.partitionBy("row").orderBy(F.desc("seats"), "a"))
+    leaders = members.select("row", "a").join(seats, "a").withColumn("rank", rank).where(F.col("rank") <= LEADERS).select("row", F.col("a").alias("leader"))
+    met = members.select("row", "a").join(leaders, "row").where(F.col("a") != F.col("leader"))
+    return met.select(F.least("a", "leader").alias("a"), F.greatest("a", "leader").alias("b")).distinct()
+
+
+def _across(members: DataFrame, root: DataFrame, survey: DataFrame) -> DataFrame:
+    """Pairs of members of one long row that lie in different components and whose sketches allow the likeness."""
     labelled = members.join(root.withColumnRenamed("node", "a"), "a", "left").select("row", "a", "n", "left", F.coalesce("root", "a").alias("root"))
     mixed = labelled.groupBy("row").agg(F.min("root").alias("low"), F.max("root").alias("high")).where(F.col("low") != F.col("high")).select("row")
+    known = survey.where(F.col("n") > 0).groupBy(F.col("key").alias("a")).agg(F.min("sketch").alias("sketch"))
 
     def pairs(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["root", "a"], kind="stable")
         n, left, key, label = (frame[c].to_numpy() for c in ("n", "left", "a", "root"))
+        bits = np.frombuffer(b"".join(frame["sketch"]), np.uint64).reshape(len(frame), -1)
         stops = np.searchsorted(label, label, "right")
-        found = []
+        found = [np.zeros((0, 2), np.int64)]
         for i in range(len(key)):
-            rest = slice(stops[i], len(key))
-            ok = _allowed(n[i], n[rest], np.minimum(left[i], left[rest]))
-            found.append(np.stack([np.full(int(ok.sum()), key[i]), key[rest][ok]], 1))
-        every = np.concatenate([*found, np.zeros((0, 2), np.int64)])
-        return pd.DataFrame({"a": every.min(axis=1), "b": every.max(axis=1)})
+            rest = np.arange(stops[i], len(key))
+            rest = rest[_allowed(n[i], n[rest], np.minimum(left[i], left[rest]))]
+            d = np.bitwise_count(bits[rest] ^ bits[i]).sum(axis=1, dtype=np.int64)
+            rest = rest[(WHOLE + PART) * d <= (WHOLE - PART) * (n[rest] + n[i])]
+            found.append(np.stack([np.minimum(key[i], key[rest]), np.maximum(key[i], key[rest])], 1))
+        every = np.concatenate(found)
+        return pd.DataFrame({"a": every[:, 0], "b": every[:, 1]})
 
-    return labelled.join(mixed, "row").groupBy("row").applyInPandas(pairs, "a long, b long").distinct()
+    return labelled.join(mixed, "row").join(known, "a").groupBy("row").applyInPandas(pairs, "a long, b long").distinct()
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, long_row: int = LONG_ROW) -> DataFrame:
@@ -328,16 +348,17 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", siz
     parts = shuffle_partitions(docs.sparkSession)
     rows = keyed_texts(docs, id_col, text_col)
     survey = _surveyed(rows, size)
-    frequent = survey.where(F.col("n") == -1).groupBy("key").agg(F.sum("doc_id").alias("count")).where(F.col("count") >= HOT_LEAST)
-    hot = np.sort(np.array([r["key"] for r in frequent.collect()], np.int64).view(U64))
-    cells = _matrix(rows, hot, size, parts).repartitionById(parts, F.col("part"))
+    frequent = _frequent(rows, size, parts, FREQUENT)
+    cells = _matrix(rows, frequent, size, parts).repartitionById(parts, F.col("part"))
     opened = checkpointed(cells.mapInArrow(lambda b: _open_cells(b, long_row), "row long, a long, b long, n long, left long"))
-    links = checkpointed(_links(rows, survey, opened.where(F.col("row") == 0).select("a", "b").distinct(), size))
-    root = components.roots(links)
+    candidates = opened.where(F.col("row") == 0).select("a", "b")
     members = opened.where(F.col("row") != 0)
-    if not members.isEmpty():
-        root = components.roots(links.unionByName(_links(rows, survey, _across(members, root), size)))
-    known = survey.where(F.col("n") >= 0).join(root.withColumnRenamed("node", "key"), "key", "left")
+    long_rows = not members.isEmpty()
+    links = checkpointed(_links(rows, survey, (candidates.unionByName(_led(members)) if long_rows else candidates).distinct(), size))
+    root = components.roots(links)
+    if long_rows:
+        root = components.roots(links.unionByName(_links(rows, survey, _across(members, root, survey), size)))
+    known = survey.join(root.withColumnRenamed("node", "key"), "key", "left")
     return known.select("doc_id", "mark", "n", F.when(F.col("n") > 0, F.coalesce("root", "key")).alias("class"))
 
 
