@@ -71,7 +71,7 @@ def _(spark, sf):
 @add("f9_similarity_groups")
 def _(spark, sf):
     d = table(spark, sf, "documents")
-    hashes = U.first_per_key(d.select(F.col("doc_id").alias("node"), U.text_key("text").alias("k"), "text"), ["k"], ["node"])
+    hashes = U.first_by_id(d.select(F.col("doc_id").alias("node"), "text"), [U.text_key("text")], "node")
     return U.simhash_drops(hashes.select("node", U.simhash("text").alias("hash")))
 
 

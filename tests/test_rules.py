@@ -270,3 +270,60 @@ def test_sources_map_to_one_schema(spark, tmp_path):
     assert (r["likes_count"], r["shares_count"], r["comments_count"], r["account_name"], r["post_type"]) == (5, 4, 1, "A", "post")
     assert r["title"] == "x" * 100 + "..." and r["images"] == ["p1", "p2"] and r["videos"] == ["v1"]
     assert r["published_date"] == 1704067200.0
+
+
+def test_null_emotions_and_groups(spark):
+    from datetime import date, datetime
+
+    from newsloom.operators import marts
+
+    at = datetime(2024, 1, 17, 5)
+    rows = [(1, at, 7, "t", "a.vn", None, "neutral"), (2, at, 7, "t", "a.vn", "joy", "positive"), (3, at, 7, "t", None, None, None)]
+    df = spark.createDataFrame(rows, "article_id long, published_at timestamp_ntz, topic_id int, topic_name string, source_domain string, emotion string, sentiment_group string")
+    report = marts.trend_report(df, "daily", date(2024, 1, 17)).first()
+    assert report["emotion_distribution"] == {"joy": 1} and report["total_mentions"] == 3
+    assert marts.hot_topics(df, "daily", date(2024, 1, 17)).first()["dominant_emotion"] == "joy"
+    assert marts.topic_mentions(df, "daily", date(2024, 1, 17)).first()["dominant_emotion"] == "joy"
+
+
+def test_no_value_is_cut(spark):
+    from newsloom.operators import marts
+
+    rows = spark.range(1001).selectExpr("'k' as k", "cast(id as string) as v")
+    assert len(marts.count_map(rows, "k", "v", "m").first()["m"]) == 1001
+    long_word = spark.createDataFrame([("x" * 12000 + " yy",)], "t string")
+    assert {r["word"] for r in marts.keyword_counts(long_word, "t", None, []).collect()} == {"x" * 12000}
+
+
+def test_large_lookup_tables_are_refused_before_they_are_gathered(spark):
+    import pytest
+    from newsloom.functions.columns import attach_table
+
+    df = spark.range(3).toDF("x")
+    assert len(attach_table(df, spark.range(5), "t", 5).first()["t"]) == 5
+    with pytest.raises(Exception, match="more than 5 rows"):
+        attach_table(df, spark.range(6), "t", 5).collect()
+
+
+def test_running_total(spark):
+    from pyspark.sql import functions as F
+    from newsloom.operators.ranking import running_total
+
+    rows = running_total(spark.range(1000).withColumn("g", F.col("id") % 3), "id", [F.desc("id")], "s", ["g"]).collect()
+    for g in range(3):
+        total = 0
+        for r in sorted((r for r in rows if r["g"] == g), key=lambda r: -r["id"]):
+            total += r["id"]
+            assert r["s"] == total
+
+
+def test_contexts(spark):
+    from newsloom.operators import indicators as N
+
+    filler = "x" * 2000
+    text = f"bán lẻ đạt 5 tỷ {filler} Tổng mức bán lẻ cả năm tăng 7% {filler} bán lẻ"
+    df = spark.createDataFrame([(1, text, "retail", 2024), (2, "không có gì", "retail", 2024), (3, None, "retail", None)], "id long, t string, indicator string, y int")
+    rows = N.keyword_contexts(df, "id", "t", year="y").orderBy("id", "rank").collect()
+    assert [(r["id"], r["rank"]) for r in rows] == [(1, 1), (1, 2)]
+    assert "Tổng mức" in rows[0]["context"] and rows[1]["position"] == 0
+    assert text[rows[0]["position"]:].lower().startswith(("bán lẻ", "tổng mức bán lẻ"))
