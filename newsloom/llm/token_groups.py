@@ -16,7 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from newsloom.llm import anchored, arrowtext, components
 from newsloom.llm.arrowtext import U64
@@ -112,13 +112,20 @@ def _frequent(rows: DataFrame, size: int, parts: int, most: int) -> np.ndarray:
         long_ = begins[np.diff(np.append(begins, len(h))) > most]
         yield pa.RecordBatch.from_arrays([pa.array(np.unique(_bit_of(h[long_])), pa.int64())], ["bit"])
 
-    bits = _collected_bits(_matrix(rows, None, size, parts).repartitionById(parts, F.col("part")).mapInArrow(long_rows, "bit long"))
+    return _flat(_collected_bits(_matrix(rows, None, size, parts).repartitionById(parts, F.col("part")).mapInArrow(long_rows, "bit long")))
+
+
+def _flat(bits: dict[int, bytes]) -> np.ndarray:
     every = np.zeros(_FILTER_BITS // 8, np.uint8)
     for bucket, packed in bits.items():
         every[(bucket - 1) * 4096:bucket * 4096] = np.frombuffer(packed, np.uint8)
     return every
 
 
+def _is_set(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return (bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+
+
 _CELLS = "part int, h binary, node binary, pos binary, keys binary, sizes binary, groups binary"
 
 
@@ -137,8 +144,7 @@ def _matrix(rows: DataFrame, frequent: np.ndarray | None, size: int, parts: int)
                     if not len(s) or (k := node_key(s)) in nodes:
                         continue
                     if shared is not None:
-                        bit = _bit_of(s)
-                        late = (shared.value[bit >> 3] >> (bit & 7).astype(np.uint8) & 1).astype(bool)
+                        late = _is_set(shared.value, _bit_of(s))
                         s = np.concatenate([s[~late], s[late]])
                     nodes[k] = len(nodes)
                     sizes.append(len(s))
@@ -375,6 +381,27 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return placed.join(smallest, "class", "left").select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
 
 
+def _without(docs: DataFrame, gone: DataFrame, ident: Column, mark: Column) -> DataFrame:
+    """The rows of ``docs`` whose (id, mark) is not in ``gone``.
+
+    A filter of bounded size lets most rows stay where they are; only those that it catches are joined.
+    """
+    bit = lambda i, m: F.pmod(F.xxhash64(i, m), F.lit(_FILTER_BITS))
+    bits = docs.sparkSession.sparkContext.broadcast(_flat(_collected_bits(gone.select(bit(F.col("doc_id"), F.col("mark")).alias("bit")))))
+    tagged = docs.select("*", ident.alias("_gone_id"), mark.alias("_gone_mark"), bit(ident, mark).alias("_gone_bit"))
+
+    def caught(wanted: bool):
+        def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield batch.filter(pa.array(_is_set(bits.value, batch.column(batch.num_columns - 1).to_numpy()) == wanted, pa.bool_()))
+
+        return tagged.mapInArrow(part, tagged.schema)
+
+    few = caught(True)
+    rest = few.join(gone, few["_gone_id"].eqNullSafe(gone["doc_id"]) & (few["_gone_mark"] == gone["mark"]), "left_anti")
+    return caught(False).unionAll(rest).drop("_gone_id", "_gone_mark", "_gone_bit")
+
+
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns, of one document of each class: the one with the smallest id.
 
@@ -384,10 +411,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     placed = checkpointed(classes(docs, id_col, text_col))
     some = F.col("class").isNotNull()
     first = placed.where(some).groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("mark"))).alias("first"))
-    stay = first.select("first.doc_id", "first.mark").unionByName(placed.where(~some).select("doc_id", "mark").distinct())
-    stay = stay.select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark"))
-    mark = F.xxhash64(F.coalesce(docs[text_col].cast("string"), F.lit("")))
-    kept = docs.join(stay, docs[id_col].cast("long").eqNullSafe(stay["_id"]) & (mark == stay["_mark"]), "left_semi")
+    gone = placed.where(some).join(first, "class").where(~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("mark") == F.col("first.mark"))))
+    kept = _without(docs, gone.select("doc_id", "mark").distinct(), docs[id_col].cast("long"), F.xxhash64(F.coalesce(docs[text_col].cast("string"), F.lit(""))))
     if placed.where(some).groupBy("doc_id", "mark").count().where(F.col("count") > 1).isEmpty():
         return kept
     return kept.dropDuplicates([id_col, text_col])
