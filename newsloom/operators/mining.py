@@ -144,19 +144,15 @@ def restore_entities(text: ColumnLike, entities: Sequence[str] | None = None) ->
     return out
 
 
-def bag_of_words(docs: DataFrame, text: str, tokenizer: Callable[[ColumnLike], Column] | None = None, vocabulary: int = 1 << 18,
-                 min_df: float | None = None, max_df: float | None = None):
-    """(model, vectors): MLlib counts over a pluggable tokenizer.
+def bag_of_words(docs: DataFrame, key: str, text: str, tokenizer: Callable[[ColumnLike], Column] | None = None, min_df: int = 1,
+                 max_share: float = 1.0) -> DataFrame:
+    """(key, term, count) of the terms that at least ``min_df`` documents and at most a share of them hold, by a pluggable tokenizer.
 
-    Below 100 documents every term counts; above, a term needs one to three
-    documents and at most 85 % of them.
+    The vocabulary stays a table of any size; nothing is gathered on the driver.
     """
-    from pyspark.ml.feature import CountVectorizer
-
-    rows = docs.withColumn("tokens", tokenizer(text) if tokenizer else X.phrases(X.words(text)))
-    n = docs.count()
-    low = min_df if min_df is not None else (1.0 if n < 100 else float(max(1, min(3, n // 50))))
-    high = max_df if max_df is not None else (1.0 if n < 100 else 0.85)
-    # 1.0 as a share means "all documents"; as a count it would mean one document.
-    model = CountVectorizer(inputCol="tokens", outputCol="features", vocabSize=vocabulary, minDF=low, maxDF=high if high < 1 else float(2**62)).fit(rows)
-    return model, model.transform(rows)
+    rows = docs.select(key, (tokenizer(text) if tokenizer else X.phrases(X.words(text))).alias("tokens"))
+    counts = rows.select(key, F.explode("tokens").alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("count"))
+    total = docs.agg(F.count(F.lit(1)).alias("n")).scalar()
+    known = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df")).withColumn("n", total)
+    known = known.filter((F.col("df") >= min_df) & (F.col("df") <= F.lit(max_share) * F.col("n"))).select("term")
+    return counts.join(known, "term").select(key, "term", "count")

@@ -7,7 +7,7 @@ from datetime import datetime
 from pyspark.sql import functions as F
 
 from ..functions import dates as D
-from ..operators import classify as C, dedup as U, panel as P
+from ..operators import classify as C, dedup as U, panel as P, ranking as R
 from . import fixtures as X
 from .classify import TOY_CATEGORIES, _values, toy_categories
 from .registry import Registry, table
@@ -68,6 +68,22 @@ def _(spark, sf):
     return P.two_windows(e, ["user_id"], D.within("ts", b, c), D.within("ts", a, b))
 
 
+# Hashes that differ in a few bits of one block, made from the table's own numbers.
+_F9_HASH = "(l_partkey % 5) * 1099511627776 + (l_suppkey % 4) * 16777216 + (1 << (l_linenumber % 7)) + (case when l_quantity > 25 then 65536 else 0 end)"
+
+
+@add("f9_hash_groups", f"""with recursive h as (select distinct cast({_F9_HASH} as bigint) as hash from lineitem), n as (select hash, row_number() over (order by hash) as node from h),
+  p as (select a.node as a, b.node as b from n a join n b on a.node < b.node and bit_count(xor(a.hash, b.hash)) < 3),
+  o as (select b, list(a) as earlier, row_number() over (order by b) as k from p group by b),
+  r(k, gone) as (select 0::bigint, []::bigint[] union all
+    select r.k + 1, case when len(list_filter(o.earlier, lambda e: not list_contains(r.gone, e))) > 0 then list_append(r.gone, o.b) else r.gone end from r join o on o.k = r.k + 1)
+  select unnest(gone) as node from (select gone from r order by k desc limit 1)""")
+def _(spark, sf):
+    hashes = table(spark, sf, "lineitem").select(F.expr(_F9_HASH.replace("1 << (l_linenumber % 7)", "shiftleft(1L, l_linenumber % 7)")).cast("bigint").alias("hash")).distinct()
+    ranked = R.overall_rank(hashes, [F.col("hash")], "node")
+    return U.simhash_drops(ranked).select("node").distinct()
+
+
 @add("f9_similarity_groups")
 def _(spark, sf):
     d = table(spark, sf, "documents")

@@ -80,11 +80,12 @@ def _(spark, sf):
     return d.select("doc_id", "protected", K.restore_entities("protected", names).alias("restored"))
 
 
-@add("k6_bag_of_words")
+@add("k6_bag_of_words", f"""with w as (select doc_id, unnest({S.words('text', STOP)}) as term from documents), c as (select doc_id, term, count(*) as n from w group by all),
+  v as (select term from c group by 1 having count(*) >= 3 and count(*) <= 0.85 * (select count(*) from documents))
+  select doc_id, cast(sum(n) as bigint) as terms, count(*) as kinds from c semi join v using (term) group by 1""")
 def _(spark, sf):
-    model, rows = K.bag_of_words(table(spark, sf, "documents"), "text", lambda c: T.words(c, STOP))
-    from pyspark.ml.functions import vector_to_array
-    return rows.select("doc_id", F.aggregate(vector_to_array("features"), F.lit(0.0), lambda a, v: a + v).alias("terms"))
+    bag = K.bag_of_words(table(spark, sf, "documents"), "doc_id", "text", lambda c: T.words(c, STOP), 3, 0.85)
+    return bag.groupBy("doc_id").agg(F.sum("count").alias("terms"), F.count(F.lit(1)).alias("kinds"))
 
 
 @add("k7_keyword_counts", f"with w as (select unnest({S.words('text', STOP, 3, 10000)}) as word from documents) select word, count(*) as count from w group by 1 order by 2 desc, 1 limit 50")

@@ -98,7 +98,11 @@ def _(spark, sf):
                      F.desc("n_chars"), "doc_id").select("doc_id").limit(50)
 
 
-@add("i4_greedy_spacing")
+@add("i4_greedy_spacing", """with recursive d as (select lang, source, doc_id // 200 as block, n_chars, row_number() over (partition by lang, source, doc_id // 200 order by doc_id) as k from documents),
+  r(lang, source, block, k, kept) as (select distinct lang, source, block, 0::bigint, []::bigint[] from d union all
+    select r.lang, r.source, r.block, r.k + 1, case when len(r.kept) < 2 and len(list_filter(r.kept, lambda p: abs(p - d.n_chars) < 400)) = 0 then list_append(r.kept, d.n_chars) else r.kept end
+    from r join d on d.lang is not distinct from r.lang and d.source is not distinct from r.source and d.block = r.block and d.k = r.k + 1)
+  select lang, source, block, array_to_string(last(kept order by k), '|') as kept from r group by all""")
 def _(spark, sf):
     # The lengths of a source's documents, in id order, as candidate positions.
     d = table(spark, sf, "documents").groupBy("lang", "source", F.floor(F.col("doc_id") / 200).alias("block")).agg(

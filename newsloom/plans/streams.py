@@ -28,7 +28,7 @@ def _(spark, sf):
     raw = d.select(F.when(F.col("doc_id") % 10 != 0, F.concat(F.lit("https://a.vn/"), "doc_id")).alias("url"), F.col("text").alias("content"), F.lit("title").alias("title"),
                    F.lit("newspaper").alias("data_type"), F.lit("01/02/2024").alias("publish_date"))
     raw.write.json(f"{base}/in")
-    J.ingest(J.file_stream(spark, f"{base}/in", raw.schema), f"{base}/articles", f"{base}/rejected", f"{base}/checkpoint").awaitTermination()
+    J.ingest(J.file_stream(spark, f"{base}/in", raw.schema), f"{base}/articles", f"{base}/rejected", f"{base}/known", f"{base}/checkpoint").awaitTermination()
     return spark.read.parquet(f"{base}/articles").groupBy("source_type").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -44,8 +44,8 @@ def _(spark, sf):
   from w left join w p on p.day + interval 1 day = w.day and p.topic_id = w.topic_id""")
 def _(spark, sf):
     base = shared_folder(spark, "windows")
-    J.run_batches(J.mention_windows(_events(spark, sf), "ts", ["topic_id"]), f"{base}/out", f"{base}/checkpoint")
-    changes = J.window_changes(spark.read.parquet(f"{base}/out"), ["topic_id"], 86400)
+    J.upsert_rows(J.mention_windows(_events(spark, sf), "ts", ["topic_id"]), f"{base}/out", f"{base}/checkpoint").awaitTermination()
+    changes = J.window_changes(J.latest(spark, f"{base}/out", ["window", "topic_id"]), ["topic_id"], 86400)
     return changes.select(F.to_date("start").alias("day"), "topic_id", "n", "negative", "previous", F.round("change_percent", 4).alias("change_percent"))
 
 
@@ -53,7 +53,6 @@ def _(spark, sf):
   count(*) filter (sentiment_group = 'negative') as negative from mentions group by 1""")
 def _(spark, sf):
     base = shared_folder(spark, "daily")
-    query = J.upsert_daily(J.daily_counts(_events(spark, sf), "ts"), f"{base}/out", f"{base}/checkpoint")
-    query.awaitTermination()
-    last = max(query.lastProgress["batchId"], 0)
-    return spark.read.parquet(f"{base}/out/version={last}")
+    J.upsert_rows(J.daily_counts(_events(spark, sf), "ts"), f"{base}/out", f"{base}/checkpoint").awaitTermination()
+    days = J.latest(spark, f"{base}/out", ["window"])
+    return days.select(F.to_date("window.start").alias("day"), "total", "positive", "negative")

@@ -28,8 +28,9 @@ def _(spark, sf):
 
 @add("l2_transform_new")
 def _(spark, sf):
-    model, e = _fitted(spark, sf)
-    return L.transform_new(model, e, e.filter("vec_id % 2 = 0"), "vec_id", "embedding").select("vec_id", "topic_id", "probability")
+    e = table(spark, sf, "embeddings")
+    old, new = e.filter("vec_id % 2 = 1"), e.filter("vec_id % 2 = 0")
+    return L.transform_new(L.fit_topics(old, "embedding", topics=10, min_topic_size=5), e, old, "vec_id", "embedding").select("vec_id", "topic_id", "probability")
 
 
 @add("l3_topic_words", _CT + """, r as (select *, row_number() over (partition by label order by round(score, 9) desc, term) as r from s)

@@ -5,12 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
-from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
+from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.columns import count_where
 from ..operators import normalize as N
 from ..operators.ranking import first_per_key
-from ..sources.merge import keyed_load
 
 
 def file_stream(spark: SparkSession, folder: str, schema: T.StructType, fmt: str = "json", files_per_batch: int | None = None) -> DataFrame:
@@ -19,31 +18,34 @@ def file_stream(spark: SparkSession, folder: str, schema: T.StructType, fmt: str
     return (reader.option("maxFilesPerTrigger", files_per_batch) if files_per_batch else reader).load(folder)
 
 
-def ingest(stream: DataFrame, articles: str, rejected: str, checkpoint: str, keep: Sequence[str] = ()) -> StreamingQuery:
+#: Url buckets of the table of known urls; a batch reads only the buckets of its own urls.
+URL_BUCKETS = 256
+
+
+def ingest(stream: DataFrame, articles: str, rejected: str, known: str, checkpoint: str, keep: Sequence[str] = ()) -> StreamingQuery:
     """Normalise and validate each batch; valid rows are appended once per url, bad rows go to a side output.
 
-    A batch is written under its own id, so a batch that runs twice after a
-    failure replaces its own output instead of adding to it.
+    ``known`` holds the urls so far, by hash bucket, so that a batch never scans the articles. Every output is written
+    under the batch's own id: a batch that runs twice after a failure replaces its own output instead of adding to it,
+    and does not see its own urls as known.
     """
     def save(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
         checked = N.validate(N.normalize_documents(batch, keep))
-        bad = checked.filter(~F.col("is_valid"))
-        bad.write.mode("overwrite").parquet(f"{rejected}/batch={batch_id}")
+        checked.filter(~F.col("is_valid")).write.mode("overwrite").parquet(f"{rejected}/batch={batch_id}")
+        bucket = F.pmod(F.xxhash64("url"), F.lit(URL_BUCKETS)).cast("int")
         good = first_per_key(checked.filter("is_valid").drop("errors", "is_valid"), ["url"], [F.col("published_at"), F.col("title")])
-        known = _other_batches(batch.sparkSession, articles, batch_id)
-        fresh = good.join(known.select("url"), "url", "left_anti") if known is not None else good
-        fresh.write.mode("overwrite").parquet(f"{articles}/batch={batch_id}")
+        if batch_id:
+            buckets = [r["b"] for r in good.select(bucket.alias("b")).distinct().collect()]  # at most URL_BUCKETS
+            urls = spark.read.parquet(known).filter((F.col("batch") != batch_id) & F.col("bucket").isin(buckets)).select("url")
+            good = good.join(urls, "url", "left_anti")
+        good.write.mode("overwrite").parquet(f"{articles}/batch={batch_id}")
+        fresh = spark.read.parquet(f"{articles}/batch={batch_id}").select("url", bucket.alias("bucket"))
+        fresh.write.mode("overwrite").partitionBy("bucket").parquet(f"{known}/batch={batch_id}")
 
     return stream.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def _other_batches(spark: SparkSession, folder: str, batch_id: int) -> DataFrame | None:
-    """Rows of the other batches, None before there are any."""
-    if batch_id == 0:
-        return None
-    return spark.read.parquet(folder).filter(F.col("batch") != batch_id)
-
-
 def first_seen(stream: DataFrame, key: str, ts: str, delay: str = "1 hour") -> DataFrame:
     """First row per key among those that arrive within the watermark; state is dropped after it."""
     return stream.withWatermark(ts, delay).dropDuplicatesWithinWatermark([key])
@@ -71,35 +73,24 @@ def daily_counts(stream: DataFrame, ts: str, delay: str = "1 day", group: str =
             .agg(F.count(F.lit(1)).alias("total"), count_where(F.col(group) == "positive").alias("positive"), count_where(F.col(group) == "negative").alias("negative")))
 
 
-def upsert_daily(stream: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
-    """Changed days of ``daily_counts`` merged into a versioned snapshot table, one version per batch."""
-    def merge(batch: DataFrame, batch_id: int) -> None:
-        days = batch.select(F.to_date("window.start").alias("day"), "total", "positive", "negative")
-        if batch_id:
-            old = batch.sparkSession.read.parquet(f"{folder}/version={batch_id - 1}")
-            days = keyed_load(old, days, ["day"], "update").drop("action")
-        days.write.mode("overwrite").parquet(f"{folder}/version={batch_id}")
-
-    return stream.writeStream.outputMode("update").foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
+def upsert_rows(stream: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
+    """Changed rows of an aggregate, written under the id of their batch.
 
-class LateRows(StreamingQueryListener):
-    """Counts rows dropped behind the watermark."""
-
-    def __init__(self) -> None:
-        self.dropped = 0
-
-    def onQueryStarted(self, event) -> None:
-        pass
+    Update mode: the state holds only windows that the watermark still leaves open, and a batch writes only what it
+    changed. :func:`latest` reads the table.
+    """
+    def save(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/batch={batch_id}")
 
-    def onQueryProgress(self, event) -> None:
-        self.dropped += sum(s.numRowsDroppedByWatermark for s in event.progress.stateOperators)
+    return stream.writeStream.outputMode("update").foreachBatch(save).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
-    def onQueryIdle(self, event) -> None:
-        pass
 
-    def onQueryTerminated(self, event) -> None:
-        pass
+def latest(spark: SparkSession, folder: str, keys: Sequence[str]) -> DataFrame:
+    """The newest row of each key of a table written by :func:`upsert_rows`."""
+    rows = spark.read.parquet(folder)
+    rest = [c for c in rows.columns if c not in keys and c != "batch"]
+    newest = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("_row"))
+    return newest.select(*keys, "_row.*")
 
 
 def run_to_table(result: DataFrame, folder: str, checkpoint: str, mode: str = "append") -> None:
@@ -107,11 +98,3 @@ def run_to_table(result: DataFrame, folder: str, checkpoint: str, mode: str = "a
     query = (result.writeStream.outputMode(mode).format("parquet").option("path", folder).option("checkpointLocation", checkpoint)
              .trigger(availableNow=True).start())
     query.awaitTermination()
-
-
-def run_batches(result: DataFrame, folder: str, checkpoint: str, mode: str = "complete") -> None:
-    """Drain a stream whose every batch rewrites the whole result."""
-    def save(batch: DataFrame, _: int) -> None:
-        batch.write.mode("overwrite").parquet(folder)
-
-    result.writeStream.outputMode(mode).foreachBatch(save).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
