@@ -2,7 +2,7 @@
 
 Each text chooses anchors (grams picked by their hash) such that equal runs of ``length`` units hold an anchor at the
 same place. Anchors meet by their hash, packed into binary columns. Two occurrences of an anchor with equal
-surroundings (all runs that hold it) need no further look: the later one is covered. Occurrences with other
+surroundings (all runs that chose it) need no further look: the later one is covered. Occurrences with other
 surroundings stay *open* and are compared run by run by the operator.
 
 Rows are known by (doc_id, hash of the text): rows that are equal in both are the same document. Null ids order first.
@@ -104,15 +104,13 @@ def _anchor_blobs(docs: DataFrame, rule: Rule, parts: int) -> DataFrame:
             found: list[tuple] = []
             for texts in arrowtext.chunks(batch.column(2)):
                 m = Measured(texts, rule.unit)
-                pos, grams = arrowtext.anchors(m.values, m.bounds, rule.gram, rule.length)
+                pos, grams, first, last = arrowtext.anchors(m.values, m.bounds, rule.gram, rule.length)
                 if not len(pos):
                     continue
                 row = np.searchsorted(m.bounds, pos, "right") - 1
-                reach = rule.length - rule.gram
-                left = np.minimum(pos - m.bounds[row], reach)
-                right = np.minimum(m.bounds[row + 1] - pos - rule.gram, reach)
+                left, right = pos - first, last + rule.length - pos - rule.gram
                 around = m.ranges(pos - left, pos + rule.gram + right) + arrowtext.mixed((left * 1024 + right).astype(U64))
-                found.append((grams[pos], arrowtext.mixed(around), row + texts.first_row, pos - m.bounds[row], left, right))
+                found.append((grams, arrowtext.mixed(around), row + texts.first_row, pos - m.bounds[row], left, right))
             if not found:
                 continue
             h, g, row, pos, left, right = (np.concatenate(x) for x in zip(*found, strict=True))
@@ -194,7 +192,7 @@ def _judge(rule: Rule):
             smallest = np.minimum.reduceat(ids, np.flatnonzero(of_h))[anchor]
             largest = np.maximum.reduceat(ids, np.flatnonzero(of_h))[anchor]
             spread &= smallest < largest
-        useful = covered & (left.astype(np.int64) + right + rule.gram >= rule.length)
+        useful = covered
         open_ = ~covered & spread
         keep = np.flatnonzero(useful | open_)
         out: list[list] = [[] for _ in names]

@@ -167,15 +167,17 @@ def in_one_row(bounds: np.ndarray, n: int, k: int) -> np.ndarray:
     return ok
 
 
-def anchors(values: np.ndarray, bounds: np.ndarray, k: int, span: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places of k-grams such that equal runs of ``span`` values hold an anchor at the same place, and the grams' hashes.
+def anchors(values: np.ndarray, bounds: np.ndarray, k: int, span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(place, hash, first run, last run) of k-grams such that equal runs of ``span`` values choose the gram at the same place.
 
-    Of each run, the anchor is the rightmost gram with the smallest hash.
+    Each run within a row chooses its rightmost gram with the smallest hash. The runs that choose one gram follow each
+    other, from the first to the last.
     """
     w = span - k + 1
     g = grams(values, k)
     if len(g) < w:
-        return np.zeros(0, np.int64), g
+        none = np.zeros(0, np.int64)
+        return none, np.zeros(0, U64), none, none
     low, at = g, np.arange(len(g), dtype=np.int32)
     width = 1
     while width < w:
@@ -184,14 +186,8 @@ def anchors(values: np.ndarray, bounds: np.ndarray, k: int, span: int) -> tuple[
         at = np.where(right, at[step:], at[:-step])
         low = np.minimum(low[step:], low[:-step])
         width += step
-    chosen = np.zeros(len(g), bool)
-    chosen[at[in_one_row(bounds, len(values), span)]] = True
-    return np.flatnonzero(chosen), g
-
-
-def merged(starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Ascending starts of spans of one length, as disjoint maximal spans."""
-    if not len(starts):
-        return starts, starts
-    cut = np.flatnonzero(np.diff(starts) > length) + 1
-    return starts[np.append(0, cut)], starts[np.append(cut - 1, len(starts) - 1)] + length
+    runs = np.flatnonzero(in_one_row(bounds, len(values), span))
+    chosen = at[runs]
+    cut = np.flatnonzero(np.append(True, chosen[1:] != chosen[:-1])) if len(runs) else runs
+    place = chosen[cut].astype(np.int64)
+    return place, g[place], runs[cut], runs[np.append(cut[1:], len(runs)) - 1] if len(runs) else runs
