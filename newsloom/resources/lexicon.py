@@ -59,10 +59,8 @@ CATEGORY_KEYWORDS = {
 
 # Category to field routing (fixed values).
 CATEGORY_FIELDS = {
-    "giao_duc": "education", "y_te": "health", "giao_thong": "transport",
-    "hanh_chinh_cong": "digital_transformation", "kinh_te": "economy", "moi_truong": "environment",
-    "an_ninh_phap_luat": "security", "xa_hoi": "society", "van_hoa_giai_tri": "culture",
-    "cong_nghe": "digital_transformation", "quoc_te": "politics", "khac": "other",
+    "medical": "y_te", "education": "giao_duc", "transportation": "ha_tang_giao_thong", "environment": "moi_truong", "policy": "an_sinh_xa_hoi",
+    "security": "an_ninh_trat_tu", "management": "hanh_chinh_cong", "politics": "xay_dung_dang", "society": "van_hoa_the_thao",
 }
 
 
