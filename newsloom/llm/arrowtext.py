@@ -77,6 +77,7 @@ def chunks(column: pa.Array, most: int = 2_000_000) -> Iterator[Texts]:
         to = min(to, len(column))
         yield Texts(at, data[bounds[at]:bounds[to]], bounds[at:to + 1] - bounds[at])
         at = to
+    pa.default_memory_pool().release_unused()  # workers live on; what a batch held goes back
 
 
 @dataclass

@@ -24,7 +24,7 @@ SAMPLE_SEGMENTS = 6_000
 HIDDEN = 16
 UNKNOWN = "und"
 #: Segment scores that a worker keeps; the memo is emptied beyond that, which changes no result.
-MEMO = 400_000
+MEMO = 250_000
 _LETTER = re.compile(r"[^\W\d_]")
 _PAD = 256
 

@@ -134,35 +134,42 @@ def _matrix(rows: DataFrame, frequent: np.ndarray | None, size: int, parts: int)
     names = [c.split()[0] for c in _CELLS.split(", ")]
     shared = None if frequent is None else rows.sparkSession.sparkContext.broadcast(frequent)
 
+    pack = anchored._packed
+
+    def packed(sizes: list[int], groups: list[int], keys: list[int], found: list[np.ndarray]) -> pa.RecordBatch:
+        h = np.concatenate(found)
+        length = np.array([len(f) for f in found])
+        node = np.repeat(np.arange(len(found)), length)
+        pos = np.arange(len(h)) - np.repeat(np.cumsum(length) - length, length)
+        key, n, group = np.array(keys, np.int64), np.array(sizes), np.array(groups, U64)
+        out = []
+        for p, own in anchored.by_part(anchored.part_of(h, parts), parts):
+            used, at = np.unique(node[own], return_inverse=True)
+            out.append((p, pack(h[own], "<u8"), planes(np.diff(at, prepend=0)), b"" if shared is None else planes(pos[own]), pack(key[used], "<i8"),
+                        b"" if shared is None else planes(n[used]), b"" if shared is None else pack(group[used], "<u8")))
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if i == 0 else pa.binary()) for i, c in enumerate(zip(*out, strict=True))], names)
+
     def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pack = anchored._packed
         for batch in batches:
-            nodes: dict[int, int] = {}
-            sizes, groups, found = [], [], []
+            done: set[int] = set()
+            held: tuple[list, list, list, list] = ([], [], [], [])
+            cells_held = 0
             for texts in arrowtext.chunks(batch.column(1)):
                 for s in sets_of(texts, size):
-                    if not len(s) or (k := node_key(s)) in nodes:
+                    if not len(s) or (k := node_key(s)) in done:
                         continue
                     if shared is not None:
                         late = _is_set(shared.value, _bit_of(s))
                         s = np.concatenate([s[~late], s[late]])
-                    nodes[k] = len(nodes)
-                    sizes.append(len(s))
-                    groups.append(s[0])
-                    found.append(s[:prefix(len(s))])
-            if not found:
-                continue
-            h = np.concatenate(found)
-            length = np.array([len(f) for f in found])
-            node = np.repeat(np.arange(len(found)), length)
-            pos = np.arange(len(h)) - np.repeat(np.cumsum(length) - length, length)
-            keys, sizes, groups = np.array(list(nodes), np.int64), np.array(sizes), np.array(groups, U64)
-            out = []
-            for p, own in anchored.by_part(anchored.part_of(h, parts), parts):
-                used, at = np.unique(node[own], return_inverse=True)
-                out.append((p, pack(h[own], "<u8"), planes(np.diff(at, prepend=0)), b"" if shared is None else planes(pos[own]), pack(keys[used], "<i8"),
-                            b"" if shared is None else planes(sizes[used]), b"" if shared is None else pack(groups[used], "<u8")))
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if i == 0 else pa.binary()) for i, c in enumerate(zip(*out, strict=True))], names)
+                    done.add(k)
+                    for column, v in zip(held, (len(s), s[0], k, s[:prefix(len(s))].copy()), strict=True):
+                        column.append(v)
+                    cells_held += prefix(len(s))
+                if cells_held > 500_000:
+                    yield packed(*held)
+                    held, cells_held = ([], [], [], []), 0
+            if held[0]:
+                yield packed(*held)
 
     return rows.select("doc_id", "text").mapInArrow(cells, _CELLS)
 
