@@ -230,6 +230,37 @@ def test_decontamination_given(spark):
         assert len(terms(cut.decode())) == r["n_words"] - r["n_hit"]
 
 
+def _blocks_case():
+    rng = random.Random(5)
+    items = [(i, " ".join(rng.choice(["ab", "c1", "É", "d", "e"]) for _ in range(rng.randint(0, 18)))) for i in range(40)]
+    items += [(50, None), (51, ""), (60, " ".join(str(rng.randint(0, 60)) for _ in range(700)))]
+    long_ = items[-1][1].split()
+    docs = [(i, " ".join(rng.choice(["AB", "C1", "É", "d", "x-e", "ab,c1"]) for _ in range(rng.randint(0, 90)))) for i in range(150)]
+    docs += [(200 + i, " ".join(["q"] * 30 + long_[k:k + 14] + ["q"] * 9 + long_[k + 90:k + 190])) for i, k in enumerate(range(0, 500, 7))]
+    return docs + [(900, None), (901, ""), (902, " !! "), (903, docs[3][1])], items
+
+
+def test_decontamination_in_blocks(spark):
+    docs, items = _blocks_case()
+    left, right = spark.createDataFrame(docs, SCHEMA), spark.createDataFrame(items, "item_id long, text string")
+    want = sorted(map(str, decontamination.matches(left, right).collect()))
+    assert sorted(map(str, decontamination.matches(left, right, block=150).collect())) == want
+    want = plain_hits(docs, items)
+    assert sum(v[-1] for v in want.values()) > 50
+    kept = [r["doc_id"] for r in decontamination.keep_clean(left.unionAll(left), right, block=150).collect()]
+    assert sorted(kept) == sorted(2 * [i for i, v in want.items() if not v[-1]])
+
+
+def test_decontamination_above_ten_megabytes(spark):
+    rng = random.Random(6)
+    docs, items = _blocks_case()
+    more = [(1000 + i, " ".join(f"{rng.getrandbits(40):x}" for _ in range(20_000))) for i in range(50)]
+    assert sum(len(t) for _, t in more) > 10_000_000
+    docs += [(2000 + i, "x y " + " ".join(t.split()[i * 300:i * 300 + 20])) for i, t in more[:20] for i in [i - 1000]]
+    got = decontamination.report(spark.createDataFrame(docs, SCHEMA), spark.createDataFrame(items + more, "item_id long, text string"))
+    assert {r["doc_id"]: tuple(r)[1:] for r in got.collect()} == plain_hits(docs, items + more)
+
+
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 
 
