@@ -31,6 +31,8 @@ FREQUENT = 16
 LONG_ROW = 64
 #: Members of a long row that sit in most long rows; the others are compared with them first.
 LEADERS = 3
+#: Members of a long row on either side of one comparison across components, about.
+BLOCK = 1000
 #: Bits of the filters that every task gets, whatever the input. A filter that is too full costs time, not results.
 _FILTER_BITS = 1 << 26
 _PARITIES = 2048
@@ -329,20 +331,43 @@ def _led(members: DataFrame) -> DataFrame:
     return met.select(F.least("a", "leader").alias("a"), F.greatest("a", "leader").alias("b")).distinct()
 
 
-def _across(members: DataFrame, root: DataFrame, survey: DataFrame) -> DataFrame:
+def _across_cells(members: DataFrame, root: DataFrame, block: int = BLOCK) -> DataFrame:
+    """The members of long rows that reach over several components, dealt to cells (row, band, part, seat) of bounded size.
+
+    Of two sets that share at most the ``left`` of either, the smaller has (WHOLE + PART) * left >= PART * (na + nb) >=
+    2 * PART * n. So only members of that kind seek, and each seeks those of its own band of sizes and of the next one:
+    bands are powers of two, and sizes of alike sets lie within WHOLE / PART. Within a band, seekers and others are dealt
+    to blocks by hash, and every block of seekers meets every block of others in a cell of its own.
+    """
+    seeks = (WHOLE + PART) * F.col("left") >= 2 * PART * F.col("n")
+    labelled = checkpointed(members.join(root.withColumnRenamed("node", "a"), "a", "left").select(
+        "row", "a", "n", "left", F.coalesce("root", "a").alias("root"), F.length(F.bin("n")).alias("band"), seeks.alias("seeks")))
+    mixed = labelled.groupBy("row").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.max("seeks").alias("some"))
+    others = labelled.join(mixed.where((F.col("low") != F.col("high")) & F.col("some")).select("row"), "row")
+    seekers = others.where("seeks").withColumn("band", F.explode(F.array("band", F.col("band") + 1)))
+    blocks = lambda frame, name: frame.groupBy("row", "band").agg(F.ceil(F.count(F.lit(1)) / block).alias(name))
+    cells = checkpointed(blocks(seekers, "parts").join(blocks(others, "seats"), ["row", "band"]))
+
+    def dealt(frame: DataFrame, own: str, every: str, role: bool) -> DataFrame:
+        number, one = F.pmod(F.xxhash64("a"), own), F.explode(F.sequence(F.lit(0).cast("long"), F.col(every) - 1))
+        part, seat = (number, one) if role else (one, number)
+        return frame.join(cells, ["row", "band"]).select("row", "band", part.alias("part"), seat.alias("seat"), F.lit(role).alias("seeker"), "a", "n", "left", "root")
+
+    return dealt(seekers, "parts", "seats", True).unionByName(dealt(others, "seats", "parts", False))
+
+
+def _across(members: DataFrame, root: DataFrame, survey: DataFrame, block: int = BLOCK) -> DataFrame:
     """Pairs of members of one long row that lie in different components and whose sketches allow the likeness."""
-    labelled = members.join(root.withColumnRenamed("node", "a"), "a", "left").select("row", "a", "n", "left", F.coalesce("root", "a").alias("root"))
-    mixed = labelled.groupBy("row").agg(F.min("root").alias("low"), F.max("root").alias("high")).where(F.col("low") != F.col("high")).select("row")
     known = survey.where(F.col("n") > 0).groupBy(F.col("key").alias("a")).agg(F.min("sketch").alias("sketch"))
 
     def pairs(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["root", "a"], kind="stable")
+        seeker = frame["seeker"].to_numpy()
         n, left, key, label = (frame[c].to_numpy() for c in ("n", "left", "a", "root"))
         bits = np.frombuffer(b"".join(frame["sketch"]), np.uint64).reshape(len(frame), -1)
-        stops = np.searchsorted(label, label, "right")
+        others = np.flatnonzero(~seeker)
         found = [np.zeros((0, 2), np.int64)]
-        for i in range(len(key)):
-            rest = np.arange(stops[i], len(key))
+        for i in np.flatnonzero(seeker):
+            rest = others[((n[others] > n[i]) | (n[others] == n[i]) & (key[others] > key[i])) & (label[others] != label[i])]
             rest = rest[_allowed(n[i], n[rest], np.minimum(left[i], left[rest]))]
             d = np.bitwise_count(bits[rest] ^ bits[i]).sum(axis=1, dtype=np.int64)
             rest = rest[(WHOLE + PART) * d <= (WHOLE - PART) * (n[rest] + n[i])]
@@ -350,7 +375,7 @@ def _across(members: DataFrame, root: DataFrame, survey: DataFrame) -> DataFrame
         every = np.concatenate(found)
         return pd.DataFrame({"a": every[:, 0], "b": every[:, 1]})
 
-    return labelled.join(mixed, "row").join(known, "a").groupBy("row").applyInPandas(pairs, "a long, b long").distinct()
+    return _across_cells(members, root, block).join(known, "a").groupBy("row", "band", "part", "seat").applyInPandas(pairs, "a long, b long").distinct()
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, long_row: int = LONG_ROW) -> DataFrame:

@@ -1,6 +1,7 @@
 """Fingerprints, near-duplicate classes and the two removers of repeats, against brute-force versions."""
 
 import hashlib
+import itertools
 import random
 import re
 from collections import Counter
@@ -242,3 +243,29 @@ def test_near_pairs(spark):
     want = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a in ids for b in ids if a < b and 4 * len(sets[a] & sets[b]) >= 3 * len(sets[a] | sets[b])}
     got = {(r["a"], r["b"]): r["likeness"] for r in spotsigs.near_pairs(df, 0.75).collect()}
     assert got == pytest.approx(want) and want
+
+
+def test_members_of_a_long_row_are_compared_in_bounded_cells(spark):
+    rng = np.random.default_rng(8)
+    n = rng.integers(30, 130, 900)
+    left = np.maximum(n - rng.integers(0, 33, 900), 1)
+    left[:300] = np.ceil(n[:300] * 0.8)  # a template makes up four fifths: two such sets can't be alike through it
+    base = rng.random((6, 4000)).argsort(1)
+    sets = [np.unique(arrowtext.mixed((base[rng.integers(6)][:k] + 1).astype(np.uint64))) for k in n]
+    rows = [(1 if i < 800 else 2, i, int(n[i]), int(left[i]), token_groups.sketch(sets[i]), i % 37) for i in range(900)]
+    members = spark.createDataFrame([r[:4] for r in rows], "row long, a long, n long, left long")
+    root = spark.createDataFrame([(r[1], r[5]) for r in rows if r[1] != r[5]], "node long, root long")
+    survey = spark.createDataFrame([(r[1], r[2], r[4]) for r in rows], "key long, n long, sketch binary")
+    want = set()
+    for x, y in itertools.combinations(rows, 2):
+        d = int(np.bitwise_count(np.frombuffer(x[4], np.uint64) ^ np.frombuffer(y[4], np.uint64)).sum())
+        alike = 100 * min(x[2], y[2]) >= 75 * max(x[2], y[2]) and 175 * min(x[3], y[3]) >= 75 * (x[2] + y[2]) and 175 * d <= 25 * (x[2] + y[2])
+        if x[0] == y[0] and x[5] != y[5] and alike:
+            want.add((x[1], y[1]))
+    assert len(want) > 100
+    for block in (50, 1000):
+        assert {tuple(r) for r in token_groups._across(members, root, survey, block).collect()} == want
+    cells = token_groups._across_cells(members, root, 50).groupBy("row", "band", "part", "seat").count().collect()
+    assert max(r["count"] for r in cells) < 200
+    light = members.where("a < 300")
+    assert token_groups._across_cells(light, root).isEmpty()
