@@ -325,7 +325,7 @@ def test_pipeline(spark):
     from pathlib import Path
 
     sys.path.insert(0, str(Path(__file__).parent))
-    from test_search import plain_classes
+    from test_llm_search import plain_classes
 
     sf = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf}/documents.parquet").unionByName(
