@@ -25,6 +25,12 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def parts_for(df: DataFrame, size: int = 128_000_000) -> int:
+    """Partitions for a shuffle of ``df``: those of the session, or more where Spark expects more than ``size`` bytes in each."""
+    expected = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(shuffle_partitions(df.sparkSession), min(-(-expected // size), 20_000))
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that ``spark.checkpoint.dir`` names; only where none is named (tests on one machine) one of our own."""
     folder = spark.conf.get("spark.checkpoint.dir", None)

@@ -145,3 +145,12 @@ def op6_token_groups(spark, sf_dir):
     from newsloom.llm.common import read
 
     return token_groups.near_classes(read(spark, sf_dir, "documents"))
+
+
+@add("op12_byte_bpe")
+def op12_byte_bpe(spark, sf_dir):
+    import public_tokenizers
+    from newsloom.llm import byte_bpe
+    from newsloom.llm.common import read
+
+    return byte_bpe.report(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
