@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import base64
 import re
+import uuid
 import zlib
 from collections import defaultdict
 from collections.abc import Callable, Iterator
@@ -191,13 +192,14 @@ _ENCODERS: dict = {}
 
 def _encode_words(ranks: Broadcast):
     """Ids of the words of each row; a word that many chunks ask for is encoded once."""
+    key = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import tiktoken
 
-        if ranks.id not in _ENCODERS:
-            _ENCODERS[ranks.id] = tiktoken.Encoding("words", pat_str=r"[\s\S]+", mergeable_ranks=ranks.value, special_tokens={})
-        whole = _ENCODERS[ranks.id]
+        if key not in _ENCODERS:
+            _ENCODERS[key] = tiktoken.Encoding("words", pat_str=r"[\s\S]+", mergeable_ranks=ranks.value, special_tokens={})
+        whole = _ENCODERS[key]
         memo: dict[bytes, np.ndarray] = {}
         held = 0
         for batch in batches:

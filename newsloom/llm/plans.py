@@ -154,3 +154,11 @@ def op12_byte_bpe(spark, sf_dir):
     from newsloom.llm.common import read
 
     return byte_bpe.report(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+@add("op13_whitening")
+def op13_whitening(spark, sf_dir):
+    from newsloom.llm import whitening
+    from newsloom.llm.common import read
+
+    return whitening.whiten(read(spark, sf_dir, "embeddings"))
