@@ -13,6 +13,7 @@ import uuid
 import zlib
 from collections import defaultdict
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from functools import cache, cached_property
 from itertools import count
 
@@ -46,43 +47,55 @@ def ranks_of(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, file)}
 
 
+@dataclass(frozen=True)
+class Rules:
+    """A pattern, the same with the library's own letters and numbers written out, and the characters for which they differ."""
+
+    pattern: str
+    explicit: str
+    odd: str
+
+
 @cache
-def library_pattern(pattern: str) -> str:
-    """The pattern with the letters and numbers that the encoding library knows, whatever Unicode version it has."""
+def rules_of(pattern: str) -> Rules:
+    """The encoding library and this process may know different Unicode versions; the library's classes hold."""
+    import regex
     import tiktoken
 
     every = "".join(chr(c) for c in range(0x110000) if not 0xD800 <= c <= 0xDFFF)
     single = {bytes([b]): b for b in range(256)}
-
-    def ranges(name: str) -> str:
-        found = tiktoken.Encoding(name, pat_str=rf"\p{{{name}}}", mergeable_ranks=single, special_tokens={}).encode_ordinary(every)
-        codes = np.fromiter(map(ord, bytes(found).decode()), np.int64)
-        cuts = np.flatnonzero(np.diff(codes) > 1)
-        firsts, lasts = codes[np.append(0, cuts + 1)], codes[np.append(cuts, len(codes) - 1)]
-        return "".join(rf"\U{a:08x}-\U{b:08x}" for a, b in zip(firsts, lasts, strict=True))
-
+    explicit, odd = pattern, set()
     for name in ("L", "N"):
-        own = ranges(name)
-        pattern = re.sub(rf"\[([^\]]*)\\p\{{{name}\}}", lambda m, r=own: f"[{m[1]}{r}", pattern)
-        pattern = pattern.replace(rf"\p{{{name}}}", f"[{own}]")
-    return pattern
+        found = bytes(tiktoken.Encoding(name, pat_str=rf"\p{{{name}}}", mergeable_ranks=single, special_tokens={}).encode_ordinary(every)).decode()
+        odd |= set(found) ^ set(regex.findall(rf"\p{{{name}}}", every))
+        codes = np.fromiter(map(ord, found), np.int64)
+        cuts = np.flatnonzero(np.diff(codes) > 1)
+        own = "".join(rf"\U{a:08x}-\U{b:08x}" for a, b in zip(codes[np.append(0, cuts + 1)], codes[np.append(cuts, len(codes) - 1)], strict=True))
+        explicit = re.sub(rf"\[([^\]]*)\\p\{{{name}\}}", lambda m, r=own: f"[{m[1]}{r}", explicit)
+        explicit = explicit.replace(rf"\p{{{name}}}", f"[{own}]")
+    return Rules(pattern, explicit, "".join(sorted(odd)))
 
 
 class Splitter:
-    """Pre-tokens of a text as the library's own pattern gives them."""
+    """Pre-tokens of a text as the library's own pattern gives them: by ranges for plain texts, by the pattern for others."""
+
+    def __init__(self, rules: Rules) -> None:
+        import regex
 
-    def __init__(self, pattern: str, explicit: str) -> None:
-        self.explicit = explicit
-        self.plain = _PLAIN.fullmatch if pattern == _PLAIN_RULE else lambda text: None
+        self.rules, self.odd = rules, frozenset(rules.odd)
+        self.usual = regex.compile(rules.pattern).findall
+        self.plain = _PLAIN.fullmatch if rules.pattern == _PLAIN_RULE else lambda text: None
 
     @cached_property
     def every(self) -> Callable[[str], list[str]]:
         import regex
 
-        return regex.compile(self.explicit).findall
+        return regex.compile(self.rules.explicit).findall
 
     def __call__(self, text: str) -> list[str]:
-        return _PLAIN_WORDS.findall(text) if self.plain(text) else self.every(text)
+        if self.plain(text):
+            return _PLAIN_WORDS.findall(text)
+        return self.usual(text) if self.odd.isdisjoint(text) else self.every(text)
 
 
 def squeezed(values: np.ndarray) -> bytes:
@@ -143,11 +156,11 @@ def binaries(data: np.ndarray, ends: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(np.append(0, ends).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))])
 
 
-def _cut(pattern: str, explicit: str, parts: int):
+def _cut(rules: Rules, parts: int):
     """Chunks of texts: a row with the documents of each, and a row of words for each part that has some."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split = Splitter(pattern, explicit)
+        split = Splitter(rules)
         chunk = TaskContext.get().partitionId() << 32
 
         def rows() -> pa.RecordBatch:
@@ -260,7 +273,7 @@ def encode(docs: DataFrame, ranks_file: str, pattern: str, id_col: str = "doc_id
     parts = parts_for(docs)
     ranks = docs.sparkSession.sparkContext.broadcast(_bounded(ranks_of(ranks_file)))
     cut = keyed_texts(docs, id_col, text_col).mapInArrow(
-        _cut(pattern, library_pattern(pattern), parts), "at long, chunk long, held boolean, body binary").repartition(parts, "at")
+        _cut(rules_of(pattern), parts), "at long, chunk long, held boolean, body binary").repartition(parts, "at")
 
     def side(held: bool) -> DataFrame:
         """Rows of one kind. A generator, unlike a filter, is not moved below the shuffle, and all columns are used: both sides read the same shuffle."""

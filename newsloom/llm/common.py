@@ -25,10 +25,12 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def parts_for(df: DataFrame, size: int = 128_000_000) -> int:
-    """Partitions for a shuffle of ``df``: those of the session, or more where Spark expects more than ``size`` bytes in each."""
-    expected = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return max(shuffle_partitions(df.sparkSession), min(-(-expected // size), 20_000))
+def parts_for(df: DataFrame, size: int = 64_000_000) -> int:
+    """Partitions for a shuffle of ``df``: those of the session, or more where its files hold more than ``size`` bytes for each."""
+    leaves = df._jdf.queryExecution().analyzed().collectLeaves()
+    found = [leaves.apply(i) for i in range(leaves.length())]
+    held = sum(int(str(x.relation().sizeInBytes())) for x in found if x.nodeName().startswith("LogicalRelation") or x.nodeName().startswith("Relation"))
+    return max(shuffle_partitions(df.sparkSession), -(-held // size))
 
 
 def shared_folder(spark: SparkSession) -> str:

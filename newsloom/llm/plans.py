@@ -162,3 +162,11 @@ def op13_whitening(spark, sf_dir):
     from newsloom.llm.common import read
 
     return whitening.whiten(read(spark, sf_dir, "embeddings"))
+
+
+@add("op11_dialogues")
+def op11_dialogues(spark, sf_dir):
+    from newsloom.llm import dialogues
+    from newsloom.llm.common import read
+
+    return dialogues.report(read(spark, sf_dir, "conversations"))

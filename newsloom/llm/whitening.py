@@ -13,6 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from newsloom.llm.common import checkpointed
@@ -27,6 +28,8 @@ LANCZOS = 12
 ROUNDS = 200
 #: Entries of a matrix that a task holds at a time.
 CELLS = 2_000_000
+#: Tasks whose partial sums meet in one place.
+TOGETHER = 64
 
 
 @dataclass
@@ -34,6 +37,7 @@ class Rows:
     """Integer vectors in blocks (a checkpointed table: data, ids, null_ids), their number and their sums by dimension."""
 
     blocks: DataFrame
+    tasks: int
     n: int
     sums: np.ndarray
 
@@ -67,13 +71,15 @@ def integer_rows(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "emb
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x, _ in _matrices(batches):
-            yield _table(np.append(x.sum(0), len(x))[:, None], np.int64, x.shape[1])
+            sums = np.append(x.sum(0), len(x))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(sums), x.shape[1], np.int32)), pa.array(np.arange(len(sums), dtype=np.int32)), pa.array(sums)], ["size", "i", "y"])
 
-    found = blocks.mapInArrow(add, "size int, i int, y0 long").groupBy("size", "i").agg(F.sum("y0").alias("s")).collect()
+    found = blocks.mapInArrow(add, "size int, i int, y long").groupBy("size", "i").agg(F.sum("y").alias("s")).collect()
     if len({r["size"] for r in found}) > 1:
         raise ValueError("vectors of different lengths")
     values = np.array([s for _, s in sorted((r["i"], r["s"]) for r in found)], np.int64)
-    return Rows(blocks, int(values[-1]) if len(values) else 0, values[:-1])
+    return Rows(blocks, blocks.rdd.getNumPartitions(), int(values[-1]) if len(values) else 0, values[:-1])
 
 
 def _matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, tuple]]:
@@ -87,14 +93,10 @@ def _matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, t
                 yield x[at:at + step].astype(np.int64), (batch, r, at)
 
 
-def _table(y: np.ndarray, kind: type, size: int) -> pa.RecordBatch:
-    columns = [pa.array(np.ascontiguousarray(c), pa.from_numpy_dtype(kind)) for c in y.T]
-    return pa.RecordBatch.from_arrays(
-        [pa.array(np.full(len(y), size, np.int32)), pa.array(np.arange(len(y), dtype=np.int32)), *columns], ["size", "i", *(f"y{j}" for j in range(len(columns)))])
-
-
-def _summed(rows: Rows, of_matrix, width: int) -> np.ndarray:
-    """Sum over all rows of ``of_matrix(centred rows, what was broadcast)``: added up in each task, then row by row in a shuffle."""
+def _summed(rows: Rows, of_matrix) -> np.ndarray:
+    """Sum over all rows of ``of_matrix(centred rows)``: added up in each task, then in groups of ``TOGETHER`` tasks, then here."""
+    shared = rows.blocks.sparkSession.sparkContext.broadcast((rows.n, rows.sums))
+    groups = -(-rows.tasks // TOGETHER)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, sums = shared.value
@@ -102,20 +104,33 @@ def _summed(rows: Rows, of_matrix, width: int) -> np.ndarray:
         for x, _ in _matrices(batches):
             y = of_matrix((n * x - sums) / n)
             total = y if total is None else total + y
-        if total is not None:
-            yield _table(total, np.float64, len(sums))
+        yield from _sent(TaskContext.get().partitionId() % groups, total)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, total = 0, None
+        for batch in batches:
+            for group, size, data in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                y = np.frombuffer(data).reshape(size, -1)
+                total = y if total is None else total + y
+        yield from _sent(group, total)
+
+    kind = "slot long, size int, y binary"
+    parts = rows.blocks.mapInArrow(run, kind)
+    if groups > 1:
+        parts = parts.repartition(groups, "slot").mapInArrow(add, kind)
+    total = sum(np.frombuffer(r["y"]).reshape(r["size"], -1) for r in parts.collect())
+    shared.unpersist()
+    return total
 
-    shared = rows.blocks.sparkSession.sparkContext.broadcast((rows.n, rows.sums))
-    columns = [f"y{j}" for j in range(width)]
-    added = rows.blocks.mapInArrow(run, "size int, i int, " + ", ".join(f"{c} double" for c in columns)).groupBy("i").agg(*[F.sum(c).alias(c) for c in columns])
-    found = sorted(map(tuple, added.collect()))
-    shared.destroy()
-    return np.array([r[1:] for r in found], np.float64)
+
+def _sent(slot: int, total: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+    if total is not None:
+        yield pa.RecordBatch.from_arrays([pa.array([slot]), pa.array([len(total)], pa.int32()), pa.array([np.ascontiguousarray(total).tobytes()], pa.binary())], ["slot", "size", "y"])
 
 
 def covariance_times(rows: Rows, q: np.ndarray) -> np.ndarray:
     """One distributed pass: the covariance times the columns of ``q``."""
-    return _summed(rows, lambda c: c.T @ (c @ q), q.shape[1]) / rows.n
+    return _summed(rows, lambda c: c.T @ (c @ q)) / rows.n
 
 
 def lowest_bound(times, size: int, seed: int = 5) -> float:
@@ -136,14 +151,21 @@ def lowest_bound(times, size: int, seed: int = 5) -> float:
     return max(0.0, float(low) - betas[-1])
 
 
-def filtered(times, x: np.ndarray, degree: int, low: float, cut: float, top: float) -> np.ndarray:
-    """Chebyshev polynomial of the covariance times ``x``: at most about 1 on [low, cut], growing above, scaled to 1 at ``top``."""
+def filtered(times, x: np.ndarray, degree: int, low: float, cut: float, top: float, locked: np.ndarray) -> np.ndarray:
+    """Chebyshev polynomial of the covariance times ``x``: at most about 1 on [low, cut], growing above, scaled to 1 at ``top``.
+
+    Locked directions lie far above and are taken out after each step, before rounding errors along them can grow.
+    """
     half, middle = (cut - low) / 2, (cut + low) / 2
     first = sigma = half / (top - middle)
-    y = (times(x) - middle * x) * (first / half)
+
+    def free(y: np.ndarray) -> np.ndarray:
+        return y - locked @ (locked.T @ y)
+
+    y = free((times(x) - middle * x) * (first / half))
     for _ in range(degree - 1):
         after = 1 / (2 / first - sigma)
-        x, y = y, (times(y) - middle * y) * (2 * after / half) - sigma * after * x
+        x, y = y, free((times(y) - middle * y) * (2 * after / half) - sigma * after * x)
         sigma = after
     return y
 
@@ -157,41 +179,39 @@ def _orthonormal(x: np.ndarray, locked: np.ndarray) -> np.ndarray:
 def eigenpairs(times, size: int, wanted: int = COMPONENTS, seed: int = 3) -> tuple[np.ndarray, np.ndarray]:
     """The highest eigenvalues (falling) and their unit vectors, certified by residuals at rounding level.
 
-    Raises RuntimeError where ``ROUNDS`` rounds don't get there.
+    Converged leading pairs are locked; the filter then only has to spread the others. Raises RuntimeError where ``ROUNDS``
+    rounds don't certify all.
     """
-    block = min(size, wanted + SPARE)
-    wanted = min(size, wanted)
-    locked, active = np.zeros((size, 0)), np.linalg.qr(np.random.default_rng(seed).normal(size=(size, block)))[0]
+    block, wanted = min(size, wanted + SPARE), min(size, wanted)
+    rng = np.random.default_rng(seed)
+    locked, active = np.zeros((size, 0)), np.linalg.qr(rng.normal(size=(size, block)))[0]
     low, last, scale = (lowest_bound(times, size) if block < size else 0.0), math.inf, 0.0
     for _ in range(ROUNDS):
         product = times(active)
         values, turn = np.linalg.eigh(active.T @ product)
         values, turn = values[::-1], turn[:, ::-1]
         active, product = active @ turn, product @ turn
-        residuals = np.linalg.norm(product - active * values, axis=0)
         scale = max(scale, float(abs(values[0])))
-        good = 1e-15 * math.sqrt(size) * scale
-        open_pairs = wanted - locked.shape[1]
-        worst = float(residuals[:open_pairs].max())
-        # rounding level: small enough, or small and no longer falling
-        done = worst <= good or (worst >= last / 2 and worst <= 100 * good)
-        ready = open_pairs if done else next((i for i, r in enumerate(residuals[:open_pairs]) if r > good), open_pairs)
+        rest = wanted - locked.shape[1]
+        residuals = np.linalg.norm(product - active * values - locked @ (locked.T @ product), axis=0)[:rest]
+        good = 2e-15 * math.sqrt(size) * scale
+        open_pairs = np.flatnonzero(residuals > good)
+        worst = float(residuals.max())
+        if not len(open_pairs) or (worst >= last / 2 and worst <= 50 * good):  # rounding level: small, or nearly and no longer falling
+            break
         last = worst
-        if ready < open_pairs and locked.shape[1] + ready + 1 >= block:
-            ready = 0
+        ready = int(open_pairs[0])
         locked, active, values = np.hstack([locked, active[:, :ready]]), active[:, ready:], values[ready:]
-        if locked.shape[1] == wanted:
-            break
-        if block < size:
-            top, cut = float(values[0]), float(values[-1])
-            if cut - low > 1e-12 * scale and top > cut:
-                growth = math.acosh(max((top - (cut + low) / 2) / ((cut - low) / 2), 1 + 1e-9))
-                active = filtered(times, active, int(min(DEGREE, max(2, math.log(SPREAD) / growth))), low, cut, top)
+        top, cut = float(values[0]), float(values[-1])
+        if cut - low > 1e-12 * scale and top > cut:
+            growth = math.acosh(max((top - (cut + low) / 2) / ((cut - low) / 2), 1 + 1e-9))
+            active = filtered(times, active, int(min(DEGREE, max(2, math.log(SPREAD) / growth))), low, cut, top, locked)
+        else:
+            active = times(active)
         active = _orthonormal(active, locked)
     else:
         raise RuntimeError(f"subspace iteration is not certified after {ROUNDS} rounds: residual {last:.3g} of {scale:.3g}")
-    whole = np.hstack([locked, active])  # locked vectors are turned once more against all others
-    whole = np.linalg.qr(whole)[0]
+    whole = np.linalg.qr(np.hstack([locked, active]))[0]  # locked vectors are turned once more against all others
     values, turn = np.linalg.eigh(whole.T @ times(whole))
     values, vectors = values[::-1][:wanted], (whole @ turn[:, ::-1])[:, :wanted]
     return values, vectors * np.sign(vectors[np.abs(vectors).argmax(0), np.arange(wanted)])
@@ -221,7 +241,7 @@ def whiten(rows: DataFrame, components: int = COMPONENTS, id_col: str = "vec_id"
         w = c @ turn
         return np.hstack([w.T @ w, w.sum(0)[:, None], np.full((kept, 1), (c * c).sum())])
 
-    found = _summed(fit, moments, kept + 2) / fit.n
+    found = _summed(fit, moments) / fit.n
     mean = found[:, kept]
     identity_error = float(np.abs(found[:, :kept] - np.outer(mean, mean) - np.eye(kept)).max())
     explained = values / found[0, kept + 1]
