@@ -40,6 +40,11 @@ class Rule:
     inside: bool
     hot: int = HOT
 
+    @property
+    def extent(self) -> str:
+        """Kind of number that holds how far a run reaches from its anchor."""
+        return next(kind for kind, most in (("u1", 1 << 8), ("<u2", 1 << 16), ("<u4", 1 << 32)) if self.length < most)
+
 
 class Sums:
     """Hashes of any range of a sequence of values, from running sums."""
@@ -109,7 +114,7 @@ def _anchor_blobs(docs: DataFrame, rule: Rule, parts: int) -> DataFrame:
                     continue
                 row = np.searchsorted(m.bounds, pos, "right") - 1
                 left, right = pos - first, last + rule.length - pos - rule.gram
-                around = m.ranges(pos - left, pos + rule.gram + right) + arrowtext.mixed((left * 1024 + right).astype(U64))
+                around = m.ranges(pos - left, pos + rule.gram + right) + arrowtext.mixed(((left << 32) + right).astype(U64))
                 found.append((grams, arrowtext.mixed(around), row + texts.first_row, pos - m.bounds[row], left, right))
             if not found:
                 continue
@@ -118,7 +123,7 @@ def _anchor_blobs(docs: DataFrame, rule: Rule, parts: int) -> DataFrame:
             for p, own in by_part(part_of(h, parts), parts):
                 rows, at = np.unique(row[own], return_inverse=True)
                 out.append((p, _packed(h[own], "<u8"), _packed(g[own] >> U64(32), "<u4"), _packed(g[own] >> U64(16) & U64(0xFFFF), "<u2"), _packed(at, "<u4"),
-                            _packed(pos[own], "<u4"), _packed(left[own], "u1"), _packed(right[own], "u1"), _packed(ids[rows], "<i8"), _packed(marks[rows], "<i8")))
+                            _packed(pos[own], "<u4"), _packed(left[own], rule.extent), _packed(right[own], rule.extent), _packed(ids[rows], "<i8"), _packed(marks[rows], "<i8")))
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if i == 0 else pa.binary()) for i, c in enumerate(zip(*out, strict=True))], names)
 
     return docs.mapInArrow(find, _ANCHORS)
@@ -160,7 +165,7 @@ def _by_document(ids: np.ndarray, marks: np.ndarray) -> Iterator[np.ndarray]:
 
 
 def _judge(rule: Rule):
-    kinds = {"h": "<u8", "high": "<u4", "low": "<u2", "row": "<u4", "pos": "<u4", "left": "u1", "right": "u1", "ids": "<i8", "marks": "<i8"}
+    kinds = {"h": "<u8", "high": "<u4", "low": "<u2", "row": "<u4", "pos": "<u4", "left": rule.extent, "right": rule.extent, "ids": "<i8", "marks": "<i8"}
     names = [c.split()[0] for c in _FOUND.split(", ")]
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,7 +205,7 @@ def _judge(rule: Rule):
             own = keep[own]
             c, o = own[useful[own]], own[open_[own]]
             values = (int(ids[own[0]]), int(marks[own[0]]), _packed(pos[c].astype(np.int64) - left[c], "<u4"), _packed(pos[c].astype(np.int64) + rule.gram + right[c], "<u4"),
-                      _packed(first[c], "<i8"), _packed(pos[o], "<u4"), _packed(left[o], "u1"), _packed(right[o], "u1"), _packed(h[o], "<u8"),
+                      _packed(first[c], "<i8"), _packed(pos[o], "<u4"), _packed(left[o], rule.extent), _packed(right[o], rule.extent), _packed(h[o], "<u8"),
                       _packed(contexts[o] > rule.hot, "u1"))
             for column, v in zip(out, values, strict=True):
                 column.append(v)

@@ -7,7 +7,6 @@ give equal labels, so each distinct segment of a batch is read once and weighted
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -25,7 +24,6 @@ HIDDEN = 16
 UNKNOWN = "und"
 #: Segment scores that a worker keeps; the memo is emptied beyond that, which changes no result.
 MEMO = 250_000
-_LETTER = re.compile(r"[^\W\d_]")
 _PAD = 256
 
 
@@ -270,7 +268,7 @@ class Reader:
             self.place.update(zip(new, range(at, at + len(new)), strict=True))
 
     def __call__(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
-        cut = [Counter(segments(t)) if t and _LETTER.search(t) else None for t in texts]
+        cut = [Counter(segments(t)) if t and any(map(str.isalpha, t)) else None for t in texts]
         self._learn({s for c in cut if c for s in c})
         names, scores = [], []
         for c in cut:

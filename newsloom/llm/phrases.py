@@ -36,7 +36,7 @@ def _confirmed(docs: DataFrame, found: DataFrame, rule: anchored.Rule) -> DataFr
                 m = anchored.Measured(texts, rule.unit)
                 for r in range(texts.rows):
                     row = texts.first_row + r
-                    pos, left, right, _, _ = anchored.unpacked(batch.column(3)[row].as_py(), ("<u4", "u1", "u1", "<u8", "u1"))
+                    pos, left, right, _, _ = anchored.unpacked(batch.column(3)[row].as_py(), ("<u4", rule.extent, rule.extent, "<u8", "u1"))
                     count = np.maximum(left + right + rule.gram - rule.length + 1, 0)
                     starts = np.unique(np.repeat(pos - left, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count))
                     at = starts + m.bounds[r]

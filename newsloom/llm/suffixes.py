@@ -155,7 +155,7 @@ def _compared(docs: DataFrame, found: DataFrame, rule: anchored.Rule) -> list[Da
     def each(batch: pa.RecordBatch) -> Iterator[tuple[arrowtext.Texts, int, list[np.ndarray]]]:
         for texts in arrowtext.chunks(batch.column(2)):
             for r in range(texts.rows):
-                yield texts, r, anchored.unpacked(batch.column(3)[texts.first_row + r].as_py(), ("<u4", "u1", "u1", "<u8", "u1"))
+                yield texts, r, anchored.unpacked(batch.column(3)[texts.first_row + r].as_py(), ("<u4", rule.extent, rule.extent, "<u8", "u1"))
 
     def snippets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -413,38 +413,45 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return placed.join(smallest, "class", "left").select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
 
 
-def _without(docs: DataFrame, gone: DataFrame, ident: Column, mark: Column) -> DataFrame:
-    """The rows of ``docs`` whose (id, mark) is not in ``gone``.
+def _caught(docs: DataFrame, told: DataFrame, ident: Column, mark: Column) -> tuple[DataFrame, DataFrame]:
+    """``docs`` in two: the rows whose (id, mark) is surely not in ``told``, and the others (with ``_told_id``, ``_told_mark``).
 
-    A filter of bounded size lets most rows stay where they are; only those that it catches are joined.
+    A filter of bounded size tells them apart, so that most rows stay where they are and only the others are joined.
     """
     bit = lambda i, m: F.pmod(F.xxhash64(i, m), F.lit(_FILTER_BITS))
-    bits = docs.sparkSession.sparkContext.broadcast(_flat(_collected_bits(gone.select(bit(F.col("doc_id"), F.col("mark")).alias("bit")))))
-    tagged = docs.select("*", ident.alias("_gone_id"), mark.alias("_gone_mark"), bit(ident, mark).alias("_gone_bit"))
+    bits = docs.sparkSession.sparkContext.broadcast(_flat(_collected_bits(told.select(bit(F.col("doc_id"), F.col("mark")).alias("bit")))))
+    tagged = docs.select("*", ident.alias("_told_id"), mark.alias("_told_mark"), bit(ident, mark).alias("_told_bit"))
 
-    def caught(wanted: bool):
+    def side(wanted: bool) -> DataFrame:
         def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 yield batch.filter(pa.array(_is_set(bits.value, batch.column(batch.num_columns - 1).to_numpy()) == wanted, pa.bool_()))
 
-        return tagged.mapInArrow(part, tagged.schema)
+        return tagged.mapInArrow(part, tagged.schema).drop("_told_bit")
+
+    return side(False).drop("_told_id", "_told_mark"), side(True)
 
-    few = caught(True)
-    rest = few.join(gone, few["_gone_id"].eqNullSafe(gone["doc_id"]) & (few["_gone_mark"] == gone["mark"]), "left_anti")
-    return caught(False).unionAll(rest).drop("_gone_id", "_gone_mark", "_gone_bit")
+
+def _without(docs: DataFrame, gone: DataFrame, ident: Column, mark: Column) -> DataFrame:
+    """The rows of ``docs`` whose (id, mark) is not in ``gone``."""
+    rest, few = _caught(docs, gone, ident, mark)
+    few = few.join(gone, few["_told_id"].eqNullSafe(gone["doc_id"]) & (few["_told_mark"] == gone["mark"]), "left_anti")
+    return rest.unionAll(few.drop("_told_id", "_told_mark"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns, of one document of each class: the one with the smallest id.
 
     Among equal ids a hash of the text decides; of rows with equal id and text one stays; a row with a null id stays only
-    where its class has no other. Rows without shingles all stay.
+    where its class has no other. Rows without shingles all stay, repeated ones too.
     """
-    placed = checkpointed(classes(docs, id_col, text_col))
-    some = F.col("class").isNotNull()
-    first = placed.where(some).groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("mark"))).alias("first"))
-    gone = placed.where(some).join(first, "class").where(~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("mark") == F.col("first.mark"))))
-    kept = _without(docs, gone.select("doc_id", "mark").distinct(), docs[id_col].cast("long"), F.xxhash64(F.coalesce(docs[text_col].cast("string"), F.lit(""))))
-    if placed.where(some).groupBy("doc_id", "mark").count().where(F.col("count") > 1).isEmpty():
-        return kept
-    return kept.dropDuplicates([id_col, text_col])
+    placed = checkpointed(classes(docs, id_col, text_col)).where(F.col("class").isNotNull())
+    first = placed.groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("mark"))).alias("first"))
+    gone = placed.join(first, "class").where(~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("mark") == F.col("first.mark"))))
+    twice = placed.groupBy("doc_id", "mark").count().where(F.col("count") > 1)
+    told = gone.select("doc_id", "mark", F.lit(True).alias("gone")).unionAll(twice.select("doc_id", "mark", F.lit(False))).groupBy("doc_id", "mark").agg(F.max("gone").alias("gone"))
+    rest, few = _caught(docs, told, docs[id_col].cast("long"), F.xxhash64(F.coalesce(docs[text_col].cast("string"), F.lit(""))))
+    own = told.select(F.col("doc_id").alias("_own_id"), F.col("mark").alias("_own_mark"), F.col("gone").alias("_own_gone"))
+    few = few.join(own, few["_told_id"].eqNullSafe(own["_own_id"]) & (few["_told_mark"] == own["_own_mark"]), "left").where(~F.coalesce("_own_gone", F.lit(False)))
+    few = few.withColumn("_own_row", F.when(F.col("_own_gone").isNull(), F.monotonically_increasing_id()))  # rows that are not in ``told`` all differ
+    return rest.unionAll(few.dropDuplicates([id_col, text_col, "_own_row"]).select(rest.columns))

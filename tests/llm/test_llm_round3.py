@@ -236,3 +236,82 @@ def test_whitening_without_variance(spark):
 def test_whitening_lengths(spark):
     with pytest.raises(Exception, match="different lengths"):
         whitening.whiten(spark.createDataFrame([(1, [1.0]), (2, [1.0, 2.0])], VECTORS))
+
+
+def test_secrets_over_blocks(spark):
+    """Long candidates, walked in blocks, and windows that end at their edges."""
+    from newsloom.llm import secrets
+    from test_llm_streams import base_spans, high_spans
+
+    rng = random.Random(8)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
+    texts = []
+    for size in (20, 255, 256, 257, 492, 493, 494, 700, 1500):
+        runs = ["".join(rng.choice(letters if rng.random() < 0.5 else rng.choice(["ab", "0a", "x"])) for _ in range(rng.randint(5, 60))) for _ in range(size // 20 + 1)]
+        texts += ["é" + "".join(runs)[:size] + " x", "".join(rng.choice("0123456789abcdef") for _ in range(size))]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in secrets.report(df).collect():
+        found = sorted(base_spans(texts[r["doc_id"]]) + high_spans(texts[r["doc_id"]]))
+        assert r["spans"] == ",".join(f"{k}:{a}:{b}" for a, _, b, k in found)
+    for r in secrets.redact(df).collect():
+        text, at, out = texts[r["doc_id"]], 0, []
+        for a, _, b, _ in sorted(base_spans(text) + high_spans(text)):
+            if a >= at:
+                out += [text[at:a], "[SECRET]"]
+            at = max(at, b)
+        assert r["text"] == "".join([*out, text[at:]])
+
+
+def test_secrets_linear(spark):
+    """A megabyte of one random string, and a hundred thousand matches in one text."""
+    import time
+
+    from newsloom.llm import secrets
+
+    rng = random.Random(9)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    blob = "".join(rng.choices(letters, k=1_000_000))
+    many = " ".join(f"token=abc{i:06d} ü" for i in range(100_000))
+    path = "a/" * 400_000
+    df = spark.createDataFrame([(1, blob), (2, many), (3, path)], "doc_id long, text string")
+    secrets.report(df.limit(0)).collect()
+    began = time.time()
+    rows = {r["doc_id"]: r for r in secrets.report(df).collect()}
+    masked = {r["doc_id"]: r["text"] for r in secrets.redact(df).collect()}
+    assert time.time() - began < 60
+    assert rows[2]["n_assign"] == 100_000 and rows[3]["spans"] == "" and rows[1]["spans"].startswith("high:")
+    assert masked[2] == " ".join(["[SECRET] ü"] * 100_000) and masked[3] == path and len(masked[1]) < 100_000
+
+
+def test_keep_one_leaves_rows_without_shingles(spark):
+    from newsloom.llm import token_groups
+
+    rows = [(1, "x"), (1, "x"), (2, ""), (2, ""), (3, "y")]
+    kept = token_groups.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(map(tuple, kept.collect())) == [(1, "x"), (2, ""), (2, ""), (3, "y")]
+
+
+def test_letterless_texts_have_no_language(spark):
+    from newsloom.llm import language
+
+    words = {"en": "the thing that here", "de": "und der schöne Tag"}
+    rows = [(i, f"{words[lang]} {words[lang][i % 9:]}", lang) for i in range(120) for lang in words]
+    docs = spark.createDataFrame([*rows, (500, "² ½ 12 ³", None), (501, None, "en"), (502, "", None)], "doc_id long, text string, lang string")
+    network = language.fit(docs)
+    found = {r["doc_id"]: r["lang_pred"] for r in language.predict(docs, network).collect()}
+    assert found[500] == found[501] == found[502] == "und" and found[3] != "und"
+    assert {500, 501, 502}.isdisjoint(r["doc_id"] for r in language.keep_known(docs, network).collect())
+
+
+@pytest.mark.parametrize("length", [300, 400, 1000])
+def test_long_runs(spark, length):
+    from newsloom.llm import phrases, suffixes
+    from test_llm_search import by_id, plain_phrases, plain_suffixes
+
+    rng = random.Random(length)
+    base = ["".join(rng.choice("abcdefgh ") for _ in range(3000)) for _ in range(2)]
+    docs = [(i, f"{rng.random()}{rng.choice(base)[rng.randint(0, 500):rng.randint(1500, 3000)]}{rng.random()}") for i in range(12)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert by_id(suffixes.strip_repeats(df, length=length)) == plain_suffixes(docs, length)
+    words = [(i, " ".join(t)) for i, t in docs]
+    assert by_id(phrases.strip_repeats(spark.createDataFrame(words, "doc_id long, text string"), length)) == plain_phrases(words, length)
