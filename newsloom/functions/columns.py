@@ -64,6 +64,15 @@ def attach_table(df: DataFrame, table: DataFrame, name: str, max_rows: int = 500
     return df.withColumn(name, array)
 
 
+def in_blocks(table: DataFrame, key: str, most: int) -> list[DataFrame]:
+    """The table itself if it has at most ``most`` rows, else parts by hash of a unique key that each stay well below."""
+    rows = table.count()
+    if rows <= most:
+        return [table]
+    parts = -(-2 * rows // most)
+    return [table.filter(F.pmod(F.xxhash64(key), F.lit(parts)) == i) for i in range(parts)]
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body(value)`` with ``value`` computed once per row.
 

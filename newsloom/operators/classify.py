@@ -1,19 +1,22 @@
 """Dictionary and vector classification of texts.
 
-Dictionaries are small tables: they reach every row as one array (size checked,
-see ``attach_table``), so no text is shuffled or copied per keyword.
+Small dictionaries reach every row as one array (size checked, see ``attach_table``), so no text is shuffled or copied per
+keyword; large ones meet the texts by grams (``containment``).
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import text as X
-from ..functions.columns import ColumnLike, attach_table, col, contained, contained_words, let, lookup, settled, sum_array
+from ..functions.columns import ColumnLike, attach_table, col, contained, contained_words, in_blocks, let, lookup, settled, sum_array
 from ..resources import lexicon as L
+from ..session import shared_checkpoint
 from ..sources.merge import keyed_load
+from .containment import contained_terms
 from .ranking import first_per_key, overall_rank
 
 
@@ -75,9 +78,23 @@ def emotion_group(emotion: ColumnLike, groups: dict[str, str] | None = None) ->
 
 # --- Category, field, routing --------------------------------------------------------------------------------------
 
+#: Tables up to so many entries and keywords travel to the texts as one array; larger ones meet them by grams, with the same hits.
+ARRAY_ENTRIES, ARRAY_KEYWORDS = 2000, 5000
+
+
+def _fits(table: DataFrame) -> bool:
+    size = table.limit(ARRAY_ENTRIES + 1).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.size("keywords")), F.lit(0)).alias("k")).first()
+    return size["n"] <= ARRAY_ENTRIES and size["k"] <= ARRAY_KEYWORDS
+
+
 def _keyword_hits(docs: DataFrame, text: Column, table: DataFrame, names: Sequence[str], whole_words: bool = False) -> DataFrame:
-    """Adds ``_hits``: array of the table's entries with the keywords found in the text."""
-    out = attach_table(docs, table.select("rank", *names, "keywords"), "_dict", 2000)
+    """Adds ``_hits``: array of the table's entries with the keywords found in the text.
+
+    Of a large table only entries with a keyword in the text are listed.
+    """
+    if not _fits(table):
+        return _large_keyword_hits(docs, text, table, names, whole_words)
+    out = attach_table(docs, table.select("rank", *names, "keywords"), "_dict", ARRAY_ENTRIES)
     find = contained_words if whole_words else contained
     # The text is bound first, so it is prepared once per row and not once per entry.
     hits = let(text, lambda t: F.transform("_dict", lambda e: F.struct(
@@ -86,6 +103,20 @@ def _keyword_hits(docs: DataFrame, text: Column, table: DataFrame, names: Sequen
     return settled(out, "_hits", hits).drop("_dict")
 
 
+def _large_keyword_hits(docs: DataFrame, text: Column, table: DataFrame, names: Sequence[str], whole_words: bool) -> DataFrame:
+    """As :func:`_keyword_hits`, for dictionaries of any size: keywords meet the texts by their rarest grams."""
+    rows = shared_checkpoint(docs.withColumn("_row", F.monotonically_increasing_id()).withColumn("_body", text))
+    blank = F.lit(" ") if whole_words else F.lit("")
+    entries = table.select("rank", *names, F.size("keywords").alias("size"), F.posexplode("keywords").alias("place", "keyword")).withColumn(
+        "term", F.concat(blank, F.col("keyword"), blank))
+    pairs = contained_terms(rows, "_row", "_body", entries.select("term")).select("_row", F.explode("found").alias("term"))
+    found = pairs.join(entries, "term").groupBy("_row", "rank", *names, "size").agg(F.sort_array(F.collect_list(F.struct("place", "keyword"))).alias("f"))
+    entry = F.struct("rank", *names, "size", F.transform("f", lambda x: x["keyword"]).alias("found"))
+    hits = found.groupBy("_row").agg(F.sort_array(F.collect_list(entry)).alias("_hits"))
+    joined = rows.join(hits, "_row", "left").drop("_row", "_body")
+    return joined.withColumn("_hits", F.coalesce("_hits", F.array().cast(hits.schema["_hits"].dataType)))
+
+
 def _best_by(hits: str, score) -> Column:
     """Entry with the highest score, the smallest rank among equals."""
     ranked = F.transform(hits, lambda h: F.struct(score(h).alias("score"), (-h["rank"]).alias("order"), h.alias("hit")))
@@ -173,14 +204,21 @@ def embedding_score(vector: ColumnLike, topic_vector: ColumnLike) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), dot(v, topic_vector) / F.sqrt(dot(v, v))))
 
 
+#: Topics that travel as one array.
+TOPICS = 2000
+
+
 def classify_topics(docs: DataFrame, text: str, topics: DataFrame, method: str = "hybrid", vector: str | None = None,
                     min_confidence: float | None = None) -> DataFrame:
     """One row per document and active topic with keyword, embedding and final score.
 
     ``topics``: (topic_id, name, keywords, negative_keywords, keywords_weight, example_weight, min_confidence,
-    is_active[, topic_vector]). The topic table travels as one checked array; a
-    row is emitted per topic only after its score is known.
+    is_active[, topic_vector]). The topic table travels as one checked array, a larger one
+    as several, each with a scan of its own; a row is emitted per topic only after its score is known.
     """
+    blocks = in_blocks(topics, "topic_id", TOPICS)
+    if len(blocks) > 1:
+        return reduce(DataFrame.unionByName, [classify_topics(docs, text, b, method, vector, min_confidence) for b in blocks])
     if method not in ("keyword", "embedding", "hybrid"):
         raise ValueError(f"unknown method {method!r}")
     active = topics.filter("is_active")
@@ -188,7 +226,7 @@ def classify_topics(docs: DataFrame, text: str, topics: DataFrame, method: str =
         active = active.withColumn("topic_vector", F.lit(None).cast("array<double>"))
     table = active.select(F.col("topic_id").alias("rank"), "topic_id", "name", "keywords", "negative_keywords", "keywords_weight",
                           "example_weight", "min_confidence", "topic_vector")
-    out = attach_table(docs, table, "_topics", 2000)
+    out = attach_table(docs, table, "_topics", TOPICS)
     vec = F.col(vector) if vector else F.lit(None).cast("array<double>")
 
     def score(body: Column, t: Column) -> Column:

@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import text as X
 from ..functions.columns import ColumnLike, attach_table, col, contained, settled, strings
 from ..resources import words as W
+from ..session import shared_checkpoint
+from .filters import is_set, shared_tokens
 from .ranking import top_k
 
 
@@ -19,9 +23,29 @@ def vector_tokens(c: ColumnLike, stopwords: Sequence[str] = ()) -> Column:
 
 
 def _grams(docs: DataFrame, text: str, low: int, high: int, stopwords: Sequence[str], tokenizer: Callable[[ColumnLike], Column] | None,
-           keep: Sequence[str] = ()) -> DataFrame:
+           keep: Sequence[str] = (), min_df: int = 1) -> DataFrame:
+    """n-grams of each document; from ``min_df`` 2 on without most of those that one document alone holds.
+
+    Such n-grams are the bulk of a corpus and can pass no bound. A filter of fixed size tells them from hashes, before anything
+    is shuffled; what it leaves is counted exactly.
+    """
     tokens = tokenizer(text) if tokenizer else vector_tokens(text, stopwords)
-    return docs.select(*keep, X.phrases(tokens, low, high, caps={}).alias("grams"))
+    if min_df < 2:
+        return docs.select(*keep, X.phrases(tokens, low, high, caps={}).alias("grams"))
+    made = shared_checkpoint(docs.select(*keep, tokens.alias("_tokens")))
+    grams = X.phrases("_tokens", low, high, caps={})
+    hashes = lambda g: F.transform(g, lambda x: F.xxhash64(x))
+    bits = docs.sparkSession.sparkContext.broadcast(shared_tokens(made.select(F.array_distinct(hashes(grams)).alias("h")), "h")[0])
+
+    @F.pandas_udf("array<boolean>")
+    def held(h: pd.Series) -> pd.Series:
+        sizes = h.map(len, na_action="ignore").fillna(0).astype(int).to_numpy()
+        flat = np.concatenate([np.zeros(0, np.int64), *(x for x in h if x is not None)]).astype(np.int64)
+        return pd.Series(np.split(is_set(bits.value, flat), np.cumsum(sizes)[:-1])) if len(h) else pd.Series([], dtype=object)
+
+    rows = settled(made, "_grams", grams)
+    rows = rows.withColumn("_held", held(hashes(F.col("_grams"))))
+    return rows.select(*keep, F.filter("_grams", lambda g, i: F.get("_held", i)).alias("grams"))
 
 
 def term_counts(grams: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
@@ -48,24 +72,17 @@ def tfidf_phrases(docs: DataFrame, key: str, text: str, top_n: int = 50, low: in
     """Phrases by mean L2-normalised TF-IDF over all documents, entity phrases boosted.
 
     The vocabulary goes back to the documents as a broadcast; a document's own
-    hits are then weighted and normalised inside one row.
+    hits are counted, weighted and normalised where they lie.
     """
     stop = W.PHRASE_STOPWORDS if stopwords is None else stopwords
-    grams = _grams(docs, text, low, high, stop, tokenizer, [key])
+    grams = _grams(docs, text, low, high, stop, tokenizer, [key], min_df)
     vocabulary = top_k(_bounded(term_counts(grams), docs, min_df, max_df), features, F.desc("tf"), F.col("term")).select(
         "term", (F.log((1 + F.col("N")) / (1 + F.col("df"))) + 1).alias("idf"))
-    # ``features`` rows, so the broadcast is small by construction; only hits are shuffled.
-    hits = grams.select(key, F.explode("grams").alias("term")).join(F.broadcast(vocabulary), "term")
-    per_doc = hits.groupBy(key).agg(F.collect_list(F.struct("term", "idf")).alias("h"))
-
-    def weights(h: Column) -> Column:
-        return F.transform(F.array_distinct(h), lambda t: F.struct(
-            t["term"].alias("term"), (F.size(F.filter(h, lambda x: x["term"] == t["term"])) * t["idf"]).alias("w")))
-
-    weighted = settled(per_doc.select("h"), "c", weights(F.col("h"))).select("c")
-    norm = F.sqrt(F.aggregate("c", F.lit(0.0), lambda a, s: a + s["w"] * s["w"]))
-    scored = weighted.select(norm.alias("norm"), F.explode("c").alias("s")).groupBy(F.col("s.term").alias("phrase")).agg(
-        F.sum(F.col("s.w") / F.col("norm")).alias("total"))
+    # ``features`` rows, so the broadcast is small by construction; only hits are shuffled, once, by document.
+    hits = grams.select(key, F.explode("grams").alias("term")).join(F.broadcast(vocabulary), "term").repartition(key)
+    weighted = hits.groupBy(key, "term").agg((F.count(F.lit(1)) * F.first("idf")).alias("w"))
+    normed = weighted.withColumn("norm", F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(key))))
+    scored = normed.groupBy(F.col("term").alias("phrase")).agg(F.sum(F.col("w") / F.col("norm")).alias("total"))
     known = strings(W.ENTITIES if entities is None else entities)
     count = docs.agg(F.count(F.lit(1)).alias("N")).scalar()
     out = (scored.withColumn("_n", count).withColumn("is_entity", F.size(contained("phrase", known)) > 0)
@@ -82,7 +99,7 @@ def class_tfidf(docs: DataFrame, text: str, label: str | None = None, low: int =
     """(label, term, score): class count per class document times ln(N / (df + 1))."""
     stop = W.CLASS_PHRASE_STOPWORDS if stopwords is None else stopwords
     labelled = docs.withColumn("_label", F.col(label) if label else F.lit(0))
-    per_class = term_counts(_grams(labelled, text, low, high, stop, tokenizer, ["_label"]), ["_label"])
+    per_class = term_counts(_grams(labelled, text, low, high, stop, tokenizer, ["_label"], min_df), ["_label"])
     corpus = _bounded(per_class.groupBy("term").agg(F.sum("df").alias("df")), labelled, min_df, max_df)
     sizes = labelled.groupBy("_label").agg(F.count(F.lit(1)).alias("size"))
     rows = per_class.select("_label", "term", "tf").join(corpus, "term").join(sizes, "_label")
@@ -101,7 +118,7 @@ def count_phrases(docs: DataFrame, text: str, top_n: int = 50, low: int = 2, hig
                   features: int = 200, stopwords: Sequence[str] | None = None, tokenizer: Callable[[ColumnLike], Column] | None = None) -> DataFrame:
     """Phrases by occurrences."""
     stop = W.CLASS_PHRASE_STOPWORDS if stopwords is None else stopwords
-    counts = _bounded(term_counts(_grams(docs, text, low, high, stop, tokenizer)), docs, min_df, max_df)
+    counts = _bounded(term_counts(_grams(docs, text, low, high, stop, tokenizer, min_df=min_df)), docs, min_df, max_df)
     best = top_k(counts, min(top_n, features), F.desc("tf"), F.col("term"))
     return best.withColumn("phrase", X.tidy_phrase("term")).filter(F.length("phrase") > 2).select(
         "phrase", F.col("tf").alias("count"), F.lit("count").alias("type"))
@@ -111,7 +128,7 @@ def corpus_phrases(docs: DataFrame, text: str, top_n: int = 80, features: int =
                    clean: Callable[[ColumnLike], Column] = X.strip_boilerplate) -> DataFrame:
     """Frequent phrases of the cleaned corpus with the number and share of documents that contain them."""
     cleaned = docs.select(clean(text).alias("_c"))
-    grams = _grams(cleaned, "_c", 2, 3, (), None)
+    grams = _grams(cleaned, "_c", 2, 3, (), None, min_df=min_df)
     vocabulary = top_k(_bounded(term_counts(grams), cleaned, min_df, max_df), features, F.desc("tf"), F.col("term")).select("term")
     rows = attach_table(cleaned.select(F.lower("_c").alias("t")), vocabulary, "_v", features)
     found = rows.select(F.explode(F.filter("_v", lambda v: F.col("t").contains(v["term"]))).alias("v")).groupBy(

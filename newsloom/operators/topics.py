@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
 from dataclasses import dataclass
 from datetime import date, datetime, timedelta
+from functools import reduce
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.clustering import KMeans
@@ -13,10 +13,10 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import dates as D
-from ..functions.columns import attach_table, count_where
+from ..functions.columns import attach_table, count_where, in_blocks
 from . import mining as K
 from .dedup import cosine
-from .ranking import nested_top_k, top_k_per_group
+from .ranking import nested_top_k
 
 OUTLIER = -1
 
@@ -141,41 +141,22 @@ def topics_per_bin(rows: DataFrame, topic: str, ts: str, bins: int = 20) -> Data
     return timed.withColumn("bin", place.cast("int")).groupBy(topic, "bin").agg(F.count(F.lit(1)).alias("frequency"))
 
 
-def merge_suggestions(centroids: DataFrame, topic: str, vector: str, threshold: float = 0.85, words: str | None = None,
-                      max_topics: int = 2000) -> DataFrame:
+#: Topics that travel as one array.
+TOPICS = 2000
+
+
+def merge_suggestions(centroids: DataFrame, topic: str, vector: str, threshold: float = 0.85, words: str | None = None) -> DataFrame:
     """Pairs of similar topics (smaller id first), with keyword overlap as a second signal.
 
-    Topics are a checked small table: each row compares itself with the array of later topics.
+    Each row compares itself with an array of later topics; more topics than fit one array come as several.
     """
     fields = [F.col(topic).alias("rank"), F.col(vector).alias("v")] + ([F.col(words).alias("w")] if words else [])
-    rows = attach_table(centroids, centroids.select(*fields), "_all", max_topics)
-    later = F.filter("_all", lambda o: (o["rank"] > F.col(topic)) & (cosine(F.col(vector), o["v"]) >= threshold))
-    pairs = rows.withColumn("_o", F.explode(later))
     overlap = (F.size(F.array_intersect(words, "_o.w")) / F.size(F.array_union(words, "_o.w"))) if words else F.lit(None).cast("double")
-    return pairs.select(F.col(topic).alias("topic_a"), F.col("_o.rank").alias("topic_b"), cosine(F.col(vector), F.col("_o.v")).alias("similarity"),
-                        overlap.alias("keyword_overlap"))
-
-
-def nearest(vectors: DataFrame, key: str, vector: str, queries: DataFrame, query_key: str, query_vector: str, k: int = 10,
-            max_queries: int = 1000) -> DataFrame:
-    """Exact top ``k`` per query by cosine. Queries are a checked small table; each task keeps k rows per query."""
-    table = queries.select(F.col(query_key).alias("rank"), F.col(query_vector).alias("v"))
-    rows = attach_table(vectors.select(key, vector), table, "_q", max_queries)
-    scored = rows.select(key, F.explode(F.transform("_q", lambda q: F.struct(q["rank"].alias("query"), cosine(F.col(vector), q["v"]).alias("similarity")))).alias("s"))
-    return top_k_per_group(scored.select(key, "s.query", "s.similarity"), ["query"], [F.desc("similarity"), F.col(key)], k)
-
-
-def nearest_approximate(vectors: DataFrame, key: str, vector: str, query: Sequence[float], k: int = 10, tables: int = 8,
-                        bucket: float = 0.5, seed: int = 5) -> DataFrame:
-    """Approximate top ``k`` by locality-sensitive hashing of normalised vectors."""
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.linalg import Vectors
-
-    data = Normalizer(inputCol="raw", outputCol="unit").transform(
-        vectors.select(key, array_to_vector(F.col(vector).cast("array<double>")).alias("raw")))
-    lsh = BucketedRandomProjectionLSH(inputCol="unit", outputCol="hashes", bucketLength=bucket, numHashTables=tables, seed=seed)
-    point = Vectors.dense(query)
-    unit = Vectors.dense([x / (point.norm(2) or 1.0) for x in query])
-    found = lsh.fit(data).approxNearestNeighbors(data, unit, k, distCol="_d")
-    # Distance of unit vectors to cosine.
-    return found.select(key, (1 - F.col("_d") * F.col("_d") / 2).alias("similarity"))
+
+    def near(block: DataFrame) -> DataFrame:
+        rows = attach_table(centroids, block.select(*fields), "_all", TOPICS)
+        later = F.filter("_all", lambda o: (o["rank"] > F.col(topic)) & (cosine(F.col(vector), o["v"]) >= threshold))
+        return rows.withColumn("_o", F.explode(later)).select(
+            F.col(topic).alias("topic_a"), F.col("_o.rank").alias("topic_b"), cosine(F.col(vector), F.col("_o.v")).alias("similarity"), overlap.alias("keyword_overlap"))
+
+    return reduce(DataFrame.unionByName, map(near, in_blocks(centroids, topic, TOPICS)))

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators.ranking import first_per_key
+from ..session import shared_folder
 from ..sources import files as S, html as H, mappers as M, merge as L
+from ..sources.store import KeyedTable
 from .registry import Registry, table
 
 REGISTRY = Registry()
@@ -92,6 +94,16 @@ def _(spark, sf):
     return L.keyed_load(old, new, ["url"], "skip")
 
 
+@add("a7_bucketed_load", _LOAD_SQL + """select coalesce(o.url, n.url) as url, coalesce(n.id, o.id) as id, coalesce(n.source, o.source) as source, coalesce(n.lang, o.lang) as lang
+  from o full join n on o.url = n.url""")
+def _(spark, sf):
+    old, new = _halves(spark, sf)
+    stored = KeyedTable(shared_folder(spark, "keyed"), ("url",), 16)
+    stored.create(old)
+    stored.load(new)
+    return stored.read(spark)
+
+
 def _halves(spark, sf):
     d = table(spark, sf, "documents").select(F.md5("text").alias("url"), F.col("doc_id").alias("id"), "source", "lang")
     old = d.filter(F.col("id") % 2 == 0)
