@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import text as T
 from ..functions.columns import col, let
+from ..functions.matches import between, blocks_of, placed
 from ..resources import entity_patterns as P, words as W
 
 
@@ -19,52 +19,33 @@ def _typed(kind: str, values: Column, source: str) -> Column:
 
 def extract_entities(df: DataFrame, key: str, text: str, provinces: Iterable[str] | None = None,
                      offsets: bool = False) -> DataFrame:
-    """One row per (key, type, lower-cased entity): PERSON, ORG, LOCATION, DATE and MONEY.
+    """One row per (key, type, lower-cased entity): PERSON, ORG, LOCATION, DATE and MONEY; the first match of the first pattern.
 
-    Offsets need match positions, which Spark's regular expressions do not
-    return; that variant runs in Arrow batches. Without them all stays in the JVM.
+    ``offsets`` adds ``start`` and ``end`` of that match in code points.
     """
     places = list(W.PROVINCES if provinces is None else provinces)
-    if offsets:
-        found = df.select(key, text).mapInPandas(
-            _scanner(key, text, places), f"{key} {df.schema[key].dataType.simpleString()}, type string, entity string, "
-            "source string, start int, end int")
-        return found
-    t = col(text)
-    hits = [_typed(kind, F.regexp_extract_all(t, F.lit("(?U)" + p), F.lit(0)), "rule") for kind, p in P.patterns()]
+    t = F.coalesce(col(text), F.lit(""))
+
+    def typed(kind: str, pattern: str) -> Column:
+        if offsets:
+            return F.transform(placed(t, "(?U)" + pattern), lambda m: F.struct(
+                F.lit(kind).alias("type"), T.strip(m["hit"]).alias("entity"), F.lit("rule").alias("source"), m["at"].alias("start"), m["to"].alias("end")))
+        return _typed(kind, F.regexp_extract_all(t, F.lit("(?U)" + pattern), F.lit(0)), "rule")
+
+    hits = [typed(kind, p) for kind, p in P.patterns()]
     pairs = F.array(*[F.struct(F.lit(p).alias("name"), F.lit(p.lower()).alias("low")) for p in places])
-    known = let(F.lower(t), lambda low: F.transform(F.filter(pairs, lambda p: low.contains(p["low"])), lambda p: p["name"]))
-    hits.insert(len(hits) - len(P.DATES) - len(P.MONEY), _typed("LOCATION", known, "gazetteer"))
+    found = let(F.lower(t), lambda low: F.filter(
+        F.transform(pairs, lambda p: F.struct(p["name"].alias("name"), (F.instr(low, p["low"]) - 1).alias("at"), F.char_length(p["low"]).alias("n"))), lambda p: p["at"] >= 0))
+    known = F.transform(found, lambda p: F.struct(
+        F.lit("LOCATION").alias("type"), p["name"].alias("entity"), F.lit("gazetteer").alias("source"),
+        *([p["at"].alias("start"), (p["at"] + p["n"]).alias("end")] if offsets else [])))
+    hits.insert(len(hits) - len(P.DATES) - len(P.MONEY), known)
     # One entity per type and spelling, first pattern wins; settled inside the row.
     spelled = lambda every: F.transform(every, lambda h: F.struct(h["type"].alias("type"), F.lower(h["entity"]).alias("low")))
     firsts = let(F.concat(*hits), lambda every: let(spelled(every), lambda names: F.filter(
         every, lambda h, i: F.array_position(names, F.get(names, i)) == i + 1)))
-    return df.select(key, F.explode(firsts).alias("hit")).select(key, "hit.type", "hit.entity", "hit.source")
-
-
-def _scanner(key: str, text: str, places: list[str]):
-    import regex
-
-    rules = [(kind, p) for kind, p in P.patterns()]
-    gazetteer = [(p, regex.escape(p)) for p in places]
-
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        compiled = [(k, regex.compile(p), "rule", None) for k, p in rules]
-        cut = sum(1 for k, _ in rules if k not in ("DATE", "MONEY"))
-        compiled[cut:cut] = [("LOCATION", regex.compile(p, regex.I), "gazetteer", name) for name, p in gazetteer]
-        for batch in batches:
-            rows = []
-            for ident, body in zip(batch[key], batch[text]):
-                seen = set()
-                for kind, pattern, source, name in compiled:
-                    for m in pattern.finditer(body or ""):
-                        entity = name or m.group(0).strip()
-                        if (kind, entity.lower()) not in seen:
-                            seen.add((kind, entity.lower()))
-                            rows.append((ident, kind, entity, source, m.start(), m.end()))
-            yield pd.DataFrame(rows, columns=[key, "type", "entity", "source", "start", "end"])
-
-    return scan
+    fields = ["type", "entity", "source"] + ["start", "end"] * offsets
+    return df.select(key, F.explode(firsts).alias("hit")).select(key, *[f"hit.{f}" for f in fields])
 
 
 def entity_summary(entities: DataFrame, top_n: int = 5) -> DataFrame:
@@ -81,22 +62,17 @@ HEADINGS = [r"\n\d+\.?\s+\p{L}[\p{L}\s]+", r"\n[IVX]+\.?\s+\p{L}[\p{L}\s]+", r"\
 
 
 def sections(df: DataFrame, key: str, text: str) -> DataFrame:
-    """One row per heading: number, title, start, end and the text up to the next heading."""
-    import regex
-
-    kind = df.schema[key].dataType.simpleString()
-
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shapes = [regex.compile(p, regex.I) for p in HEADINGS]
-        for batch in batches:
-            rows = []
-            for ident, body in zip(batch[key], batch[text]):
-                heads = sorted(((m.start(), m.group().strip()) for s in shapes for m in s.finditer(body or "")),
-                               key=lambda h: h[0])
-                ends = [h[0] for h in heads[1:]] + [len(body or "")]
-                rows += [(ident, i, title, start, end, body[start:end])
-                         for i, ((start, title), end) in enumerate(zip(heads, ends), 1)]
-            yield pd.DataFrame(rows, columns=[key, "section", "title", "start", "end", "content"])
-
-    return df.select(key, text).mapInPandas(
-        scan, f"{key} {kind}, section int, title string, start int, end int, content string")
+    """One row per heading: number, title, start, end and the text up to the next heading (code points from 0)."""
+    body = F.coalesce(col(text), F.lit(""))
+    heads = F.array_sort(F.concat(*[
+        F.transform(placed(body, "(?iU)" + p), lambda m, i=i: F.struct(m["at"].alias("at"), F.lit(i).alias("shape"), m["hit"].alias("hit"))) for i, p in enumerate(HEADINGS)]))
+
+    def listed(found: Column, blocks: Column) -> Column:
+        def section(h: Column, i: Column) -> Column:
+            end = F.coalesce(F.get(found, i + 1)["at"], F.char_length(body))
+            return F.struct((i + 1).alias("section"), T.strip(h["hit"]).alias("title"), h["at"].alias("start"), end.alias("end"), between(blocks, h["at"], end).alias("content"))
+
+        return F.transform(found, section)
+
+    rows = let(heads, lambda found: let(blocks_of(body), lambda blocks: listed(found, blocks)))
+    return df.select(key, F.explode(rows).alias("s")).select(key, "s.*")

@@ -32,6 +32,38 @@ def change_percent(current: ColumnLike, previous: ColumnLike, when_new: ColumnLi
     return F.when(col(previous) > 0, (col(current) - col(previous)) / col(previous) * 100).otherwise(fallback)
 
 
+def tally(rows: DataFrame, condition: Column | None = None) -> Column:
+    """Mentions (for which ``condition`` holds) of facts, or of daily partials, whose rows stand for ``mentions`` each."""
+    if "mentions" not in rows.columns:
+        return F.count(F.lit(1)) if condition is None else count_where(condition)
+    return F.coalesce(F.sum("mentions" if condition is None else F.when(condition, F.col("mentions"))), F.lit(0)).cast("bigint")
+
+
+#: What a partial row is a count of.
+PARTIAL_KEYS = ("published_at", "topic_id", "topic_name", "source_domain", "emotion", "sentiment_group")
+
+
+def daily_partials(mentions: DataFrame) -> DataFrame:
+    """Mentions per day, topic, source, emotion and sentiment: one scan of the facts that every mart of whole days can be rolled up from.
+
+    Counts and distinct counts of topics and sources are exact. Titles and texts are not in it.
+    """
+    days = mentions.withColumn("published_at", F.date_trunc("day", "published_at").cast(mentions.schema["published_at"].dataType))
+    return days.groupBy(*PARTIAL_KEYS).agg(tally(mentions).alias("mentions"))
+
+
+def refresh_partials(stored: DataFrame, mentions: DataFrame, days: Sequence[date]) -> DataFrame:
+    """``stored`` with the partials of ``days`` counted anew from the facts of these days alone."""
+    wanted = F.to_date("published_at").isin(list(days))
+    facts = None
+    for day in days:  # bounds on the raw timestamp reach the scan
+        bound = D.within("published_at", day, day + timedelta(days=1))
+        facts = bound if facts is None else facts | bound
+    if facts is None:
+        return stored
+    return stored.filter(~F.coalesce(wanted, F.lit(False))).unionByName(daily_partials(mentions.filter(facts)))
+
+
 def both_periods(mentions: DataFrame, period: str, reference: date, ts: str = "published_at") -> tuple[DataFrame, dict]:
     """Rows of the period and of the equally long one before it, flagged ``current``."""
     start, end, before, _, label = D.period_range(period, reference)
@@ -45,8 +77,8 @@ def counted(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     cur = F.col("current")
     group = F.col("sentiment_group")
     return rows.groupBy(*keys, "emotion").agg(
-        count_where(cur).alias("n"), count_where(~cur).alias("previous"),
-        count_where(cur & (group == "positive")).alias("positive"), count_where(cur & (group == "negative")).alias("negative"))
+        tally(rows, cur).alias("n"), tally(rows, ~cur).alias("previous"),
+        tally(rows, cur & (group == "positive")).alias("positive"), tally(rows, cur & (group == "negative")).alias("negative"))
 
 
 def rolled_up(cells: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -88,13 +120,13 @@ def trend_report(mentions: DataFrame, period: str, reference: date, text: str |
     rows, info = both_periods(mentions, period, reference)
     current = rows.filter("current")
     totals = current.agg(
-        F.count(F.lit(1)).alias("total_mentions"), F.count_distinct("source_domain").alias("total_sources"),
-        F.count_distinct("topic_id").alias("total_topics"), count_where(F.col("sentiment_group") == "positive").alias("positive_count"),
-        count_where(F.col("sentiment_group") == "negative").alias("negative_count"))
-    previous = rows.filter(~F.col("current")).agg(F.count(F.lit(1)).alias("n")).scalar()
-    emotions = (current.filter(F.col("emotion").isNotNull()).groupBy("emotion").agg(F.count(F.lit(1)).alias("n"))
+        tally(rows).alias("total_mentions"), F.count_distinct("source_domain").alias("total_sources"),
+        F.count_distinct("topic_id").alias("total_topics"), tally(rows, F.col("sentiment_group") == "positive").alias("positive_count"),
+        tally(rows, F.col("sentiment_group") == "negative").alias("negative_count"))
+    previous = rows.filter(~F.col("current")).agg(tally(rows).alias("n")).scalar()
+    emotions = (current.filter(F.col("emotion").isNotNull()).groupBy("emotion").agg(tally(rows).alias("n"))
                 .agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("emotion", "n")))).alias("m")).scalar())
-    by_source = current.filter(F.col("source_domain").isNotNull()).groupBy(F.col("source_domain").alias("domain")).agg(F.count(F.lit(1)).alias("count"))
+    by_source = current.filter(F.col("source_domain").isNotNull()).groupBy(F.col("source_domain").alias("domain")).agg(tally(rows).alias("count"))
     best_sources = top_k(by_source, sources, F.desc("count"), F.col("domain"))
     total = F.col("total_mentions")
     share = lambda c: F.when(total > 0, F.round(F.col(c) / total * 100, 2)).otherwise(F.lit(0.0))
@@ -236,8 +268,8 @@ def daily_snapshots(mentions: DataFrame, text: str | None = None, top: int = 10,
     key = ["snapshot_date"]
     out = rolled_up(counted(rows, key), key).drop("previous_count")
     distinct = rows.groupBy(*key).agg(F.count_distinct("source_domain").alias("unique_sources"), F.count_distinct("topic_id").alias("unique_topics"))
-    by_topic = rows.filter(F.col("topic_id").isNotNull()).groupBy(*key, "topic_id", "topic_name").agg(F.count(F.lit(1)).alias("count"))
-    by_source = rows.filter(F.col("source_domain").isNotNull()).groupBy(*key, F.col("source_domain").alias("domain")).agg(F.count(F.lit(1)).alias("count"))
+    by_topic = rows.filter(F.col("topic_id").isNotNull()).groupBy(*key, "topic_id", "topic_name").agg(tally(rows).alias("count"))
+    by_source = rows.filter(F.col("source_domain").isNotNull()).groupBy(*key, F.col("source_domain").alias("domain")).agg(tally(rows).alias("count"))
     parts = [nested_top_k(by_topic, key, [F.desc("count"), F.col("topic_id")], ["topic_id", "topic_name", "count"], top, "top_topics"),
              nested_top_k(by_source, key, [F.desc("count"), F.col("domain")], ["domain", "count"], top, "top_sources")]
     if text:
@@ -249,7 +281,10 @@ def daily_snapshots(mentions: DataFrame, text: str | None = None, top: int = 10,
 
 
 def refresh_marts(mentions: DataFrame, reference: date, text: str | None = None) -> dict[str, DataFrame]:
-    """Every mart that is due: daily and weekly always, monthly around the turn of the month."""
+    """Every mart that is due: daily and weekly always, monthly around the turn of the month.
+
+    ``mentions`` are facts, or daily partials (then without ``text``, and hot topics have no sample titles).
+    """
     periods = ["daily", "weekly"] + (["monthly"] if reference.day <= 7 or reference.day >= 25 else [])
     marts: dict[str, DataFrame] = {"daily_snapshots": daily_snapshots(mentions.filter(D.within("published_at", reference, reference + timedelta(days=1))), text)}
     for p in periods:

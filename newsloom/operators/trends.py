@@ -69,10 +69,14 @@ def drops(counts: DataFrame) -> DataFrame:
 
 def alerts(mentions: DataFrame, now: datetime, hours: int = 24) -> DataFrame:
     """Spikes, crises and drops of the last window. One aggregation feeds all three rules."""
-    counts = window_counts(mentions, now, hours)
+    return judged(window_counts(mentions, now, hours), F.lit(now - timedelta(hours=hours)), F.lit(now))
+
+
+def judged(counts: DataFrame, start: Column, end: Column) -> DataFrame:
+    """Alerts from the current and previous counts of a window, also of a stream."""
     n, prev, neg = F.col("mention_count"), F.col("previous_count"), F.col("negative_count")
-    change, ratio = spike_change(n, prev), neg / n
-    lost = (n - prev) / prev * 100
+    change, ratio = spike_change(n, prev), neg / F.nullif(n, F.lit(0))
+    lost = (n - prev) / F.nullif(prev, F.lit(0)) * 100
     none = F.lit(None).cast("double")
     found = F.array_compact(F.array(
         F.when((change > 50) & (n >= 10), F.struct(F.lit("spike").alias("alert_type"), spike_level(change, n).alias("alert_level"),
@@ -82,14 +86,13 @@ def alerts(mentions: DataFrame, now: datetime, hours: int = 24) -> DataFrame:
         F.when((prev >= 10) & (lost < -50), F.struct(F.lit("drop").alias("alert_type"), F.lit("low").alias("alert_level"),
                                                      lost.alias("change_percent"), none.alias("negative_ratio")))))
     rows = counts.withColumn("_a", F.explode(found))
-    start = now - timedelta(hours=hours)
     number = lambda c: F.format_string("%.0f", c)
     title = (F.when(F.col("_a.alert_type") == "spike", F.concat(F.lit("Đột biến: "), "topic_name", F.lit(" tăng "), number(F.col("_a.change_percent")), F.lit("%")))
              .when(F.col("_a.alert_type") == "crisis", F.concat(F.lit("Khủng hoảng: "), "topic_name", F.lit(" ("), number(F.col("_a.negative_ratio") * 100), F.lit("% tiêu cực)")))
              .otherwise(F.concat(F.lit("Sụt giảm: "), "topic_name", F.lit(" giảm "), number(F.abs(F.col("_a.change_percent"))), F.lit("%"))))
     return rows.select("_a.alert_type", "_a.alert_level", "topic_id", "topic_name", n.alias("current_count"), "previous_count",
                        "_a.change_percent", "_a.negative_ratio", "emotion_distribution", title.alias("title"),
-                       F.lit(start).alias("period_start"), F.lit(now).alias("period_end"), F.lit("active").alias("alert_status"))
+                       start.alias("period_start"), end.alias("period_end"), F.lit("active").alias("alert_status"))
 
 
 def hashtag_stats(mentions: DataFrame, tags: Column, period: str, reference: date, top_n: int = 100, nested: int = 5,

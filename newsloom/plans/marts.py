@@ -7,6 +7,7 @@ from datetime import date
 from pyspark.sql import functions as F
 
 from ..operators import marts as M
+from ..session import shared_checkpoint
 from ..sources import merge as L
 from . import fixtures as X, sqlparts as S
 from .ingest import _LOAD_SQL, _halves
@@ -90,18 +91,29 @@ def _(spark, sf):
                     flat_list("related_topics", "topic_id", "count").alias("topics"), flat_list("top_sources", "domain", "count").alias("sources"))
 
 
-@add("g4_topic_mentions", f"""with {WEEK}, c as (select topic_id, topic_name, count(*) as n, count(distinct source_domain) as unique_sources, {_SENT} from cur group by all),
+_G4 = f"""with {WEEK}, c as (select topic_id, topic_name, count(*) as n, count(distinct source_domain) as unique_sources, {_SENT} from cur group by all),
   p as (select topic_id, count(*) as prev from prev group by 1), e as (select topic_id, emotion, count(*) as n from cur group by all), ed as (select topic_id, {_EMO} as emotions from e group by 1)
   select topic_id, n as mention_count, coalesce(prev, 0) as previous_count, unique_sources, positive_count, negative_count, neutral_count, emotions,
     round((positive_count - negative_count) / n, 4) as sentiment_score, round(case when prev > 0 then (n - prev) / prev * 100 else 0 end, 2) as mention_change,
     row_number() over (order by n desc, topic_id) as rank_by_mention, row_number() over (order by negative_count desc, topic_id) as rank_by_negative
-  from c left join p using (topic_id) join ed using (topic_id)""")
-def _(spark, sf):
-    t = M.topic_mentions(X.mentions(spark, sf), "weekly", REF)
+  from c left join p using (topic_id) join ed using (topic_id)"""
+
+
+def _topics_shown(t):
     return t.select("topic_id", "mention_count", "previous_count", "unique_sources", "positive_count", "negative_count", "neutral_count",
                     flat("emotion_distribution").alias("emotions"), "sentiment_score", "mention_change", "rank_by_mention", "rank_by_negative")
 
 
+@add("g4_topic_mentions", _G4)
+def _(spark, sf):
+    return _topics_shown(M.topic_mentions(X.mentions(spark, sf), "weekly", REF))
+
+
+@add("g4_from_partials", _G4)
+def _(spark, sf):
+    return _topics_shown(M.topic_mentions(shared_checkpoint(M.daily_partials(X.mentions(spark, sf))), "weekly", REF))
+
+
 _ART_WEEK = f"{S.ARTICLES}, cur as (select * from articles where published_at >= '2024-01-15' and published_at < '2024-01-22')"
 
 
@@ -131,22 +143,41 @@ def _(spark, sf):
         "platform", "account_name", "topic_id", "mention_count", "positive_count", "negative_count", "rank_in_platform")
 
 
-@add("g7_daily_snapshots", f"""with {S.MENTIONS}, d as (select *, cast(published_at as date) as snapshot_date from mentions),
+_G7 = f"""with {S.MENTIONS}, d as (select *, cast(published_at as date) as snapshot_date from mentions),
   t as (select snapshot_date, count(*) as mention_count, count(distinct source_domain) as unique_sources, count(distinct topic_id) as unique_topics, {_SENT} from d group by 1),
   e as (select snapshot_date, emotion, count(*) as n from d group by all), ed as (select snapshot_date, {_EMO} as emotions from e group by 1),
   tt as (select snapshot_date, topic_id, count(*) as n from d group by snapshot_date, topic_id qualify row_number() over (partition by snapshot_date order by n desc, topic_id) <= 10),
   td as (select snapshot_date, string_agg(topic_id || '=' || n, '|' order by n desc, topic_id) as topics from tt group by 1),
   st as (select snapshot_date, source_domain, count(*) as n from d group by snapshot_date, source_domain qualify row_number() over (partition by snapshot_date order by n desc, source_domain) <= 10),
   sd as (select snapshot_date, string_agg(source_domain || '=' || n, '|' order by n desc, source_domain) as sources from st group by 1)
-  select * from t join ed using (snapshot_date) join td using (snapshot_date) join sd using (snapshot_date)""")
-def _(spark, sf):
-    s = M.daily_snapshots(X.mentions(spark, sf))
+  select * from t join ed using (snapshot_date) join td using (snapshot_date) join sd using (snapshot_date)"""
+
+
+def _days_shown(s):
     return s.select("snapshot_date", "mention_count", "unique_sources", "unique_topics", "positive_count", "negative_count", "neutral_count",
                     flat("emotion_distribution").alias("emotions"), flat_list("top_topics", "topic_id", "count").alias("topics"),
                     flat_list("top_sources", "domain", "count").alias("sources"))
 
 
-@add("g8_refresh_marts")
+@add("g7_daily_snapshots", _G7)
+def _(spark, sf):
+    return _days_shown(M.daily_snapshots(X.mentions(spark, sf)))
+
+
+@add("g7_from_partials", _G7)
+def _(spark, sf):
+    return _days_shown(M.daily_snapshots(shared_checkpoint(M.daily_partials(X.mentions(spark, sf)))))
+
+
+def _sizes(name: str, rows: str) -> str:
+    """Rows of each mart of a period: no site is social, and titles and emotions make no phrase."""
+    counts = {"trend_report": "least(1, count(*))", "hot_topics": "least(20, count(distinct topic_id))", "topic_mentions": "count(distinct topic_id)",
+              "website_activity": "count(distinct (source_domain, topic_id))", "social_activity": "0 * count(*)", "keyword_stats": "0 * count(*)"}
+    return " union all ".join(f"select '{name}_{mart}' as table_name, cast({n} as bigint) as n from {rows}" for mart, n in counts.items())
+
+
+@add("g8_refresh_marts", f"""with {WEEK}, today as (select * from cur where published_at >= '2024-01-17' and published_at < '2024-01-18')
+  select 'daily_snapshots' as table_name, cast(count(distinct cast(published_at as date)) as bigint) as n from today union all {_sizes('daily', 'today')} union all {_sizes('weekly', 'cur')}""")
 def _(spark, sf):
     marts = M.refresh_marts(X.mentions(spark, sf).withColumn("text", F.concat_ws(" ", "title", "emotion")), REF, "text")
     return M.table_counts(marts)

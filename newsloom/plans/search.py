@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import search as Q
+from ..operators.postings import Postings
+from ..session import shared_folder
 from . import fixtures as X, sqlparts as S
 from .registry import Registry, table
 
@@ -86,10 +88,33 @@ def _(spark, sf):
     return Q.topic_articles(articles, links, "article_id", 3, 20.0, page=2).select("article_id", "confidence", "total")
 
 
-@add("m1_bm25", f"""with w as (select doc_id, regexp_extract_all(lower(text), '\\p{{L}}+') as a from documents), n as (select count(*) as n, avg(len(a)) as avg from w),
+_BM25 = f"""with w as (select doc_id, regexp_extract_all(lower(text), '\\p{{L}}+') as a from documents), n as (select count(*) as n, avg(len(a)) as avg from w),
   tf as (select doc_id, term, len(a) as len, len(list_filter(a, lambda x: x = term)) as tf from w cross join (values ('the'), ('und'), ('ouen')) t(term)),
   df as (select term, count(*) filter (tf > 0) as df from tf group by 1)
-  select doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / avg))), 5) as score from tf join df using (term), n group by 1 having sum(tf) > 0""")
+  select doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / avg))), 5) as score from tf join df using (term), n group by 1 having sum(tf) > 0"""
+
+
+@add("m1_bm25", _BM25)
 def _(spark, sf):
     d = table(spark, sf, "documents")
     return Q.bm25(d, "doc_id", T.words("text", [], 1, None), ["the", "und", "ouen"]).select("doc_id", F.round("score", 5).alias("score"))
+
+
+def _index(spark, sf):
+    index = Postings(shared_folder(spark, "postings"), 16)
+    index.build(table(spark, sf, "documents"), "doc_id", T.words("text", [], 1, None))
+    return index
+
+
+@add("m1_bm25_stored", _BM25)
+def _(spark, sf):
+    return _index(spark, sf).scores(spark, ["the", "und", "ouen"]).select(F.col("doc").alias("doc_id"), F.round("score", 5).alias("score"))
+
+
+_BM25_EXACT = _BM25.replace("round(sum(", "sum(").replace(", 5) as score", " as score")
+
+
+@add("m1_bm25_top", f"select doc_id, round(score, 5) as score from ({_BM25_EXACT}) order by round(score, 12) desc, doc_id limit 10")
+def _(spark, sf):
+    top = _index(spark, sf).top(spark, ["the", "und", "ouen"], 10)
+    return top.select(F.col("doc").alias("doc_id"), F.round("score", 5).alias("score"))

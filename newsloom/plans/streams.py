@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..sources.files import shared_folder
-from ..streaming import jobs as J
+from ..streaming import alerts as A, jobs as J
 from . import sqlparts as S
 from .registry import Registry, table
 
@@ -56,3 +56,21 @@ def _(spark, sf):
     J.upsert_rows(J.daily_counts(_events(spark, sf), "ts"), f"{base}/out", f"{base}/checkpoint").awaitTermination()
     days = J.latest(spark, f"{base}/out", ["window"])
     return days.select(F.to_date("window.start").alias("day"), "total", "positive", "negative")
+
+
+@add("p3_window_alerts", f"""with {S.MENTIONS}, w as (select cast(published_at as date) as day, topic_id, count(*) as n, count(*) filter (sentiment_group = 'negative') as neg from mentions group by all),
+  s as (select day, topic_id from w union select day + 1, topic_id from w),
+  c as (select s.day, s.topic_id, coalesce(w.n, 0) as n, coalesce(w.neg, 0) as neg, coalesce(p.n, 0) as prev from s left join w on w.day = s.day and w.topic_id = s.topic_id
+    left join w p on p.day + 1 = s.day and p.topic_id = s.topic_id where s.day + 1 <= (select max(published_at) - interval 1 hour from mentions)),
+  r as (select *, case when prev > 0 then (n - prev) / prev * 100 when n > 5 then 100 else 0 end as change from c)
+  select 'spike' as alert_type, day, topic_id, n as current_count, prev as previous_count, round(change, 4) as figure from r where change > 50 and n >= 10
+  union all select 'crisis', day, topic_id, n, prev, round(neg / n, 4) from r where n >= 5 and neg / n > 0.4
+  union all select 'drop', day, topic_id, n, prev, round((n - prev) / prev * 100, 4) from r where prev >= 10 and (n - prev) / prev * 100 < -50""")
+def _(spark, sf):
+    base = shared_folder(spark, "alerts")
+    with A.keyed_state(spark):
+        named = _events(spark, sf).withColumn("topic_name", F.concat(F.lit("topic "), "topic_id")).withColumn("emotion", F.col("event_type"))
+        J.run_to_table(A.window_alerts(named, "ts"), f"{base}/out", f"{base}/checkpoint")
+    found = spark.read.parquet(f"{base}/out")
+    figure = F.round(F.coalesce("change_percent", "negative_ratio"), 4)
+    return found.select("alert_type", F.to_date("period_start").alias("day"), "topic_id", "current_count", "previous_count", figure.alias("figure"))

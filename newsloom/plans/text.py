@@ -223,7 +223,16 @@ def _(spark, sf):
         "doc_id", T.strip_boilerplate(F.concat(F.lit("Created by "), F.col("text"))).alias("clean"))
 
 
-@add("c18_sections")
+_SHAPES = [r"(?i)\n\d+\.?\s+\p{L}[\p{L}\s]+", r"(?i)\n[IVX]+\.?\s+\p{L}[\p{L}\s]+", r"(?i)\n[a-z]\)\s+\p{L}[\p{L}\s]+"]
+_HEADS = " union all ".join(
+    f"""select doc_id, b, {i} as shape, hits[k] as hit, list_sum(list_transform(pieces[1:k], lambda x: length(x))) + coalesce(list_sum(list_transform(hits[1:k - 1], lambda x: length(x))), 0) as place
+  from (select *, unnest(range(1, len(hits) + 1)) as k from (select doc_id, b, regexp_extract_all(b, '{p}') as hits, string_split_regex(b, '{p}') as pieces from t))"""
+    for i, p in enumerate(_SHAPES))
+
+
+@add("c18_sections", rf"""with t as (select doc_id, chr(10) || 'I. Mo dau' || chr(10) || regexp_replace(text, '\n(\p{{Lu}})', chr(10) || '1. \1', 'g') as b from documents), h as ({_HEADS}),
+  o as (select *, row_number() over w as section, lead(place) over w as next from h window w as (partition by doc_id order by place, shape))
+  select doc_id, section::int as section, {S.strip('hit')} as title, place::int as start, coalesce(next, length(b))::int as "end", substring(b, place::int + 1, (coalesce(next, length(b)) - place)::int) as content from o""")
 def _(spark, sf):
     d = table(spark, sf, "documents")
     numbered = F.regexp_replace("text", r"\n(\p{Lu})", "\n1. $1")

@@ -136,3 +136,72 @@ def test_similar_texts_at_the_threshold(spark):
             kept.append(i)
     got = {r["id"] for r in D.drop_similar(spark.createDataFrame(rows, "id long, content string"), "id").collect()}
     assert got == set(kept) and len(kept) < 240
+
+
+def test_topics_against_their_model(spark):
+    """Assignment, outliers, transform of new rows, mapping and session record, from the fitted matrices alone."""
+    from datetime import datetime
+
+    m = clustered(5, 600, centres=6)
+    df = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(m)], VECTOR)
+    sizes = [r["count"] for r in L.assign_topics(L.fit_topics(df, "v", topics=9, dims=4, min_topic_size=1), df, "v").groupBy("topic_id").count().collect()]
+    least = sorted(sizes)[len(sizes) // 2]
+    model = L.fit_topics(df, "v", topics=9, dims=4, min_topic_size=least, min_probability=0.3)
+    unit = m / np.linalg.norm(m, axis=1, keepdims=True)
+    reduced = unit @ model.pipeline.stages[1].pc.toArray()
+    centres = np.array(L._centers(model.pipeline))
+    near = reduced @ centres.T / np.outer(np.linalg.norm(reduced, axis=1), np.linalg.norm(centres, axis=1))
+    cluster = near.argmax(1)
+    assert model.topics == [c for c in range(len(centres)) if (cluster == c).sum() >= least] and len(model.topics) < len(centres)
+    chance = near.max(1).clip(0, 1)
+    want = {i: (int(c) if c in model.topics and p >= 0.3 else -1, p) for i, (c, p) in enumerate(zip(cluster, chance, strict=True))}
+    assigned = L.assign_topics(model, df, "v")
+    got = {r["id"]: (r["topic_id"], r["probability"]) for r in assigned.collect()}
+    assert {i: t for i, (t, _) in got.items()} == {i: t for i, (t, _) in want.items()}
+    assert all(abs(got[i][1] - p) < 1e-9 for i, (_, p) in want.items())
+    fresh = {r["id"]: r["topic_id"] for r in L.transform_new(model, df, df.filter("id < 300"), "id", "v").collect()}
+    assert fresh == {i: t for i, (t, _) in want.items() if i >= 300 and t != -1}
+    mapped = {tuple(r) for r in L.document_topics(assigned, "id", "s").collect()}
+    assert {(i, t) for i, t, _, _ in mapped} == {(i, t) for i, (t, _) in want.items()}
+    session = L.training_session(assigned, "s", datetime(2024, 1, 1), 40).first()
+    topics = [t for t, _ in want.values()]
+    assert (session["num_documents"], session["num_topics"], session["num_outliers"]) == (600, len(set(topics) - {-1}), topics.count(-1))
+
+
+def test_stored_postings(spark, tmp_path):
+    """The scan's scores, exact best lists that skip blocks, and only the terms' buckets read."""
+    from newsloom.functions import text as T
+    from newsloom.operators import search as S
+    from newsloom.operators.postings import Postings
+
+    rng = random.Random(13)
+    common = ["va", "la", "cua"]
+    docs = [(i, " ".join(rng.choices(WORDS, k=rng.choice([5, 40, 300])) + rng.choices(common, k=rng.randint(0, 30)) + ["hiem"] * (i % 97 == 0) * rng.randint(1, 3))) for i in range(1500)]
+    docs += [(9000, ""), (9001, None)]
+    df = spark.createDataFrame(docs, "id long, t string")
+    tokens = T.words("t", [], 1, None)
+    index = Postings(str(tmp_path / "index"), 16)
+    index.build(df.filter("t is not null"), "id", tokens)
+    for terms in (["hiem", "va"], ["la"], ["hiem"], ["không có"], ["va", "va", "cua", "hiem"]):
+        want = {r["id"]: r["score"] for r in S.bm25(df.filter("t is not null"), "id", tokens, terms).collect()}
+        got = {r["doc"]: r["score"] for r in index.scores(spark, terms).collect()}
+        assert got.keys() == want.keys() and all(abs(got[i] - s) < 1e-9 for i, s in want.items())
+        best = sorted(((round(s, 12), i) for i, s in want.items()), key=lambda x: (-x[0], x[1]))[:7]
+        assert sorted((r["doc"] for r in index.top(spark, terms, 7).collect()), key=str) == sorted((i for _, i in best), key=str)
+    plan = index._of(spark, "postings", ["hiem"])._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(bucket" in plan or "PartitionFilters: [(bucket" in plan or "PartitionFilters: [bucket" in plan
+
+
+@pytest.mark.parametrize("threshold", [0.85, 0.9])
+def test_recall_of_hyperplanes(spark, threshold):
+    """Nine of ten pairs at or above the threshold share a bucket, most of them being close to it."""
+    rng = np.random.default_rng(17)
+    base = rng.normal(0, 1, (150, 64))
+    m = np.concatenate([base, *(base + rng.normal(0, s, base.shape) for s in (0.3, 0.45, 0.55, 0.6))])
+    unit = m / np.linalg.norm(m, axis=1, keepdims=True)
+    near = np.argwhere(np.triu(unit @ unit.T >= threshold, 1))
+    buckets = {}
+    for r in D.hyperplane_groups(spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(m)], VECTOR), "id", "v", 64).collect():
+        buckets.setdefault(r["node"], set()).add(r["bucket"])
+    met = sum(not buckets[a].isdisjoint(buckets[b]) for a, b in near.tolist())
+    assert len(near) > 300 and met >= 0.9 * len(near)
