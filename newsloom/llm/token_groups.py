@@ -446,13 +446,14 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     where its class has no other. Rows without shingles all stay, repeated ones too.
     """
     placed = checkpointed(classes(docs, id_col, text_col)).where(F.col("class").isNotNull())
-    rows = placed.groupBy("class", "doc_id", "mark").count()  # equal rows are of one class
     first = placed.groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("mark"))).alias("first"))
-    gone = ~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("mark") == F.col("first.mark")))
-    told = checkpointed(rows.join(first, "class").withColumn("gone", gone).where(F.col("gone") | (F.col("count") > 1)).select("doc_id", "mark", "gone"))
-    rest, few = _caught(docs, told, docs[id_col].cast("long"), F.xxhash64(F.coalesce(docs[text_col].cast("string"), F.lit(""))))
-    own = told.select(F.col("doc_id").alias("_own_id"), F.col("mark").alias("_own_mark"), F.col("gone").alias("_own_gone"))
-    few = few.join(own, few["_told_id"].eqNullSafe(own["_own_id"]) & (few["_told_mark"] == own["_own_mark"]), "left").where(~F.coalesce("_own_gone", F.lit(False)))
-    if not told.where(~F.col("gone")).isEmpty():  # rows that are not in ``told`` all differ
-        few = few.withColumn("_own_row", F.when(F.col("_own_gone").isNull(), F.monotonically_increasing_id())).dropDuplicates([id_col, text_col, "_own_row"])
-    return rest.unionAll(few.select(rest.columns))
+    gone = placed.join(first, "class").where(~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("mark") == F.col("first.mark"))))
+    mark = lambda df: F.xxhash64(F.coalesce(df[text_col].cast("string"), F.lit("")))
+    kept = _without(docs, gone.select("doc_id", "mark").distinct(), docs[id_col].cast("long"), mark(docs))
+    twice = placed.groupBy("doc_id", "mark").count().where(F.col("count") > 1).select(F.col("doc_id").alias("_own_id"), F.col("mark").alias("_own_mark"))
+    if twice.isEmpty():
+        return kept
+    rest, few = _caught(kept, twice.toDF("doc_id", "mark"), kept[id_col].cast("long"), mark(kept))
+    few = few.join(twice, few["_told_id"].eqNullSafe(twice["_own_id"]) & (few["_told_mark"] == twice["_own_mark"]), "left")
+    few = few.withColumn("_own_row", F.when(F.col("_own_mark").isNull(), F.monotonically_increasing_id()))  # rows that occur once all differ
+    return rest.unionAll(few.dropDuplicates([id_col, text_col, "_own_row"]).select(rest.columns))
