@@ -31,3 +31,17 @@ def test_frequent_grams_are_whole(spark, monkeypatch, flat):
     assert {r["term"]: (r["tf"], r["df"]) for r in found.collect()} == {t: (tf[t], df[t]) for t in expected}
     held = Counter(r["g"] for r in rows.select(F.explode("grams").alias("g")).collect())
     assert all(held[t] == tf[t] for t in expected)
+
+
+def test_texts_are_composed_some_at_a_time(monkeypatch):
+    """Arrow in, Arrow out: no batch becomes strings as a whole."""
+    import pyarrow as pa
+
+    from newsloom.functions import text as T
+
+    sizes = []
+    monkeypatch.setattr(T.pa, "array", lambda values, kind, make=pa.array: sizes.append(len(values)) or make(values, kind))
+    texts = [None, "", "é", "가", "é"] * 61
+    found = T._nfc.func(pa.StringArray.from_pandas(texts)).to_pylist()
+    assert found == [None, "", "é", "가", "é"] * 61
+    assert max(sizes) == 100
