@@ -10,23 +10,35 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import dates as D, numbers as N, text as X
 from ..functions.columns import ColumnLike, col, contained, let, settled, strings
+from ..functions.matches import folded, may_match
 from ..resources import indicator_patterns as P
 from . import panel as Q
 
 
-def _group(text: ColumnLike, pattern: str, i: int) -> Column:
-    return N.group_of(text, pattern, i)
+def _read(text: ColumnLike, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a text that is made once and folded once: struct(text, low)."""
+    return let(F.struct(col(text).alias("text"), folded(text).alias("low")), body)
 
 
-def _joined(text: ColumnLike, pattern: str, groups: int) -> Column:
+def _group(t: Column, pattern: str, i: int) -> Column:
+    """Captured group of the first match; empty when there is no match or the group is empty."""
+    return F.regexp_extract(t["text"], pattern, i)
+
+
+def _found(t: Column, pattern: str, i: int, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a group that no match leaves empty; NULL without a match. Texts without the pattern's literals are not searched."""
+    return F.when(may_match(t["low"], pattern, fold=True), let(_group(t, pattern, i), lambda g: F.when(g != "", body(g))))
+
+
+def _joined(t: Column, pattern: str, groups: int, first: Column | None = None) -> Column:
     """Digit groups of a number with thousands separators as one number."""
-    parts = [_group(text, pattern, 1)] + [F.coalesce(_group(text, pattern, i), F.lit("")) for i in range(2, groups + 1)]
-    return F.concat(*parts).try_cast("double")
+    rest = [_group(t, pattern, i) for i in range(2, groups + 1)]
+    return F.concat(_group(t, pattern, 1) if first is None else first, *rest).try_cast("double")
 
 
-def _decimal(text: ColumnLike, pattern: str) -> Column:
+def _decimal(t: Column, pattern: str, first: Column | None = None) -> Column:
     """Whole and decimal digits in two groups; a missing decimal part is 0."""
-    return F.concat(_group(text, pattern, 1), F.lit("."), F.coalesce(_group(text, pattern, 2), F.lit("0"))).try_cast("double")
+    return F.concat(_group(t, pattern, 1) if first is None else first, F.lit("."), _group(t, pattern, 2)).try_cast("double")
 
 
 # Amounts in billion dong: (pattern, how to read the groups), first match wins (fixed values).
@@ -43,47 +55,50 @@ USD = [(r"(\d+)[.,]?(\d*)\s*triệu\s*(?:USD|đô la)", "decimal"), (r"(\d+)[.,]
 CPI = [(r"(?:CPI|chỉ số giá).*?(?:bình quân)?.*?tăng\s+(\d+)[.,](\d+)\s*%", "decimal + 100"), (r"(?:CPI|chỉ số giá).*?đạt\s+(\d+)[.,](\d+)", "decimal")]
 
 
-def _first(text: ColumnLike, rules: Sequence[tuple[str, str]]) -> Column:
-    values = []
-    for pattern, how in rules:
-        p = P.full(pattern)
+def _first(t: Column, rules: Sequence[tuple[str, str]]) -> Column:
+    def value(p: str, how: str, g: Column) -> Column:
         if how == "thousands":
-            values.append(_joined(text, p, 2))
-        elif how == "thousands and decimals":
-            values.append(F.concat(_group(text, p, 1), _group(text, p, 2), F.lit("."), _group(text, p, 3)).try_cast("double"))
-        else:
-            number = _decimal(text, p)
-            values.append({"decimal": number, "decimal x 1000": number * 1000, "decimal + 100": number + 100}[how])
-    return F.coalesce(*values)
+            return _joined(t, p, 2, g)
+        if how == "thousands and decimals":
+            return F.concat(g, _group(t, p, 2), F.lit("."), _group(t, p, 3)).try_cast("double")
+        number = _decimal(t, p, g)
+        return {"decimal": number, "decimal x 1000": number * 1000, "decimal + 100": number + 100}[how]
+
+    return F.coalesce(*[_found(t, p, 1, lambda g, p=p, how=how: value(p, how, g)) for p, how in ((P.full(pattern), how) for pattern, how in rules)])
 
 
 def value_vnd(text: ColumnLike) -> Column:
-    return _first(text, VND)
+    return _read(text, lambda t: _first(t, VND))
 
 
 def value_usd(text: ColumnLike) -> Column:
-    return _first(text, USD)
+    return _read(text, lambda t: _first(t, USD))
 
 
 def value_cpi(text: ColumnLike) -> Column:
-    return _first(text, CPI)
+    return _read(text, lambda t: _first(t, CPI))
 
 
 def growth(text: ColumnLike, against: str | None = None) -> Column:
     """Signed percentage: with ``against`` (quarter, month) the change to the period before, else the plain one."""
+    return _read(text, lambda t: _growth(t, against))
+
+
+def _growth(t: Column, against: str | None = None) -> Column:
     if against:
         unit = {"quarter": "quý", "month": "tháng"}[against]
         tails = [(rf"\s*so với {unit} trước", True), (rf"\s*so với {unit} liền kề", False)]
     else:
         tails = [("", True)]
     values = []
+    decimal = lambda p: _found(t, p, 1, lambda g: _decimal(t, p, g))
     for tail, whole in tails:
         for word, sign in (("tăng", 1), ("giảm", -1)):
-            values.append(_decimal(text, P.full(rf"{word}\s+(\d+)[.,](\d+)\s*%{tail}")) * sign)
+            values.append(decimal(P.full(rf"{word}\s+(\d+)[.,](\d+)\s*%{tail}")) * sign)
             if whole:
-                values.append(_group(text, P.full(rf"{word}\s+(\d+)\s*%{tail}"), 1).try_cast("double") * sign)
+                values.append(_found(t, P.full(rf"{word}\s+(\d+)\s*%{tail}"), 1, lambda g: g.try_cast("double")) * sign)
     if not against:
-        values.append(_decimal(text, P.full(r"tăng\s*trưởng.*?(\d+)[.,](\d+)\s*%")))
+        values.append(decimal(P.full(r"tăng\s*trưởng.*?(\d+)[.,](\d+)\s*%")))
     return F.coalesce(*values)
 
 
@@ -97,20 +112,17 @@ FORECASTS = [
 REALISED = r"(?iU)(?:ước đạt|thực hiện|đã đạt|đạt được)"
 
 
-def _unrealised(text: ColumnLike, pattern: str) -> Callable[[Column], Column]:
-    return lambda hit: F.when(~hit.rlike(REALISED), _joined(text, pattern, 3))
-
-
 def forecast(text: ColumnLike) -> Column:
     """Announced amount; matches that speak of a realised one do not count."""
-    values = []
-    for pattern in FORECASTS:
-        p = P.full(pattern)
-        values.append(let(_group(text, p, 0), _unrealised(text, p)))
-    return F.coalesce(*values)
+    return _read(text, _forecast)
 
 
-def _matched(text: ColumnLike, pattern: str, kind: str, veto: Sequence[str]) -> dict[str, Column]:
+def _forecast(t: Column) -> Column:
+    patterns = [P.full(p) for p in FORECASTS]
+    return F.coalesce(*[_found(t, p, 0, lambda hit, p=p: F.when(~hit.rlike(REALISED), _joined(t, p, 3))) for p in patterns])
+
+
+def _matched(t: Column, pattern: str, kind: str, veto: Sequence[str]) -> dict[str, Column]:
     """Values of one pattern by result field; NULL where it does not match or is vetoed."""
     p = P.full(pattern)
     forbidden = "|".join(re.escape(w) for w in veto)
@@ -118,45 +130,48 @@ def _matched(text: ColumnLike, pattern: str, kind: str, veto: Sequence[str]) ->
     def accepted(read: Callable[[Column], Column]) -> Column:
         """The match is taken once; it is read only when no veto word is in it."""
         def body(hit: Column) -> Column:
-            allowed = hit.isNotNull() & ~hit.rlike(forbidden) if forbidden else hit.isNotNull()
-            return F.when(allowed, read(hit))
-        return let(F.lower(_group(text, p, 0)), body)
+            return F.when(~hit.rlike(forbidden), read(hit)) if forbidden else read(hit)
+        return _found(t, p, 0, lambda found: let(F.lower(found), body))
 
     if kind == "value_split":
-        return {"actual_value": accepted(lambda _: _joined(text, p, 2 if "{vnds}" in pattern else 3))}
+        return {"actual_value": accepted(lambda _: _joined(t, p, 2 if "{vnds}" in pattern else 3))}
     if kind == "value_usd":
-        return {"actual_value": accepted(lambda _: N.decimal_comma(_group(text, p, 1)))}
+        return {"actual_value": accepted(lambda _: N.decimal_comma(_group(t, p, 1)))}
     if kind == "growth":
-        return {"change_yoy": accepted(lambda hit: N.decimal_comma(_group(text, p, 1)) * F.when(hit.contains("giảm"), F.lit(-1.0)).otherwise(F.lit(1.0)))}
+        return {"change_yoy": accepted(lambda hit: N.decimal_comma(_group(t, p, 1)) * F.when(hit.contains("giảm"), F.lit(-1.0)).otherwise(F.lit(1.0)))}
     if kind == "cpi_growth":
-        return {"actual_value": accepted(lambda _: _decimal(text, p) + 100), "change_yoy": accepted(lambda _: _decimal(text, p))}
-    return {"actual_value": accepted(lambda _: _decimal(text, p))}
+        return {"actual_value": accepted(lambda _: _decimal(t, p) + 100), "change_yoy": accepted(lambda _: _decimal(t, p))}
+    return {"actual_value": accepted(lambda _: _decimal(t, p))}
 
 
 def extract_indicator(text: ColumnLike, indicator: str) -> Column:
     """struct of values of one indicator: the last matching pattern counts, generic patterns fill in."""
+    return _read(text, lambda t: _extracted(t, indicator))
+
+
+def _extracted(t: Column, indicator: str) -> Column:
     found: dict[str, list[Column]] = {"actual_value": [], "change_yoy": []}
     for pattern, kind in P.INDICATORS[indicator]:
-        for field, value in _matched(text, pattern, kind, P.VETO_WORDS.get(indicator, ())).items():
+        for field, value in _matched(t, pattern, kind, P.VETO_WORDS.get(indicator, ())).items():
             found[field].append(value)
     last = lambda vs: F.coalesce(*reversed(vs), F.lit(None).cast("double"))
-    qoq, mom = growth(text, "quarter"), growth(text, "month")
-    ahead = F.lit(None).cast("double") if indicator in P.GROWTH_ONLY else forecast(text)
+    qoq, mom = _growth(t, "quarter"), _growth(t, "month")
+    ahead = F.lit(None).cast("double") if indicator in P.GROWTH_ONLY else _forecast(t)
     if indicator == "cpi":
-        generic = value_cpi(text)
+        generic = _first(t, CPI)
     elif indicator in ("export", "investment"):
-        generic = value_usd(text)
+        generic = _first(t, USD)
     elif indicator in P.GROWTH_ONLY:
         generic = None
     else:
-        generic = value_vnd(text)
+        generic = _first(t, VND)
 
     def filled(v: Column) -> Column:
         # Zero counts as "nothing found", as it does for the values themselves.
         empty = (F.coalesce(v["value"], F.lit(0.0)) == 0) & (F.coalesce(v["yoy"], F.lit(0.0)) == 0)
         return F.struct(
             (v["value"] if generic is None else F.when(empty, generic).otherwise(v["value"])).alias("actual_value"),
-            F.when(empty, growth(text)).otherwise(v["yoy"]).alias("change_yoy"), v["qoq"].alias("change_qoq"), v["mom"].alias("change_mom"),
+            F.when(empty, _growth(t)).otherwise(v["yoy"]).alias("change_yoy"), v["qoq"].alias("change_qoq"), v["mom"].alias("change_mom"),
             F.coalesce(v["mom"], v["qoq"]).alias("change_prev_period"), v["ahead"].alias("forecast_value"))
 
     return let(F.struct(last(found["actual_value"]).alias("value"), last(found["change_yoy"]).alias("yoy"), qoq.alias("qoq"), mom.alias("mom"),
@@ -165,41 +180,54 @@ def extract_indicator(text: ColumnLike, indicator: str) -> Column:
 
 def extract_components(text: ColumnLike, indicator: str) -> Column:
     """struct of the component figures of an indicator."""
+    return _read(text, lambda t: _components(t, indicator))
+
+
+def _components(t: Column, indicator: str) -> Column:
     fields = []
     for name, kind, patterns in P.COMPONENTS.get(indicator, []):
         values = []
         for pattern in patterns:
             p = P.full(pattern)
             if kind == "value_split":
-                values.append(_joined(text, p, 3))
+                values.append(_found(t, p, 1, lambda g, p=p: _joined(t, p, 3, g)))
+            elif kind == "index":
+                down = lambda p: F.when(F.lower(_group(t, p, 0)).contains("giảm"), F.lit(-1.0)).otherwise(F.lit(1.0))
+                values.append(_found(t, p, 1, lambda g, p=p: 100 + N.decimal_comma(g) * down(p)))
             else:
-                number = N.decimal_comma(_group(text, p, 1))
-                if kind == "index":
-                    down = F.lower(_group(text, p, 0)).contains("giảm")
-                    number = 100 + number * F.when(down, F.lit(-1.0)).otherwise(F.lit(1.0))
-                values.append(number)
+                values.append(_found(t, p, 1, N.decimal_comma))
         fields.append(F.coalesce(*values).alias(name))
     if indicator == "export":
-        top = lambda t, names: F.nullif(F.array_join(F.slice(contained(t, strings(names)), 1, 5), ", "), F.lit(""))
-        fields += [top(F.lower(col(text)), P.EXPORT_PRODUCTS).alias("top_products"), top(col(text), P.EXPORT_MARKETS).alias("top_markets")]
+        top = lambda c, names: F.nullif(F.array_join(F.slice(contained(c, strings(names)), 1, 5), ", "), F.lit(""))
+        fields += [top(F.lower(t["text"]), P.EXPORT_PRODUCTS).alias("top_products"), top(t["text"], P.EXPORT_MARKETS).alias("top_markets")]
     return F.struct(*fields)
 
 
 def social_values(text: ColumnLike, indicator: str | None = None) -> Column:
     """map of field to value of the social patterns that match; a unit group scales the figure."""
-    t = F.replace(col(text), F.lit(" "), F.lit(" "))
-    entries = []
-    for name, field, pattern in P.SOCIAL:
-        if indicator in (None, name):
-            p = P.full(pattern)
-            unit = _group(t, p, 2) if pattern.count("(") - pattern.count("(?") - pattern.count(r"\(") > 1 else F.lit(None).cast("string")
-            entries.append(F.struct(F.lit(f"{name}.{field}").alias("field"), N.number_with_unit(_group(t, p, 1), unit).alias("value")))
-    return F.map_from_entries(F.filter(F.array(*entries), lambda e: e["value"].isNotNull()))
+    def listed(t: Column) -> Column:
+        entries = []
+        for name, field, pattern in P.SOCIAL:
+            if indicator in (None, name):
+                p = P.full(pattern)
+                scaled = pattern.count("(") - pattern.count("(?") - pattern.count(r"\(") > 1
+                unit = F.nullif(_group(t, p, 2), F.lit("")) if scaled else F.lit(None).cast("string")
+                value = _found(t, p, 1, lambda g, unit=unit: let(unit, lambda u: N.number_with_unit(g, u)))
+                entries.append(F.struct(F.lit(f"{name}.{field}").alias("field"), value.alias("value")))
+        return F.map_from_entries(F.filter(F.array(*entries), lambda e: e["value"].isNotNull()))
+
+    return _read(F.replace(col(text), F.lit(" "), F.lit(" ")), listed)
 
 
 def grdp_figures(text: ColumnLike, year: int) -> Column:
     """struct of the regional product: period, value, growth, growth per quarter, nominal value, ranks."""
-    t = F.lower(col(text))
+    return _read(F.lower(col(text)), lambda lowered: _regional(lowered, year))
+
+
+def _regional(lowered: Column, year: int) -> Column:
+    t = lowered["text"]
+    decimal = lambda p: _found(lowered, p, 1, lambda g: _decimal(lowered, p, g))
+    amount = lambda p: _found(lowered, p, 1, lambda g: _joined(lowered, p, 2, g))
     low = lambda p: "(?U)" + p
     amounts = [r"grdp.*?ước\s*đạt.*?(\d{2,3})[.,](\d{3})\s*tỷ", r"tổng sản phẩm.*?ước\s*đạt.*?(\d{2,3})[.,](\d{3})\s*tỷ",
                r"grdp.*?đạt.*?(\d{2,3})[.,](\d{3})\s*tỷ", r"tổng sản phẩm.*?đạt.*?(\d{2,3})[.,](\d{3})\s*tỷ"]
@@ -209,16 +237,16 @@ def grdp_figures(text: ColumnLike, year: int) -> Column:
     quarter = F.when(has("9 tháng", "9 thang"), F.lit(3)).when(has("6 tháng", "6 thang"), F.lit(2)).when(has("3 tháng", "quý i", "quy i"), F.lit(1))
     per_quarter = []
     for q, roman in enumerate(("i", "ii", "iii", "iv"), 1):
-        value = F.coalesce(_decimal(t, low(rf"quý\s*{roman}\s*tăng\s*(\d+)[.,](\d+)\s*%")), _decimal(t, low(rf"quy\s*{roman}\s*tang\s*(\d+)[.,](\d+)\s*%")))
+        value = F.coalesce(decimal(low(rf"quý\s*{roman}\s*tăng\s*(\d+)[.,](\d+)\s*%")), decimal(low(rf"quy\s*{roman}\s*tang\s*(\d+)[.,](\d+)\s*%")))
         per_quarter.append(F.struct(F.lit(f"Q{q}").alias("quarter"), value.alias("growth")))
     ranks = F.regexp_extract_all(t, F.lit(low(r"xếp thứ\s*(\d+[/\s]\d+)")), F.lit(1))
     rank = lambda i: F.regexp_replace(F.get(ranks, F.lit(i)), r"\s", "/")
-    rate = F.coalesce(*[_decimal(t, low(p)) for p in rates])
+    rate = F.coalesce(*[decimal(low(p)) for p in rates])
     return F.struct(
         F.lit(year).alias("year"), quarter.alias("quarter"), F.when(quarter.isNull(), F.lit("year")).otherwise(F.lit("quarter")).alias("period_type"),
-        F.coalesce(*[_joined(t, low(p), 2) for p in amounts]).alias("actual_value"), rate.alias("change_yoy"), rate.alias("change_prev_period"),
+        F.coalesce(*[amount(low(p)) for p in amounts]).alias("actual_value"), rate.alias("change_yoy"), rate.alias("change_prev_period"),
         F.map_from_entries(F.filter(F.array(*per_quarter), lambda e: e["growth"].isNotNull())).alias("quarterly_breakdown"),
-        F.coalesce(*[_joined(t, low(p), 2) for p in nominal]).alias("grdp_nominal"), rank(0).alias("ranking_regional"), rank(1).alias("ranking_national"))
+        F.coalesce(*[amount(low(p)) for p in nominal]).alias("grdp_nominal"), rank(0).alias("ranking_regional"), rank(1).alias("ranking_national"))
 
 
 def grdp_warnings(value: Column, yoy: Column) -> Column:
@@ -247,7 +275,8 @@ def _places(low: Column, word: Column) -> Column:
         step = lambda acc, p: F.struct((acc["at"] + F.length(p) + F.length(word)).alias("at"), F.array_append(acc["out"], acc["at"] + F.length(p)).alias("out"))
         return F.aggregate(F.slice(pieces, 1, F.size(pieces) - 1), begin, step, lambda acc: acc["out"])
 
-    return let(F.split(low, F.concat(F.lit("\\Q"), word, F.lit("\\E")), -1), walk)
+    # Most words of the table are in no given text; only the others are worth a split.
+    return F.when(low.contains(word), let(F.split(low, F.concat(F.lit("\\Q"), word, F.lit("\\E")), -1), walk)).otherwise(F.array().cast("array<int>"))
 
 
 def contexts_of(text: ColumnLike, indicator: ColumnLike, year: ColumnLike | None = None, reach: int = 800, gap: int = 400, keep: int = 2, cut: int = 1200) -> Column:
@@ -263,9 +292,12 @@ def contexts_of(text: ColumnLike, indicator: ColumnLike, year: ColumnLike | None
 
     def passage(at: Column, word: Column) -> Column:
         start = F.greatest(at - reach, F.lit(0))
-        return let(F.substring(col(text), start + 1, at + F.length(word) + reach - start), lambda c: let(F.lower(c), lambda l: described(c, l, at)))
+        return let(F.substring(col(text), start + 1, at + F.length(word) + reach - start), lambda c: let(described(c), lambda d: ranked(d, at, c)))
+
+    def described(context: Column) -> Column:
+        return let(F.lower(context), lambda lowered: rules(context, lowered))
 
-    def described(context: Column, lowered: Column, at: Column) -> Column:
+    def rules(context: Column, lowered: Column) -> Column:
         any_of = lambda words: F.exists(words, lambda w: lowered.contains(w))
         told = when.isNotNull()
         of_year = told & (context.contains(F.concat(F.lit("năm "), when)) | context.contains(F.concat(F.lit("Năm "), when))
@@ -274,9 +306,18 @@ def contexts_of(text: ColumnLike, indicator: ColumnLike, year: ColumnLike | None
         return F.struct(
             (~any_of(_words_of(P.PRIORITY_WORDS, name))).alias("plain"), (~F.coalesce(of_year, F.lit(False))).alias("other_year"),
             any_of(_words_of(P.DETAIL_WORDS, name)).alias("detail"), F.coalesce(by_month, F.lit(False)).alias("month"),
-            (-F.regexp_count(context, F.lit(FIGURE))).alias("figures"), at.alias("position"), context.alias("context"))
-
-    every = let(low, lambda l: F.flatten(F.transform(_words_of(P.KEYWORDS, name), lambda w: F.transform(_places(l, w), lambda at: passage(at, w)))))
+            (-F.regexp_count(context, F.lit(FIGURE))).alias("figures"))
+
+    def ranked(d: Column, at: Column, context: Column) -> Column:
+        return F.struct(*[d[f].alias(f) for f in ("plain", "other_year", "detail", "month", "figures")], at.alias("position"), context.alias("context"))
+
+    words = _words_of(P.KEYWORDS, name)
+    # Around any keyword of a text within reach lies the whole text, which is described once.
+    whole = lambda l: let(F.flatten(F.transform(words, lambda w: _places(l, w))), lambda places: F.when(F.size(places) > 0, let(
+        rules(col(text), l), lambda d: F.transform(places, lambda at: ranked(d, at, col(text))))))
+    parts = lambda l: F.flatten(F.transform(words, lambda w: F.transform(_places(l, w), lambda at: passage(at, w))))
+    kind = "array<struct<plain:boolean,other_year:boolean,detail:boolean,month:boolean,figures:int,position:int,context:string>>"
+    every = let(low, lambda l: F.coalesce(F.when(F.char_length(col(text)) <= reach, whole(l)).otherwise(parts(l)), F.array().cast(kind)))
     empty = F.array().cast("array<struct<position:int,context:string>>")
     apart = lambda kept, p: (F.size(kept) < keep) & ~F.exists(kept, lambda k: F.abs(k["position"] - p["position"]) < gap)
     chosen = lambda kept, p: F.when(apart(kept, p), F.array_append(kept, F.struct(p["position"].alias("position"), F.substring(p["context"], 1, cut).alias("context")))).otherwise(kept)
