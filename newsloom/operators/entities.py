@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import text as T
 from ..functions.columns import col, let
-from ..functions.matches import between, blocks_of, placed
+from ..functions.matches import between, blocks_of, may_match, placed
 from ..resources import entity_patterns as P, words as W
 
 
@@ -26,7 +26,14 @@ def extract_entities(df: DataFrame, key: str, text: str, provinces: Iterable[str
     places = list(W.PROVINCES if provinces is None else provinces)
     t = F.coalesce(col(text), F.lit(""))
 
+    fields = {"type": "string", "entity": "string", "source": "string"} | ({"start": "int", "end": "int"} if offsets else {})
+    nothing = F.array().cast(f"array<struct<{','.join(f'{n}:{t}' for n, t in fields.items())}>>")
+
     def typed(kind: str, pattern: str) -> Column:
+        """The matches of a pattern; texts without its literals are not searched."""
+        return F.when(may_match(t, "(?U)" + pattern), matched(kind, pattern)).otherwise(nothing)
+
+    def matched(kind: str, pattern: str) -> Column:
         if offsets:
             return F.transform(placed(t, "(?U)" + pattern), lambda m: F.struct(
                 F.lit(kind).alias("type"), T.strip(m["hit"]).alias("entity"), F.lit("rule").alias("source"), m["at"].alias("start"), m["to"].alias("end")))
@@ -34,8 +41,9 @@ def extract_entities(df: DataFrame, key: str, text: str, provinces: Iterable[str
 
     hits = [typed(kind, p) for kind, p in P.patterns()]
     pairs = F.array(*[F.struct(F.lit(p).alias("name"), F.lit(p.lower()).alias("low")) for p in places])
-    found = let(F.lower(t), lambda low: F.filter(
-        F.transform(pairs, lambda p: F.struct(p["name"].alias("name"), (F.instr(low, p["low"]) - 1).alias("at"), F.char_length(p["low"]).alias("n"))), lambda p: p["at"] >= 0))
+    found = let(F.lower(t), lambda low: F.transform(
+        F.filter(pairs, lambda p: low.contains(p["low"])),
+        lambda p: F.struct(p["name"].alias("name"), (F.instr(low, p["low"]) - 1).alias("at"), F.char_length(p["low"]).alias("n"))))
     known = F.transform(found, lambda p: F.struct(
         F.lit("LOCATION").alias("type"), p["name"].alias("entity"), F.lit("gazetteer").alias("source"),
         *([p["at"].alias("start"), (p["at"] + p["n"]).alias("end")] if offsets else [])))
@@ -44,7 +52,6 @@ def extract_entities(df: DataFrame, key: str, text: str, provinces: Iterable[str
     spelled = lambda every: F.transform(every, lambda h: F.struct(h["type"].alias("type"), F.lower(h["entity"]).alias("low")))
     firsts = let(F.concat(*hits), lambda every: let(spelled(every), lambda names: F.filter(
         every, lambda h, i: F.array_position(names, F.get(names, i)) == i + 1)))
-    fields = ["type", "entity", "source"] + ["start", "end"] * offsets
     return df.select(key, F.explode(firsts).alias("hit")).select(key, *[f"hit.{f}" for f in fields])
 
 

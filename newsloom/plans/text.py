@@ -181,7 +181,7 @@ def _(spark, sf):
 
 @add("c15_entities")
 def _(spark, sf):
-    o = table(spark, sf, "orders")
+    o = table(spark, sf, "orders").select("o_orderkey", "o_orderdate", "o_totalprice").repartition(spark.sparkContext.defaultParallelism)
     text = F.concat(F.lit("Ông Nguyễn Văn An, tỉnh Hưng Yên, ngày "), F.date_format("o_orderdate", "dd/MM/yyyy"),
                     F.lit(", chi "), F.floor("o_totalprice").cast("string"), F.lit(" triệu đồng tại hà nội"))
     return E.extract_entities(o.select(F.col("o_orderkey").alias("id"), text.alias("text")), "id", "text", offsets=True)

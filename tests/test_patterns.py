@@ -6,7 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from newsloom.functions.matches import folded, literals_of, may_match
-from newsloom.resources import indicator_patterns as P
+from newsloom.operators import entities as E
+from newsloom.plans import registry
+from newsloom.resources import entity_patterns, indicator_patterns as P
 
 ALL = [P.full(p) for v in P.INDICATORS.values() for p, _ in v] + [P.full(p) for *_, p in P.SOCIAL]
 
@@ -29,3 +31,18 @@ def test_no_match_is_passed_over(spark):
     df = spark.createDataFrame(rows, "id long, t string").withColumn("low", folded("t"))
     missed = [F.count_if(F.col("t").rlike(p) & ~may_match(F.col("low"), p, fold=True)) for p in ALL]
     assert set(df.agg(*missed).first()) == {0}
+
+
+def test_entities_are_found_behind_the_literals(spark):
+    text = "Ông Nguyễn Văn An, UBND Tỉnh Hưng Yên, quý II/2024, 5 tỷ đồng, 01/02/2024"
+    df = spark.createDataFrame([(1, text), (2, "nothing"), (3, None)], "id long, t string")
+    got = {(r["id"], r["type"], r["entity"]) for r in E.extract_entities(df, "id", "t", offsets=True).collect()}
+    assert {(1, "PERSON", "Ông Nguyễn Văn An"), (1, "DATE", "01/02/2024"), (1, "MONEY", "5 tỷ"), (1, "MONEY", "5 tỷ đồng")} <= got
+    assert {i for i, *_ in got} == {1}
+    # Of the patterns, all but the plain date are told by literals.
+    assert sum(not literals_of(p) for _, p in entity_patterns.patterns()) == 1
+
+
+def test_orders_are_dealt_out_before_the_patterns(spark):
+    df = registry.queries()["c15_entities"](spark, "/root/testdata/sf0.001")
+    assert df.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
