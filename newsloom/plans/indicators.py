@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import indicators as N, panel as P
+from ..session import shared_checkpoint
 from . import fixtures as X
 from .registry import Registry, table
 
@@ -125,7 +126,8 @@ def _(spark, sf):
 
 @add("n8_save_panel")
 def _(spark, sf):
-    p = N.extract_panel(_reports(spark, sf), "o_orderkey", "text", "url", "year", "Hưng Yên", indicators=["retail", "cpi"])
+    # Both sides of the upsert read it, so it is extracted once.
+    p = shared_checkpoint(N.extract_panel(_reports(spark, sf), "o_orderkey", "text", "url", "year", "Hưng Yên", indicators=["retail", "cpi"]))
     known = p.filter("o_orderkey % 2 = 0 and status = 'ok'").drop("errors", "status")
     return N.save_panel(known.drop("o_orderkey"), p, ["o_orderkey"]).groupBy("indicator", "action").agg(F.count(F.lit(1)).alias("n"))
 

@@ -46,3 +46,8 @@ def test_entities_are_found_behind_the_literals(spark):
 def test_orders_are_dealt_out_before_the_patterns(spark):
     df = registry.queries()["c15_entities"](spark, "/root/testdata/sf0.001")
     assert df.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+
+
+def test_panel_is_extracted_once(spark):
+    plan = registry.queries()["n8_save_panel"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract" not in plan
