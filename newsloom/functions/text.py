@@ -203,6 +203,16 @@ def phrases(items: ColumnLike, low: int = 1, high: int = 3, caps: Mapping[int, i
         *[a if n == 1 else ngrams(a, n, caps.get(n)) for n in range(low, high + 1)]))
 
 
+def term_runs(items: ColumnLike) -> Column:
+    """array<struct<term, count>> of an array's distinct non-NULL items, counted inside the row: equal items lie side by side once sorted."""
+    def runs(s: Column) -> Column:
+        n = F.size(s)
+        starts = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
+        return let(starts, lambda at: F.transform(at, lambda i, j: F.struct(F.get(s, i).alias("term"), (F.coalesce(F.get(at, j + 1), n) - i).alias("count"))))
+
+    return let(F.array_sort(F.array_compact(col(items))), lambda s: F.when(F.size(s) > 0, runs(s)))
+
+
 def hashtags(c: ColumnLike) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.lower(col(c)), F.lit(r"#([\p{L}\p{N}_]+)"), F.lit(1)))
 
