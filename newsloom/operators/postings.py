@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from ..functions import text as X
 from ..session import shared_checkpoint
 from .ranking import top_k
 
@@ -37,7 +38,8 @@ class Postings:
         stats = rows.agg(F.count(F.lit(1)).alias("N"), F.coalesce(F.avg("n"), F.lit(0.0)).alias("average"))
         stats.coalesce(1).write.parquet(f"{self.path}/stats")
         block = F.floor(F.log2(F.col("n") + 1) * 4).cast("int") * self.spread + F.pmod(F.xxhash64("doc"), F.lit(self.spread)).cast("int")
-        counted = rows.select("doc", "n", block.alias("block"), F.explode("ts").alias("term")).groupBy("doc", "n", "block", "term").agg(F.count(F.lit(1)).cast("int").alias("tf"))
+        # Keys are unique, so a document's terms are counted inside its row; they are shuffled once, to their buckets.
+        counted = rows.select("doc", "n", block.alias("block"), F.explode(X.term_runs("ts")).alias("r")).select("doc", "n", "block", "r.term", F.col("r.count").alias("tf"))
         counted = counted.withColumn("bucket", self._bucket(F.col("term")))
         # the block takes part, so that a frequent term's postings are dealt to several tasks
         counted.repartition("bucket", "block").sortWithinPartitions("bucket", "term", "block").write.partitionBy("bucket").parquet(f"{self.path}/postings")
