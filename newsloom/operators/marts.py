@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions import dates as D, text as X, urls as U
 from ..functions.columns import ColumnLike, col, contained, count_where, strings
 from ..resources import words as W
+from ..session import shared_checkpoint
 from .ranking import nested_top_k, overall_rank, top_k, top_k_per_group
 
 GROUPS = ("positive", "negative", "neutral")
@@ -186,17 +187,19 @@ def keyword_stats(mentions: DataFrame, text: str, period: str, reference: date,
     for bad in W.KEYWORD_GARBAGE if garbage is None else garbage:
         found = found.filter(~F.col("phrase").contains(bad))
     is_first = F.col("first")
-    # One pass over the texts: everything below is rolled up from these cells (and their one shuffle).
-    cells = found.groupBy("phrase", "topic_id", "topic_name", "source_domain").agg(
-        F.count(F.lit(1)).alias("mention_count"), count_where(is_first).alias("document_count"),
-        count_where(is_first & (F.col("sentiment_group") == "positive")).alias("positive_count"),
-        count_where(is_first & (F.col("sentiment_group") == "negative")).alias("negative_count"))
-    counts = cells.groupBy("phrase").agg(*[F.sum(c).alias(c) for c in ("mention_count", "document_count", "positive_count", "negative_count")])
+    # Ranks need no more than mentions, so only (phrase, count) is shuffled for all phrases; the rest is counted for the best ones.
+    counts = found.groupBy("phrase").agg(F.count(F.lit(1)).alias("mention_count"))
     hot = strings(W.HOT_EVENTS if hot_events is None else hot_events)
     boost = (F.when(F.size(contained("phrase", hot)) > 0, F.lit(2.0)).otherwise(F.lit(1.0))
              * F.when(F.size(F.split("phrase", " ")) >= 3, F.lit(1.5)).otherwise(F.lit(1.0)))
-    best = top_k(counts.withColumn("score", F.col("mention_count") * boost), top_n, F.desc("score"), F.col("phrase"))
-    docs = cells.join(F.broadcast(best.select("phrase")), "phrase", "left_semi").filter("document_count > 0")
+    ranked = shared_checkpoint(top_k(counts.withColumn("score", F.col("mention_count") * boost), top_n, F.desc("score"), F.col("phrase")))
+    # At most top_n rows, so the broadcast is small by construction.
+    cells = found.join(F.broadcast(ranked.select("phrase")), "phrase", "left_semi").groupBy("phrase", "topic_id", "topic_name", "source_domain").agg(
+        count_where(is_first).alias("document_count"), count_where(is_first & (F.col("sentiment_group") == "positive")).alias("positive_count"),
+        count_where(is_first & (F.col("sentiment_group") == "negative")).alias("negative_count"))
+    cells = shared_checkpoint(cells)
+    best = ranked.join(cells.groupBy("phrase").agg(*[F.sum(c).alias(c) for c in ("document_count", "positive_count", "negative_count")]), "phrase")
+    docs = cells.filter("document_count > 0")
     by_topic = docs.filter(F.col("topic_id").isNotNull()).groupBy("phrase", "topic_id", "topic_name").agg(F.sum("document_count").alias("count"))
     by_source = docs.filter(F.col("source_domain").isNotNull()).groupBy("phrase", F.col("source_domain").alias("domain")).agg(F.sum("document_count").alias("count"))
     topics = nested_top_k(by_topic, ["phrase"], [F.desc("count"), F.col("topic_id")], ["topic_id", "topic_name", "count"], nested, "related_topics")

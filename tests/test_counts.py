@@ -6,6 +6,9 @@ from pyspark.sql import functions as F
 
 from newsloom.functions import text as X
 from newsloom.operators import mining as K
+from newsloom.plans import registry
+
+SF = "/root/testdata/sf0.001"
 
 
 def plan(df):
@@ -25,3 +28,10 @@ def test_a_bag_of_words_is_shuffled_by_term_only(spark):
     bag = K.bag_of_words(docs, "doc_id", "text", lambda c: F.split(c, " "), 2)
     assert sorted(map(tuple, bag.collect())) == [(1, "a", 2), (1, "b", 1), (2, "a", 1), (2, "b", 1)]
     assert "hashpartitioning(doc_id" not in plan(bag)
+
+
+def test_only_the_best_phrases_are_counted_by_topic(spark):
+    df = registry.queries()["g3_keyword_stats"](spark, SF)
+    assert df.count() > 0
+    # What is left of the plan starts from the cells of the best phrases; no text is read again.
+    assert "FileScan" not in plan(df)
