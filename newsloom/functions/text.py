@@ -210,7 +210,7 @@ def term_runs(items: ColumnLike) -> Column:
         starts = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
         return let(starts, lambda at: F.transform(at, lambda i, j: F.struct(F.get(s, i).alias("term"), (F.coalesce(F.get(at, j + 1), n) - i).alias("count"))))
 
-    return let(F.array_sort(F.array_compact(col(items))), lambda s: F.when(F.size(s) > 0, runs(s)))
+    return let(F.sort_array(F.array_compact(col(items))), lambda s: F.when(F.size(s) > 0, runs(s)))
 
 
 def hashtags(c: ColumnLike) -> Column:

@@ -170,7 +170,7 @@ def hot_topics(mentions: DataFrame, period: str, reference: date, top_n: int = 2
 
 def phrase_rows(docs: DataFrame, tokens: Column, keep: Sequence[str]) -> DataFrame:
     """One row per 2- or 3-gram occurrence, ``first`` marking the first of its kind in the document."""
-    grams = docs.select(*keep, F.array_sort(X.phrases(tokens, 2, 3)).alias("g"))
+    grams = docs.select(*keep, F.sort_array(X.phrases(tokens, 2, 3)).alias("g"))
     pairs = F.arrays_zip(F.col("g").alias("phrase"), F.concat(F.array(F.lit(None).cast("string")), F.col("g")).alias("before"))
     return (grams.select(*keep, F.explode(F.slice(pairs, 1, F.size("g"))).alias("p"))
             .select(*keep, F.col("p.phrase").alias("phrase"), (~F.col("p.phrase").eqNullSafe(F.col("p.before"))).alias("first")))
